@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .ngram_jaccard import ngram_jaccard
+from .packing import pack
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +23,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
