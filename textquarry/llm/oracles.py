@@ -22,4 +22,24 @@ SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_
 FROM r JOIN s ON s.rid = r.x JOIN s o ON o.rid = r.y GROUP BY r.x
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD}
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
+w AS (SELECT *, rk % 3 + 1 AS weight, 3 * source_size AS cap, 3 * source_size / (rk % 3 + 1) AS full_at FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM w WINDOW b AS (ORDER BY full_at, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT l.source, source_size, rk, least(CAST(cap AS DOUBLE), x.level * weight) AS target
+      FROM l, (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, rk LIMIT 1) x),
+q AS (SELECT d.doc_id, d.size, d.k, t.source_size, t.target, t.rk, row_number() OVER () AS rid,
+             sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS queued
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+v AS (SELECT rid, size, rk, (e * source_size + queued) / target AS v FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0),
+c AS (SELECT rid, size, sum(size) OVER (ORDER BY v, rk ROWS UNBOUNDED PRECEDING) AS upto FROM v),
+k AS (SELECT rid, sum(size) AS taken FROM c WHERE upto <= (SELECT sum(size) FROM d) GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (rid)
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING}

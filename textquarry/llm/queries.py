@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 
@@ -28,8 +29,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3 of their sources."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
