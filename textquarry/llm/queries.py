@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .language_id import language_id
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
+from .quality import quality
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,8 +36,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels that are not held out."""
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
