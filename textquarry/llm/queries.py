@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .html_extract import html_extract
 from .language_id import language_id
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
@@ -46,8 +47,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
