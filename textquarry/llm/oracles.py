@@ -42,4 +42,21 @@ k AS (SELECT rid, sum(size) AS taken FROM c WHERE upto <= (SELECT sum(size) FROM
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (rid)
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING}
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, i AS line, regexp_extract_all(lower(xs[i]), '[^ \t\x0B\f\r]+') AS ws
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents), unnest(range(1, len(xs) + 1)) AS u(i)),
+o AS (SELECT doc_id, line, array_to_string(ws, ' ') AS s, ws FROM l WHERE len(ws) >= 5),
+d AS (SELECT s, min((doc_id, line)) AS first, any_value(ws) AS ws FROM o GROUP BY s),
+v AS (SELECT s, first, i, CASE WHEN i = 0 THEN s ELSE array_to_string(ws[1:i - 1] || ws[i + 1:len(ws)], ' ') END AS k
+      FROM d, unnest(range(0, len(ws) + 1)) AS u(i)),
+n AS (SELECT DISTINCT a.s FROM v a JOIN v b ON a.k = b.k AND b.first < a.first AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+g AS (SELECT o.doc_id, list(o.line) AS gone FROM o JOIN d USING (s)
+      WHERE (o.doc_id, o.line) <> d.first OR o.s IN (SELECT s FROM n) GROUP BY 1),
+t AS (SELECT doc_id, text, coalesce(gone, []) AS gone, string_split(text, chr(10)) AS xs FROM documents LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(xs), 0) AS INTEGER) AS n_lines, CAST(len(gone) AS INTEGER) AS n_dropped,
+       CASE WHEN len(gone) = 0 THEN text ELSE array_to_string([xs[i] for i in range(1, len(xs) + 1) if NOT list_contains(gone, i)], chr(10)) END AS text
+FROM t
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING, "op9_line_dedup": LINE_DEDUP}

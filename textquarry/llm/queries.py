@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .html_extract import html_extract
 from .language_id import language_id
+from .line_dedup import drop_repeated_lines
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
@@ -47,13 +48,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that copy an earlier line, up to one word."""
+    return drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality, op10_html_extract)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality, op9_line_dedup, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
