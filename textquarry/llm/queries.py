@@ -10,6 +10,7 @@ from . import oracles
 from .html_extract import html_extract
 from .language_id import language_id
 from .line_dedup import drop_repeated_lines
+from .lm_score import lm_score
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
@@ -43,6 +44,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from those that are not held out."""
+    return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from labels that are not held out."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -59,7 +65,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op8_quality, op9_line_dedup, op10_html_extract)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op6_lm_score, op8_quality, op9_line_dedup, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
