@@ -201,3 +201,48 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         last, e = e, scratch.save(small)
         scratch.drop(last)
     return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+# --------------------------------------------------------------------------- vectors
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the rows that agree in the first column, of rows that come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)] if len(key) else [0]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            if held and key[i] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def usable(vector: Column) -> Column:
+    """Neither null nor zero, with finite components only."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vector.isNotNull() & good & F.exists(vector, lambda x: x != 0)
+
+
+def main_dimension(vectors: DataFrame, column: str = "v") -> int:
+    """The dimension that most vectors have (the smaller of two); 0 for none."""
+    found = vectors.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return found["d"] if found else 0
+
+
+def vector_sample(vectors: DataFrame, most: int, dim: int, column: str = "v") -> np.ndarray:
+    """At most ``most`` distinct vectors, those of lowest hash, in a fixed order."""
+    rows = vectors.where(F.size(column) == dim).select(F.xxhash64(column).alias("h"), F.col(column).alias("v")).orderBy("h").limit(most).toArrow()
+    return np.unique(matrix(rows["v"], dim), axis=0) if rows.num_rows else np.zeros((0, dim))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .ann import nearest
+from .embedding_dedup import near_dedup
 from .html_extract import html_extract
 from .language_id import language_id
 from .line_dedup import drop_repeated_lines
@@ -34,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 of their sources."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -49,6 +57,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among the vectors of each label: cosine 0.93."""
+    return near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from labels that are not held out."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,7 +78,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_mixing, op5_language_id, op6_lm_score, op8_quality, op9_line_dedup, op10_html_extract)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
