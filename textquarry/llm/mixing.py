@@ -111,3 +111,15 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             taken.append((slot(v) < last["slot"]) | ends)
     times = sum((F.when(t, 1).otherwise(0) for t in taken), F.lit(0))
     return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+
+
+def take(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Every row of documents as often as the mix takes it, columns as given.
+
+    Rows that share an id are taken equally often, their mean, rounded. Texts without words go.
+    """
+    mixed = mix(documents, id_col, **options).where("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.sum(F.col("taken") / F.col("size")).alias("sum"))
+    rows = documents.groupBy(F.col(id_col).alias("_row")).agg(F.count("*").alias("rows"))
+    times = mixed.join(rows, F.col("_id").eqNullSafe(F.col("_row"))).select("_id", F.round(F.col("sum") / F.col("rows")).cast("int").alias("_times")).where("_times > 0")
+    joined = documents.join(times, documents[id_col].eqNullSafe(times["_id"])).where(F.length(documents[options.get("text_col", "text")]) > 0)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[documents[c] for c in documents.columns])
