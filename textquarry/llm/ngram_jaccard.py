@@ -12,12 +12,16 @@ counts the tokens that both prefixes hold. So prefixes alone form the matrix, an
 taken on c. The order puts frequent tokens last (a bounded list of hints that every row
 applies alike; any list gives the same result), then goes by hash.
 
+Prefix tokens that no other prefix holds count for nothing, so with h common ones in its
+prefix a set can reach only partners that ask for c <= h; rows beyond that are not joined.
+
 Steps: (1) one pass gives each document's set size and node and the frequent tokens;
 (2) a second pass gives the prefix postings, of which those that two nodes share are kept;
-(3) every token's nodes are paired with the token's smallest node, pairs that pass the bound
-are verified, and their components are the groups; (4) the matrix token x group is joined with
-the nodes' prefixes, bounds are summed per (node, group), and qualifying groups of another
-component are opened and verified; (5) components over all verified links.
+(3) in each token's nodes of like size, all are paired with the one whose prefix is shared
+most; each node's best pair, if it passes the bound, is verified, and the components are the
+groups; (4) the matrix token x group is joined with the nodes' prefixes, the smaller group
+asking the larger; bounds are summed per (node, group), and qualifying groups are opened and
+verified; (5) components over all verified links.
 
 Within a group no pairs are formed: its members are linked already, and the result is the
 class, not the pairs. Nothing is dropped or capped.
@@ -29,15 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, distinct_in_text, mix64, ngram_hashes, slices, tune, word_hashes
 
 #: At most so many frequent tokens order the prefixes (16 bytes each on a worker).
-HINTS = 1 << 18
+HINTS = 1 << 20
 #: A token of at least so many texts of one block of BLOCK tokens is a hint.
-HINT_TEXTS, BLOCK = 4, 1 << 22
+HINT_TEXTS, BLOCK = 2, 1 << 22
 #: Up to so many ids are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -121,13 +125,51 @@ def _prefixes(k: int, num: int, den: int, hints):
 
 
 def _tokens(k: int):
+    """Whole sets for the nodes that are asked for, as sorted 40-bit hashes; a set at most once from a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        seen: set[tuple[int, int, bool]] = set()
         for batch in batches:
+            asked, hub, lead = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for i, j, h, where in _sets(batch, 0, k):
                 size, node = _nodes(h, where, j - i)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["node", "tokens"])
+                raw = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+                ends = np.cumsum(size)
+                rows = []
+                for x in range(j - i):
+                    key = (hub[i + x], asked[i + x], lead[i + x])
+                    if node[x] == asked[i + x] and key not in seen:
+                        seen.add(key)
+                        rows.append((*key, int(size[x]), raw[ends[x] - size[x] : ends[x]].tobytes()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hub", "node", "lead", "n", "tokens"])
+
+    return run
+
+
+def _compare(num: int, den: int):
+    """Pairs of sets that reach the threshold."""
+
+    def whole(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return out.view(np.uint64).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            rows, out = batch.to_pydict(), []
+            for a, b, ta, tb in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
+                if a != last:
+                    last, own = a, whole(ta)
+                other = whole(tb)
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                if int((own[at] == other).sum()) * (num + den) >= (len(own) + len(other)) * num:
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -137,20 +179,23 @@ def _need(a: Column, b: Column, num: int, den: int) -> Column:
     return F.greatest(F.ceil((a + b) * num / F.lit(num + den)) - F.ceil(F.greatest(a, b) * num / F.lit(den)) + 1, F.lit(1))
 
 
-def _verified(spark: SparkSession, docs: DataFrame, profile: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = profile.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id").alias("want")).distinct()
-    ids = scratch.save(ids)
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, docs["id"].eqNullSafe(ids["want"]), "left_semi").select("text")
-    sets = scratch.save(texts.mapInArrow(_tokens(k), "node long, tokens array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    linked = both.where(common * (num + den) >= (F.size("ta") + F.size("tb")) * num).select("a", "b").distinct()
-    out = scratch.save(linked)
-    scratch.drop(sets)
-    return out
+def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the threshold; a is the hub of its pairs.
+
+    The few words that say which sets meet where go to the texts, and each set is shuffled once
+    to each hub that it meets.
+    """
+    asked = pairs.select(F.col("b").alias("key"), F.col("a").alias("hub"), F.lit(False).alias("lead")).unionByName(pairs.select(F.col("a").alias("key"), F.col("a").alias("hub"), F.lit(True).alias("lead")).distinct())
+    owner = profile.groupBy("key").agg(F.min("id").alias("want"))
+    asked = scratch.save(asked.join(owner, "key"))
+    few = asked.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(asked) if few else asked, docs["id"].eqNullSafe(asked["want"])).select("text", "key", "hub", "lead")
+    sets = texts.mapInArrow(_tokens(k), "hub long, node long, lead boolean, n int, tokens binary")
+    hubs = sets.where("lead").select(F.col("hub").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    rest = sets.where("not lead").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    sized = (F.col("nb") * den >= F.col("na") * num) & (F.col("nb") * num <= F.col("na") * den)
+    both = rest.join(hubs.hint("merge"), "a").where(sized).select("a", "b", "ta", "tb")
+    return scratch.save(both.mapInArrow(_compare(num, den), "a long, b long").distinct())
 
 
 def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -172,35 +217,44 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     noted = scratch.save(docs.mapInArrow(_profile(k), "id long, n long, key long, is_text boolean"))
     profile = noted.where("is_text").select("id", "n", "key")
-    top = noted.where("not is_text").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HINTS).toPandas()
-    token, rank = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = noted.where("not is_text").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HINTS).toArrow()
+    token, rank = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by = np.argsort(token)
     hints = spark.sparkContext.broadcast((token[by], rank[by]))
 
     postings = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int").repartition("token")
-    leads = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    shared = scratch.save(postings.join(leads.hint("merge"), "token"))
-
-    star = shared.where("node <> lead").groupBy("node", "n", "lead", "lead_n").agg(F.count("*").alias("c"))
-    star = star.where(F.col("c") >= _need(F.col("n"), F.col("lead_n"), num, den)).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = _verified(spark, docs, profile, scratch.save(star), scratch, k, num, den)
+    common = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
+    shared = scratch.save(postings.join(common.hint("merge"), "token", "left_semi").distinct())
+    shared = scratch.save(shared.join(shared.groupBy("node").agg(F.count("*").alias("have")), "node"))
+
+    need = lambda a, b: _need(F.col(a), F.col(b), num, den)
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
+    close = shared.withColumn("band", band)
+    middle = F.max(F.struct((F.col("have") / F.col("n")).alias("by"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("have").alias("lead_have")))
+    leads = close.groupBy("token", "band").agg(middle.alias("m")).select("token", "band", "m.lead", "m.lead_n", "m.lead_have")
+    star = close.join(leads, ["token", "band"]).where((F.col("node") != F.col("lead")) & (F.least("have", "lead_have") >= need("n", "lead_n")))
+    star = star.groupBy("node", "n", "lead", "lead_n").agg(F.count("*").alias("c")).where(F.col("c") >= need("n", "lead_n"))
+    star = star.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
+    links = _verified(docs, profile, scratch.save(star), scratch, k, num, den)
     groups = scratch.save(components(links, scratch))
 
-    labelled = shared.select("token", "node", "n").distinct().join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    weights = groups.groupBy("comp").agg(F.count("*").alias("weight"))
+    labelled = shared.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(weights, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     many = labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     labelled = scratch.save(labelled.join(many, "token", "left_semi"))
-    matrix = labelled.groupBy("token", F.col("comp").alias("grp")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    sized = (F.col("n1") * den >= F.col("n") * num) & (F.col("n0") * num <= F.col("n") * den) & (F.col("comp") != F.col("grp"))
-    bound = labelled.join(matrix, "token").where(sized).groupBy("node", "n", "grp").agg(F.count("*").alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    matrix = labelled.groupBy("token", F.col("comp").alias("grp"), F.col("weight").alias("grp_weight")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("have").alias("grp_have"))
     low, high = F.greatest("n0", F.ceil(F.col("n") * num / F.lit(den))), F.least("n1", F.floor(F.col("n") * den / F.lit(num)))
-    need = F.least(_need(F.col("n"), low, num, den), _need(F.col("n"), high, num, den)) - 1
-    opened = scratch.save(bound.where(F.col("c") >= need).select("node", "grp"))
-    member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("grp"))
-    met = opened.join(labelled.select("token", "node", "n"), "node").join(member, ["token", "grp"]).groupBy("node", "n", "other", "other_n").agg(F.count("*").alias("c"))
-    met = met.where(F.col("c") >= _need(F.col("n"), F.col("other_n"), num, den)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    least = F.greatest(F.least(_need(F.col("n"), low, num, den), _need(F.col("n"), high, num, den)) - 1, F.lit(1))
+    asks = (F.col("weight") < F.col("grp_weight")) | (F.col("weight") == F.col("grp_weight")) & (F.col("comp") < F.col("grp"))
+    bound = labelled.join(matrix, "token").where(asks & (low <= high) & (F.least("have", "grp_have") >= least))
+    bound = bound.groupBy("node", "n", "have", "grp").agg(F.count("*").alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    opened = scratch.save(bound.where(F.col("c") >= least).select("node", "n", "have", "grp"))
+    member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("have").alias("other_have"), F.col("comp").alias("grp"))
+    met = opened.join(labelled.select("token", "node"), "node").join(member, ["token", "grp"]).where(F.least("have", "other_have") >= need("n", "other_n"))
+    met = met.groupBy("node", "n", "other", "other_n").agg(F.count("*").alias("c")).where(F.col("c") >= need("n", "other_n")).select(F.col("node").alias("a"), F.col("other").alias("b"))
     met = scratch.save(met)
     if not met.isEmpty():
-        more = _verified(spark, docs, profile, met, scratch, k, num, den)
+        more = _verified(docs, profile, met, scratch, k, num, den)
         if not more.isEmpty():
             groups = scratch.save(components(links.unionByName(more), scratch))
 
