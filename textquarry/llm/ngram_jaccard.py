@@ -19,9 +19,9 @@ Steps: (1) one pass gives each document's set size and node and the frequent tok
 (2) a second pass gives the prefix postings, of which those that two nodes share are kept;
 (3) in each token's nodes of like size, all are paired with the one whose prefix is shared
 most; each node's best pair, if it passes the bound, is verified, and the components are the
-groups; (4) the matrix token x group is joined with the nodes' prefixes, the smaller group
-asking the larger; bounds are summed per (node, group), and qualifying groups are opened and
-verified; (5) components over all verified links.
+groups, cut by set size; (4) the matrix token x group is joined with the nodes' prefixes, the
+smaller component asking the larger; bounds are summed per (node, group), and qualifying groups
+are opened: members that hold one of the node's rarest tokens there are verified; (5) components over all verified links.
 
 Within a group no pairs are formed: its members are linked already, and the result is the
 class, not the pairs. Nothing is dropped or capped.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, distinct_in_text, mix64, ngram_hashes, slices, tune, word_hashes
@@ -242,16 +242,20 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = shared.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(weights, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     many = labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     labelled = scratch.save(labelled.join(many, "token", "left_semi"))
-    matrix = labelled.groupBy("token", F.col("comp").alias("grp"), F.col("weight").alias("grp_weight")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("have").alias("grp_have"))
-    low, high = F.greatest("n0", F.ceil(F.col("n") * num / F.lit(den))), F.least("n1", F.floor(F.col("n") * den / F.lit(num)))
-    least = F.greatest(F.least(_need(F.col("n"), low, num, den), _need(F.col("n"), high, num, den)) - 1, F.lit(1))
+    matrix = labelled.groupBy("token", F.col("comp").alias("grp"), F.col("weight").alias("grp_weight"), F.col("n").alias("grp_n")).agg(F.count("*").alias("members"), F.max("have").alias("grp_have"))
     asks = (F.col("weight") < F.col("grp_weight")) | (F.col("weight") == F.col("grp_weight")) & (F.col("comp") < F.col("grp"))
-    bound = labelled.join(matrix, "token").where(asks & (low <= high) & (F.least("have", "grp_have") >= least))
-    bound = bound.groupBy("node", "n", "have", "grp").agg(F.count("*").alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
-    opened = scratch.save(bound.where(F.col("c") >= least).select("node", "n", "have", "grp"))
-    member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("have").alias("other_have"), F.col("comp").alias("grp"))
-    met = opened.join(labelled.select("token", "node"), "node").join(member, ["token", "grp"]).where(F.least("have", "other_have") >= need("n", "other_n"))
-    met = met.groupBy("node", "n", "other", "other_n").agg(F.count("*").alias("c")).where(F.col("c") >= need("n", "other_n")).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    sized = (F.col("grp_n") * den >= F.col("n") * num) & (F.col("grp_n") * num <= F.col("n") * den)
+    bound = labelled.join(matrix, "token").where(asks & sized & (F.least("have", "grp_have") >= need("n", "grp_n")))
+    bound = bound.groupBy("node", "n", "have", "grp", "grp_n").agg(F.count("*").alias("c"))
+    opened = scratch.save(bound.withColumn("spare", F.col("c") - need("n", "grp_n")).where("spare >= 0"))
+
+    # A member shares all but ``spare`` of the c tokens at most, so it holds one of any spare + 1 of them: the rarest in its group.
+    rarest = Window.partitionBy("node", "grp", "grp_n").orderBy("members", "token")
+    tried = opened.join(labelled.select("token", "node"), "node").join(matrix.select("token", "grp", "grp_n", "members"), ["token", "grp", "grp_n"])
+    tried = tried.withColumn("place", F.row_number().over(rarest)).where("place <= spare + 1")
+    member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("grp_n"), F.col("have").alias("other_have"), F.col("comp").alias("grp"))
+    met = tried.join(member, ["token", "grp", "grp_n"]).where(F.least("have", "other_have") >= need("n", "grp_n"))
+    met = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     met = scratch.save(met)
     if not met.isEmpty():
         more = _verified(docs, profile, met, scratch, k, num, den)
