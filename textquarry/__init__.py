@@ -1,0 +1 @@
+"""Document intelligence and analytics on Spark DataFrames."""
