@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows that Spark hands to Python at once. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
 #: Bytes of text that the vectorised kernels work on at once; a longer text is a slice of its own.
@@ -21,7 +23,8 @@ SLICE_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings that the Arrow stages rely on (memory only, never results)."""
+    """What the Arrow stages rely on: short batches, and this package on the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
