@@ -18,6 +18,7 @@ from ..functions.urls import host, normalize_url, same_site
 from ..operators.links import FOLLOW_SCORE, dedupe_links, extract_links, heuristic_only, heuristic_rank, prefilter
 from ..operators.robots import allowed
 from ..operators.writes import first_per_key
+from ..runtime import Scratch
 
 
 def ranked_links(pages: DataFrame, heuristic: bool = True) -> DataFrame:
@@ -29,9 +30,11 @@ def ranked_links(pages: DataFrame, heuristic: bool = True) -> DataFrame:
 def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float = FOLLOW_SCORE, rules: DataFrame | None = None, rank: Callable[[DataFrame], DataFrame] = ranked_links) -> DataFrame:
     """(depth, url) of all URLs reached, each at its least depth. seeds: (url); pages: (url, html).
 
-    A page's links lead on within its own site. Levels are few, so the plan is a chain of
-    joins; URLs already reached are left out by an anti join.
+    A page's links lead on within its own site; URLs already reached are left out by an anti
+    join. Every level is written to the shared folder, so that the next one reads its rows and
+    does not extract the links again.
     """
+    scratch = Scratch(pages.sparkSession)
     level = seeds.select(normalize_url(F.col("url")).alias("url")).distinct()
     web = pages.withColumn("key", normalize_url(F.col("url")))
     reached = level.withColumn("depth", F.lit(0))
@@ -41,7 +44,7 @@ def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float =
         found = links.select(normalize_url(F.col("url")).alias("url")).distinct()
         if rules is not None:
             found = allowed(found, rules)
-        level = found.join(reached.select("url"), "url", "left_anti")
+        level = scratch.save(found.join(reached.select("url"), "url", "left_anti"))
         reached = reached.unionByName(level.withColumn("depth", F.lit(at)))
     return reached.select("depth", "url")
 

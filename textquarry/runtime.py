@@ -1,14 +1,15 @@
-"""What every Python stage needs: this package on the workers."""
+"""The package on the workers, and intermediate tables that all executors can read."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,40 @@ def ship(spark: SparkSession) -> None:
             out.write(file, f"textquarry/{file.relative_to(root)}")
     context.addPyFile(str(folder / "textquarry.zip"))
     _shipped.add(context.applicationId)
+
+
+class Scratch:
+    """Intermediate tables in the folder that all executors share.
+
+    ``spark.checkpoint.dir`` names that folder; where it is unset (tests, one machine) a
+    temporary folder is made and removed at exit. A saved table cuts the lineage: a lost
+    executor costs a re-read, never a recomputation of what lies before.
+    """
+
+    _own: str | None = None
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if Scratch._own is None:
+                Scratch._own = tempfile.mkdtemp(prefix="textquarry-")
+                atexit.register(shutil.rmtree, Scratch._own, True)
+            base = f"file://{Scratch._own}"
+        self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        self.n = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write df and return the table as read back."""
+        self.n += 1
+        path = f"{self.base}/{self.n:03d}"
+        schema = df.schema
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._scratch_path = path  # type: ignore[attr-defined]
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a saved table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
