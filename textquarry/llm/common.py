@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import Scratch, ship  # noqa: F401
 
 #: Rows that Spark hands to Python at once. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
@@ -28,43 +24,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-class Scratch:
-    """Intermediate tables in the folder that all executors share.
-
-    ``spark.checkpoint.dir`` names that folder; where it is unset (tests, one machine) a
-    temporary folder is made and removed at exit. A saved table cuts the lineage: a lost
-    executor costs a re-read, never a recomputation of what lies before.
-    """
-
-    _own: str | None = None
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if Scratch._own is None:
-                Scratch._own = tempfile.mkdtemp(prefix="textquarry-")
-                atexit.register(shutil.rmtree, Scratch._own, True)
-            base = f"file://{Scratch._own}"
-        self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write df and return the table as read back."""
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path  # type: ignore[attr-defined]
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text leaves ``rest`` mod ``mod``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
