@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ ABSOLUTE = "^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#:]+)(:[0-9]+)?([^?#]*)(\\?[^#]*)?
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "fbclid", "gclid"]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_url(url: Column) -> Column:
     return url.rlike(ABSOLUTE)
 
@@ -36,9 +43,13 @@ def normalize_url(url: Column) -> Column:
     bare = F.regexp_replace(url, "#.*$", "")
     bare = F.regexp_replace(bare, f"(?<=[?&])(?:{names})(?:=[^&]*)?(?:&|$)", "")
     bare = F.regexp_replace(bare, "[?&]$", "")
-    scheme_host = F.concat(F.lower(F.regexp_extract(bare, ABSOLUTE, 1)), F.lit("://"), host(bare), F.regexp_extract(bare, ABSOLUTE, 3))
-    full = F.concat(scheme_host, path(bare), F.regexp_extract(bare, ABSOLUTE, 5))
-    return F.when(~is_url(url), url).when((path(bare) != "/") & full.endswith("/"), F.regexp_replace(full, "/$", "")).otherwise(full)
+
+    def whole(b: Column) -> Column:
+        scheme_host = F.concat(F.lower(F.regexp_extract(b, ABSOLUTE, 1)), F.lit("://"), F.lower(F.regexp_extract(b, ABSOLUTE, 2)), F.regexp_extract(b, ABSOLUTE, 3))
+        full = F.concat(scheme_host, F.regexp_replace(F.regexp_extract(b, ABSOLUTE, 4), "^$", "/"), F.regexp_extract(b, ABSOLUTE, 5))
+        return F.regexp_replace(full, "^([^:]+://[^/]+/.*)/$", "$1")
+
+    return F.when(is_url(url), let(bare, whole)).otherwise(url)
 
 
 def url_id(url: Column) -> Column:
@@ -74,7 +85,7 @@ def resolve(href: Column, base: Column) -> Column:
     for _ in range(4):
         joined = F.regexp_replace(joined, "(?<=[^:/])/(?!\\.\\.?/)[^/?#]+/\\.\\./", "/")
     joined = F.regexp_replace(joined, "(?<=[^:/])/(?:\\./)+", "/")
-    return F.when(is_url(base) | is_url(href), joined)
+    return let(joined, lambda x: F.when(is_url(x), x))
 
 
 def same_site(a: Column, b: Column) -> Column:
