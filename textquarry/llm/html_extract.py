@@ -220,7 +220,7 @@ def extract(html: str | None) -> str:
     run: list[str] = []
     for one in [best] if best.parent is None else [p for p in best.parent.parts if not isinstance(p, str) and not p.drop]:
         density = one.linked / one.chars if one.chars else 1.0
-        good = one is best or values.get(id(one), 0.0) >= max(10.0, 0.2 * most) and one.tag in _BLOCK or one.tag == "p" and density < 0.25 and one.chars > 80
+        good = one is best or one.points > 0 and values.get(id(one), 0.0) >= 0.2 * most and one.tag in _BLOCK or one.tag == "p" and density < 0.25 and one.chars > 80
         if good:
             _blocks(one, out, run)
             _end(out, run)
