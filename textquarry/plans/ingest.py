@@ -134,9 +134,10 @@ def entity_info(corpus: DataFrame, model: LanguageProvider) -> DataFrame:
 def ingest(corpus: DataFrame, warehouse: Warehouse, embeddings: EmbeddingProvider, model: LanguageProvider, staging: str, count: Count = estimate) -> dict[str, int]:
     """Run everything and return the numbers of new rows and of rejects. Stored documents are not changed."""
     stored_entities = warehouse.read("entities")
-    fresh = corpus.where("corrupt is null").select(F.col("entity").alias("id")).distinct().withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
+    fresh = corpus.select(F.col("entity").alias("id")).distinct().withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
     warehouse.append("entities", unseen(fresh, stored_entities, "id"))
     good, bad = split_rejects(corpus, warehouse.read("entities"))
+    rejected = bad.count()
     enriched = enrich(new_documents(good, warehouse.read("documents")), embeddings, model, count)
     enriched.write.mode("overwrite").parquet(staging)
     kept = warehouse.spark.read.schema(enriched.schema).parquet(staging)
@@ -145,4 +146,4 @@ def ingest(corpus: DataFrame, warehouse: Warehouse, embeddings: EmbeddingProvide
     for name, rows in tables.items():
         warehouse.append(name, rows)
     warehouse.replace("entities", overlay(warehouse.read("entities"), entity_info(good, model)))
-    return done | {"rejected": bad.count()}
+    return done | {"rejected": rejected}

@@ -12,7 +12,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 CONTACT = _struct(name=S, title=S, email=S, phone=S, context=S)
 
 # Stored tables.
