@@ -74,7 +74,7 @@ def format_context(chunks: DataFrame, projects: DataFrame) -> DataFrame:
     joined = lambda s, f: F.array_join(F.transform(F.sort_array(F.collect_list(s)), f), "")
     docs = ranked.groupBy("document_id").agg(F.min("r").alias("r"), F.concat(F.min_by("head", "r"), joined(F.struct("r", "body"), lambda x: x["body"])).alias("text"))
     docs = docs.agg(F.count("*").alias("n"), joined(F.struct("r", "text"), lambda x: x["text"]).alias("docs"))
-    money = F.when(F.col("estimated_value").isNotNull(), F.concat(F.lit("$"), F.regexp_replace(F.format_number(F.col("estimated_value").cast("double"), "#,##0.###"), "^$", "0")))
+    money = F.when(F.col("estimated_value").isNotNull(), F.concat(F.lit("$"), F.call_function("format_number", F.col("estimated_value").cast("double"), F.lit("#,##0.###"))))
     text = F.concat(
         F.lit("### "), "phase_emoji", F.lit(" "), "title", F.lit("\n- **Phase**: "), "phase_label", F.lit(" - "), "phase_description", F.lit("\n"), line("- **Entity**", F.col("entity_name")), line("- **Category**", F.col("category")),
         line("- **Est. Value**", money), line("- **Fiscal Year**", F.nullif(F.col("fiscal_year"), F.lit(0)).cast("string")), line("- **Description**", F.col("description")), F.lit("\n"),
