@@ -131,13 +131,15 @@ def _nearest(dim: int, k: int):
             order = np.argsort(cid, kind="stable")
             c, cid = c[order], cid[order]
             rough = distances(q, c)
+            most = k + len(cid) - len(np.unique(cid))  # rows that repeat an id take no other's place
             out = []
             for i in range(len(q)):
                 d = np.where(cid == qid[i], np.inf, rough[i])
-                edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                edge = np.partition(d, most - 1)[most - 1] if len(d) > most else np.inf
                 at = np.flatnonzero((d <= edge + 1e-6 * (1 + edge)) & np.isfinite(d)) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
                 exact = np.sqrt(((c[at] - q[i]) ** 2).sum(1))
-                best = np.lexsort((cid[at], exact))[:k]
+                best = np.lexsort((cid[at], exact))
+                best = best[np.sort(np.unique(cid[at][best], return_index=True)[1])][:k]
                 out.append((np.full(len(best), qid[i]), cid[at][best], exact[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
