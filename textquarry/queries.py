@@ -268,6 +268,11 @@ def heuristic_rank(spark, sf):
     return links.heuristic_rank(_deduped(spark, sf)).select("page_url", "url", "score")
 
 
+@query(f"WITH {_SCORED} SELECT page_url, url, score FROM sc")
+def heuristic_scores(spark, sf):
+    return _deduped(spark, sf).select("page_url", "url", links.heuristic_score(F.col("url"), F.col("anchor_text"), F.col("context")).alias("score"))
+
+
 @query(
     f"""WITH {_SCORED} SELECT url, CAST(floor(p / 50) AS INTEGER) AS batch, CAST(p % 50 AS INTEGER) AS "index"
 FROM (SELECT url, page_url, row_number() OVER (PARTITION BY split_part(page_url, '/', 3) ORDER BY score DESC, page_url, pos) - 1 AS p FROM sc)"""
