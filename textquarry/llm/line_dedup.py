@@ -21,6 +21,8 @@ shared says on which side the edit lies, and only the keys of that side are emit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from .common import Scratch
 #: Up to so many rows (ids or lines) a table is broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 _BLANK = " \t\x0b\f\r"
+#: Places of a line that are summed up together.
+STEP = 64
 
 
 def _words(line: Column) -> Column:
@@ -43,12 +47,11 @@ def _order() -> list[str]:
     return ["id", "doc", "line"]
 
 
-def _lines(documents: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, doc, line, words) of the lines that take part; doc tells texts of one id apart."""
-    rows = documents.where(F.col(text_col).isNotNull()).select(
+def _lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, line, raw) of all lines; doc tells texts of one id apart."""
+    return documents.where(F.col(text_col).isNotNull()).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw")
     )
-    return rows.select("id", "doc", "line", _words(F.col("raw")).alias("words")).where(F.size("words") >= min_words)
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -57,31 +60,53 @@ def _named(lines: DataFrame) -> DataFrame:
 
 
 def _halves(lines: DataFrame) -> DataFrame:
-    """Adds the four halves: of w words and, as the longer of two copies, of w - 1."""
+    """Adds the four halves: of w words and, as the longer of two copies, of w - 1. A front half is odd, a back half even."""
     w = F.size("words")
-    out = lines.withColumn("w", w)
+    out = lines
     for name, n in (("0", w), ("1", w - 1)):
         half = F.floor(n / 2).cast("int")
-        out = out.withColumn(f"p{name}", F.xxhash64(F.lit("p"), n, F.slice("words", F.lit(1), half)))
-        out = out.withColumn(f"s{name}", F.xxhash64(F.lit("s"), n, F.slice("words", w - (n - half) + 1, n - half)))
+        out = out.withColumn(f"p{name}", F.xxhash64(F.lit("p"), n, F.slice("words", F.lit(1), half)).bitwiseOR(F.lit(1)))
+        out = out.withColumn(f"s{name}", F.xxhash64(F.lit("s"), n, F.slice("words", w - (n - half) + 1, n - half)).bitwiseAND(F.lit(-2)))
     return out
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(steps: Column) -> Column:
+    """The XOR of the first 1, 2, ... numbers, block by block, so that long lines take time in proportion."""
+    zero = F.lit(0).cast("long")
+    block = lambda b: F.slice(steps, b * STEP + 1, F.lit(STEP))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STEP).cast("int"))
+    append = lambda acc, x: F.array_append(acc, _xor(F.element_at(acc, -1), x))
+
+    def joined(totals: Column) -> Column:
+        own = lambda b: F.slice(F.aggregate(block(b), F.array(F.aggregate(F.slice(totals, F.lit(1), b), zero, _xor)), append), 2, STEP)
+        return F.flatten(F.transform(blocks, own))
+
+    return _let(F.transform(blocks, lambda b: F.aggregate(block(b), zero, _xor)), joined)
+
+
 def _keys(words: Column, first: Column, last: Column) -> Column:
     """array<struct<place, key>>: the whole sequence, and it without the word of each place on the allowed sides."""
     zero = F.lit(0).cast("long")
     w = F.size(words)
-    at = F.transform(words, lambda x, j: F.xxhash64(x, j))  # word j at place j
-    moved = F.transform(words, lambda x, j: F.xxhash64(x, j - 1))  # word j one place on
-    whole = F.aggregate(at, zero, _xor)
-    total = F.aggregate(moved, zero, _xor)
-    steps = F.zip_with(F.concat(F.array(zero), F.slice(at, 1, w - 1)), moved, _xor)
-    running = F.aggregate(steps, F.array(zero), lambda acc, x: F.array_append(acc, _xor(F.element_at(acc, -1), x)))
     half = F.floor((w - 1) / 2).cast("int")
-    without = F.transform(F.slice(running, 2, w), lambda x, j: F.struct((j + 1).alias("place"), _xor(x, total).alias("key")))
-    # An edit outside the first half lies at a place beyond floor((w - 1) / 2), one outside the last half at or before ceil(w / 2).
-    without = F.filter(without, lambda s: (first & (s["place"] > half)) | (last & (s["place"] <= w - half)))
-    return F.concat(F.array(F.struct(F.lit(0).alias("place"), whole.alias("key"))), without)
+
+    def made(at: Column, moved: Column) -> Column:
+        whole = F.aggregate(at, zero, _xor)
+        steps = F.zip_with(F.concat(F.array(zero), F.slice(at, 1, w - 1)), moved, _xor)
+        both = F.struct(F.aggregate(moved, zero, _xor).alias("total"), _let(steps, _running).alias("running"))
+        without = _let(both, lambda s: F.transform(s["running"], lambda x, j: F.struct((j + 1).alias("place"), _xor(x, s["total"]).alias("key"))))
+        # An edit outside the first half lies at a place beyond floor((w - 1) / 2), one outside the last half at or before ceil(w / 2).
+        without = F.filter(without, lambda s: (first & (s["place"] > half)) | (last & (s["place"] <= w - half)))
+        return F.concat(F.array(F.struct(F.lit(0).alias("place"), whole.alias("key"))), without)
+
+    here = F.transform(words, lambda x, j: F.xxhash64(x, j))  # word j at place j
+    before = F.transform(words, lambda x, j: F.xxhash64(x, j - 1))  # word j one place on
+    return _let(F.struct(here.alias("at"), before.alias("moved")), lambda s: made(s["at"], s["moved"]))
 
 
 def _less(words: Column, place: Column) -> Column:
@@ -93,24 +118,26 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc, dropped): for every text that loses lines, the numbers of those lines (from 0)."""
     scratch = Scratch(documents.sparkSession)
     order = F.struct(*_order())
-    occurs = scratch.save(_halves(_named(_lines(documents, id_col, text_col, min_words))).drop("words"))
-    distinct = occurs.groupBy("h", "g").agg(F.min(order).alias("first"), F.max("w").alias("w"), *[F.max(c).alias(c) for c in ("p0", "p1", "s0", "s1")], F.count("*").alias("n"))
+    lines = _lines(documents, id_col, text_col)
+    worded = lines.withColumn("words", _words(F.col("raw"))).where(F.size("words") >= min_words)
+    occurs = scratch.save(_halves(_named(worded)).drop("words", "raw"))
+    distinct = occurs.groupBy("h", "g").agg(F.min(order).alias("first"), *[F.max(c).alias(c) for c in ("p0", "p1", "s0", "s1")], F.count("*").alias("n"))
     distinct = scratch.save(distinct)
 
-    halves = distinct.select("h", "g", F.explode(F.array(*[F.struct(F.lit(c[0] == "p").alias("front"), F.col(c).alias("half")) for c in ("p0", "p1", "s0", "s1")])).alias("x")).select("h", "g", "x.*")
-    halves = halves.repartition("half")
-    common = halves.groupBy("half").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("half")
-    likely = halves.join(common.hint("merge"), "half", "left_semi").groupBy("h", "g").agg(F.max("front").alias("front"), F.min("front").alias("only_front"))
-    likely = scratch.save(likely.select("h", "g", "front", (~F.col("only_front")).alias("back")))
+    # Both sides of the join below read the same columns, so the halves are shuffled once.
+    halves = distinct.select("h", "g", F.explode(F.array("p0", "p1", "s0", "s1")).alias("half")).repartition("half")
+    line = F.struct("h", "g")
+    common = halves.groupBy("half").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x < y").select("half")
+    front = F.col("half").bitwiseAND(F.lit(1)) == 1
+    likely = halves.join(common.hint("merge"), "half", "left_semi").groupBy("h", "g").agg(F.max(front).alias("front"), F.max(~front).alias("back"))
+    likely = scratch.save(likely.join(distinct.select("h", "g", "first.*"), ["h", "g"]))
     few = likely.count() <= BROADCAST_ROWS
-    found = _named(_lines(documents, id_col, text_col, min_words)).join(F.broadcast(likely) if few else likely, ["h", "g"])
-    first = distinct.select("h", "g", "first.*")
-    found = found.join(first.join(likely, ["h", "g"], "left_semi"), ["h", "g", *_order()]).dropDuplicates(["h", "g"]) if not few else found.groupBy("h", "g", "front", "back", "words").agg(F.min(order).alias("first")).select("h", "g", "front", "back", "words", "first.*")
-    found = scratch.save(found.select("h", "g", "words", "front", "back", order.alias("first")))
+    found = lines.join((F.broadcast(likely) if few else likely).drop("id"), ["doc", "line"]).withColumn("words", _words(F.col("raw")))
+    found = scratch.save(found.select("h", "g", "words", "front", "back", order.alias("first")).dropDuplicates(["h", "g"]))
 
-    keys = found.select("h", "g", "first", F.explode(_keys(F.col("words"), F.col("front"), F.col("back"))).alias("k")).select("h", "g", "first", "k.*").repartition("key")
+    keys = scratch.save(found.select("h", "g", "first", F.explode(_keys(F.col("words"), F.col("front"), F.col("back"))).alias("k")).select("h", "g", "first", "k.*"))
     shared = keys.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key")
-    met = scratch.save(keys.join(shared.hint("merge"), "key", "left_semi"))
+    met = scratch.save(keys.join(shared, "key", "left_semi"))
 
     lead = met.groupBy("key", "place").agg(F.min(F.struct("first", "h", "g")).alias("lead"))
     after = lead.where("place > 0").groupBy("key").agg(F.min(F.struct(F.col("lead.first").alias("first"), F.col("lead.h").alias("h"), F.col("lead.g").alias("g"), "place")).alias("lead"))

@@ -223,7 +223,8 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     hints = spark.sparkContext.broadcast((token[by], rank[by]))
 
     postings = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int").repartition("token")
-    common = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
+    own = F.struct("node", "n")  # both sides of the join read the same columns, so the postings are made and shuffled once
+    common = postings.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("token")
     shared = scratch.save(postings.join(common.hint("merge"), "token", "left_semi").distinct())
     shared = scratch.save(shared.join(shared.groupBy("node").agg(F.count("*").alias("have")), "node"))
 
