@@ -250,9 +250,11 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     bound = bound.groupBy("node", "n", "have", "grp", "grp_n").agg(F.count("*").alias("c"))
     opened = scratch.save(bound.withColumn("spare", F.col("c") - need("n", "grp_n")).where("spare >= 0"))
 
-    # A member shares all but ``spare`` of the c tokens at most, so it holds one of any spare + 1 of them: the rarest in its group.
+    # A member shares all but ``spare`` of the c tokens at most, so it holds one of any spare + 1 of them: the rarest in its
+    # group. They are taken from the tokens that c counts; others are held only by members that can't be partners.
     rarest = Window.partitionBy("node", "grp", "grp_n").orderBy("members", "token")
-    tried = opened.join(labelled.select("token", "node"), "node").join(matrix.select("token", "grp", "grp_n", "members"), ["token", "grp", "grp_n"])
+    tried = opened.join(labelled.select("token", "node"), "node").join(matrix.select("token", "grp", "grp_n", "grp_have", "members"), ["token", "grp", "grp_n"])
+    tried = tried.where(F.least("have", "grp_have") >= need("n", "grp_n"))
     tried = tried.withColumn("place", F.row_number().over(rarest)).where("place <= spare + 1")
     member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("grp_n"), F.col("have").alias("other_have"), F.col("comp").alias("grp"))
     met = tried.join(member, ["token", "grp", "grp_n"]).where(F.least("have", "other_have") >= need("n", "grp_n"))
