@@ -1,7 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
+import pytest
+
+from textquarry.llm import lm_score as lm
 from textquarry.llm.ngram_jaccard import ngram_jaccard
 
 
@@ -22,3 +28,30 @@ def test_jaccard_members_below_the_bound(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in ngram_jaccard(df, k=1).collect()}
     assert {k for k in want if got[k] != want[k]} == set()
+
+
+def test_lm_rare_pairs(spark, monkeypatch):
+    """Pairs too rare for the filter count as well: with nothing in it, scores are those of all pairs seen twice."""
+    for name in ("COUNTED", "PAIRED", "KEPT"):
+        monkeypatch.setattr(lm, name, 0.2)
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(rnd.randrange(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.lm_score(df).collect()}
+    tokens = {i: ["", *t.split(), ""] for i, t in rows}
+    learned = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    word = Counter(w for t in learned for w in t[1:])
+    pair = Counter(p for t in learned for p in zip(t, t[1:], strict=False))
+    pair = {p: n for p, n in pair.items() if n >= 2}
+    led = Counter()
+    for (v, _), n in pair.items():
+        led[v] += n
+    whole = sum(word.values()) + len(word) + 1
+
+    def p(v, w):
+        rest = 1 - 0.9 * led[v] / word[v] if word[v] else 1
+        return (0.9 * pair.get((v, w), 0) / word[v] if word[v] else 0) + rest * (word[w] + 1) / whole
+
+    assert len(pair) > 50
+    for i, t in tokens.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(t, t[1:], strict=False)), rel=1e-9)

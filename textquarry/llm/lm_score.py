@@ -1,19 +1,19 @@
 """Language-model scores of texts from a log-frequency Bloom filter.
 
-Counts come from all training texts: every word, and every pair of neighbours of which both
-are frequent. Words and pairs are frequent by their share of all tokens, not by a number, so
-at most 1 / share of them can be, whatever the corpus: those bounds size what is broadcast.
+Counts come from all training texts: every word, and every pair of neighbours seen at least
+LEAST times, whatever the corpus. What is broadcast holds the frequent ones; all others meet
+their occurrences in a join. Words and pairs are frequent by their share of all tokens, so at
+most 1 / share of them can be: those bounds say what is broadcast, not what is counted.
 
-* COUNTED: words of at least this share have their exact counts broadcast; counts of all
-  other words meet their occurrences in a join.
-* PAIRED: words of at least this share can form pairs.
-* KEPT: pairs of at least this share enter the filter.
+* COUNTED: words of at least this share have their exact counts broadcast.
+* PAIRED, KEPT: pairs of at least the share KEPT, of two words of at least PAIRED, enter the filter.
 
 The filter holds (item, level) for every level up to the logarithm of the item's count; a
-count is read by probing level after level until a probe fails. Pairs, their first words and
-the probability mass that a first word's pairs take are read that way. A word's probability
-is D * c(v w) / c(v) + (1 - mass(v)) * (c(w) + 1) / (N + V + 1): the add-one unigram gets
-what the pairs leave, so probabilities sum to 1 up to quantisation and false positives.
+count is read by probing level after level until a probe fails. A word's probability is
+D * c(v w) / c(v) + rest(v) * (c(w) + 1) / (N + V + 1), where rest(v) = 1 - D * (share of v's
+occurrences that lead its pairs): the add-one unigram gets what the pairs leave, so
+probabilities sum to 1 up to quantisation and false positives. Its logarithm is a sum of what
+w, v and the pair are worth, each of which a join by one key can add.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, learns, mix64, slices, tune, word_hashes
 
 COUNTED, PAIRED, KEPT = 2.0**-20, 2.0**-16, 2.0**-22
+#: Least count of a pair of the model.
+LEAST = 2
 #: Tokens that a worker counts before it hands on their sums.
 BLOCK = 1 << 22
-#: Ratio of neighbouring levels, share of the pairs' mass, steps of the mass, bits and probes per entry.
-RATIO, DISCOUNT, STEPS, BITS, PROBES = 2 ** (1 / 3), 0.9, 32, 16, 6
+#: Ratio of neighbouring levels, share of the pairs' mass, bits and probes per entry.
+RATIO, DISCOUNT, BITS, PROBES = 2 ** (1 / 3), 0.9, 16, 6
 #: The token that ends every text and precedes its first word.
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -75,41 +77,52 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Words:
-    """Exact counts of the frequent words, and the small numbers of those that form pairs."""
+    """Exact counts of the frequent words, what their pairs leave, and which of them form pairs of the filter."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, total: int, distinct: int):
+    def __init__(self, key: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int):
         order = np.argsort(key)
-        self.key, self.n, self.total, self.distinct = key[order], n[order], total, distinct
-        paired = np.flatnonzero(self.n >= max(1, PAIRED * total))
-        self.number = np.full(len(key), -1, np.int32)
-        self.number[paired] = np.arange(len(paired))
-        self.paired_n = self.n[paired]
-
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, pair number) of each token; 0 and -1 where it is not frequent."""
+        self.key, self.total, self.distinct = key[order], total, distinct
+        # The last entry stands for words that are not frequent.
+        self.n, self.rest = np.append(n[order], 0), np.append(rest[order], 1.0)
+        self.paired = self.n >= max(1, PAIRED * total)
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Each token's place, -1 where it is not frequent."""
         if not len(self.key):
-            return np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int32)
+            return np.full(len(tokens), -1)
         at = np.minimum(np.searchsorted(self.key, tokens), len(self.key) - 1)
-        there = self.key[at] == tokens
-        return np.where(there, self.n[at], 0), np.where(there, self.number[at], -1)
+        return np.where(self.key[at] == tokens, at, -1)
 
 
-def _count_pairs(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        words, held = shared.value, []
-        for batch in batches:
-            for _, _, tokens, text in _tokens(batch.column(0)):
-                number = words.find(tokens)[1].astype(np.int64)
-                v = _before(number, text, words.find(np.array([END]))[1][0])
-                both = (v >= 0) & (number >= 0)
-                held.append(v[both] << 32 | number[both])
-                if sum(map(len, held)) >= BLOCK:
-                    yield _sums(pa.int64(), held)
-        if held:
-            yield _sums(pa.int64(), held)
+def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit items of pairs of neighbours."""
+    return mix64(mix64(v * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) + w)
 
-    return run
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    np.seterr(over="ignore")
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sums() -> pa.RecordBatch:
+        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        _, at, n = np.unique(_pairs(v, w), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["v", "w", "n"])
+
+    for batch in batches:
+        for _, _, tokens, text in _tokens(batch.column(0)):
+            held.append((_before(tokens, text, END), tokens))
+            if sum(len(w) for _, w in held) >= BLOCK:
+                yield sums()
+    if held:
+        yield sums()
+
+
+def _pair_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    np.seterr(over="ignore")
+    for batch in batches:
+        v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_pairs(v, w).view(np.int64)), batch.column(2)], names=["word", "gain"])
 
 
 class LogFrequencyFilter:
@@ -144,106 +157,107 @@ class LogFrequencyFilter:
         return out
 
 
-def _item(kind: int, key: np.ndarray) -> np.ndarray:
-    return mix64(key.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))
-
-
 class LogFrequencyModel:
-    """Quantised counts of pairs in a filter, exact counts of frequent words beside it."""
+    """Quantised counts of frequent pairs in a filter, exact counts of frequent words beside it."""
 
-    def __init__(self, words: _Words, pair: np.ndarray, n: np.ndarray):
+    def __init__(self, words: _Words, v: np.ndarray, w: np.ndarray, n: np.ndarray):
         self.words = words
-        self.least = max(2, math.ceil(KEPT * words.total))
-        levels = lambda c, least: 1 + np.floor(np.log(np.maximum(c / least, 1)) / math.log(RATIO) + 1e-9).astype(np.int64)
-        first = np.arange(len(words.paired_n), dtype=np.uint64)
-        pair_level, first_level = levels(n, self.least), levels(words.paired_n, 1)
-        v = pair >> 32
-        share = DISCOUNT * np.minimum(self._count(pair_level, self.least) / self._count(first_level[v], 1), 1.0)
-        mass = np.minimum(np.bincount(v, share, len(first)) if len(v) else np.zeros(len(first)), 1 - 1 / STEPS)
-        mass_level = np.ceil(mass * STEPS).astype(np.int64).clip(0, STEPS - 1)
-        self.filter = LogFrequencyFilter(int(pair_level.sum() + first_level.sum() + mass_level.sum()))
-        self.filter.add(_item(1, pair), pair_level)
-        self.filter.add(_item(2, first), first_level)
-        self.filter.add(_item(3, first), mass_level)
-
-    @staticmethod
-    def _count(level: np.ndarray, least: float) -> np.ndarray:
-        """The middle of a level's range; 0 for level 0."""
-        return np.where(level > 0, least * RATIO ** (level - 0.5), 0.0)
-
-    def open(self) -> None:
-        """Read counts and masses of all first words, once in a worker."""
-        first = np.arange(len(self.words.paired_n), dtype=np.uint64)
-        self.first_count = self._count(self.filter.level(_item(2, first)), 1)
-        self.rest = 1 - np.minimum(self.filter.level(_item(3, first)), STEPS - 1) / STEPS
-
-    def score(self, number: np.ndarray, before: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 probabilities; where unigram is nan, of what precedes the unknown unigram as a factor."""
-        seen = np.zeros(len(number))
-        rest = np.ones(len(number))
-        known = before >= 0
-        rest[known] = self.rest[before[known]]
-        both = np.flatnonzero(known & (number >= 0))
-        v = before[both].astype(np.int64)
-        level = self.filter.level(_item(1, v << 32 | number[both].astype(np.int64)))
-        seen[both] = DISCOUNT * np.minimum(self._count(level, self.least) / np.maximum(self.first_count[v], 1e-300), 1.0)
-        return np.log10(np.where(np.isnan(unigram), rest, np.minimum(seen + rest * np.nan_to_num(unigram), 1.0)))
+        self.least = least_kept(words.total)
+        both = words.paired[words.find(v)] & words.paired[words.find(w)]
+        level = 1 + np.floor(np.log(np.maximum(n[both] / self.least, 1)) / math.log(RATIO) + 1e-9).astype(np.int64)
+        self.filter = LogFrequencyFilter(int(level.sum()))
+        self.filter.add(_pairs(v[both], w[both]), level)
+
+    def gains(self, items: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 of what each pair's probability gains over the back-off; 0 for pairs the filter does not hold. v and w are places."""
+        words, out = self.words, np.zeros(len(items))
+        both = np.flatnonzero(words.paired[v] & words.paired[w])
+        level = self.filter.level(items[both])
+        held, level = both[level > 0], level[level > 0]
+        back = words.rest[v[held]] * (words.n[w[held]] + 1) / (words.total + words.distinct + 1)
+        seen = DISCOUNT * np.minimum(self.least * RATIO ** (level - 0.5) / words.n[v[held]], 1.0)
+        out[held] = np.log10(np.maximum(np.minimum(seen + back, 1.0) / back, 1 + 1e-12))
+        return out
+
+
+def least_kept(total: int) -> int:
+    """Least count of a pair of the filter."""
+    return max(LEAST, math.ceil(KEPT * total))
+
+
+def _counted(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, times), each pair of them once."""
+    order = np.lexsort((item, text))
+    t, x = item[order], text[order]
+    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])])) if len(t) else np.zeros(0, np.int64)
+    return x[new], t[new], np.diff(np.append(new, len(t)))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         model = shared.value
-        if not hasattr(model, "rest"):
-            model.open()
         words = model.words
         whole = words.total + words.distinct + 1
-        start = int(words.find(np.array([END]))[1][0])
+        start = int(words.find(np.array([END]))[0])
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, tokens, text in _tokens(batch.column(2)):
-                count, number = words.find(tokens)
-                unigram = np.where(count > 0, (count + 1) / whole, np.nan)
-                score = model.score(number, _before(number, text, start), unigram)
+                at = words.find(tokens)
+                count = words.n[at]
+                item = _pairs(_before(tokens, text, END), tokens)
+                gain = model.gains(item, _before(at, text, start), at)
+                base = np.where(count > 0, np.log10((count + 1) / whole), 0.0)
                 n = j - i
+                # Each token of a text precedes one of its tokens, END the first: the shares that pairs leave sum up over the text's own tokens.
+                score = base + np.log10(words.rest[at]) + gain
                 own = pa.StructArray.from_arrays(
                     [
                         batch.column(1).slice(i, n), pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(np.bincount(text, count > 0, n).astype(np.int64)),
-                        pa.array(np.bincount(text, np.log10(np.nan_to_num(unigram, nan=1.0)), n)), pa.array(np.bincount(text, score, n)),
+                        pa.array(np.bincount(text, base, n)), pa.array(np.bincount(text, score, n)),
                     ],
                     names=["id", "tokens", "known", "base", "score"],
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(key[i:j]), pa.array(np.zeros(n, np.int32)), own], names=["key", "word", "times", "own"])
-                rare = np.flatnonzero(count == 0)
-                if len(rare):
-                    order = np.lexsort((tokens[rare], text[rare]))
-                    t, x = tokens[rare][order], text[rare][order]
-                    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])]))
-                    times = np.diff(np.append(new, len(t)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i:j][x[new]]), pa.array(t[new].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(new), own.type)], names=["key", "word", "times", "own"])
+                for asked, items, sign in ((np.flatnonzero(count == 0), tokens, 1), (np.flatnonzero(gain == 0), item, -1)):
+                    if len(asked):
+                        x, t, times = _counted(text[asked], items[asked])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[i:j][x]), pa.array(t.view(np.int64)), pa.array((sign * times).astype(np.int32)), pa.nulls(len(x), own.type)], names=["key", "word", "times", "own"])
 
     return run
 
 
 def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[LogFrequencyModel, DataFrame]:
-    """The model of all texts, and the table (key, n) of all word counts."""
+    """The model of all texts, and the table (word, n, log, gain) of what else their words and pairs are worth."""
     spark = documents.sparkSession
     texts = documents.select(F.col(text_col).alias("text"))
     counts = scratch.save(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    pairs = scratch.save(texts.mapInArrow(_count_pairs, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+    led = pairs.groupBy(F.col("v").alias("key")).agg(F.sum("n").alias("led"))
+    counts = scratch.save(counts.join(led, "key", "left").select("key", "n", (1 - DISCOUNT * F.coalesce("led", F.lit(0)) / F.col("n")).alias("rest")))
     frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
-    words = _Words(frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), total, distinct)
-    shared = spark.sparkContext.broadcast(words)
-    pairs = texts.mapInArrow(_count_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    kept = pairs.where(F.col("n") >= max(2, math.ceil(KEPT * total))).toArrow()
-    return LogFrequencyModel(words, kept["key"].to_numpy(), kept["n"].to_numpy()), counts
+    words = _Words(frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), frequent["rest"].to_numpy(), total, distinct)
+    kept = pairs.where(F.col("n") >= least_kept(total)).toArrow()
+    model = LogFrequencyModel(words, kept["v"].to_numpy().view(np.uint64), kept["w"].to_numpy().view(np.uint64), kept["n"].to_numpy())
+
+    whole = F.lit(float(total + distinct + 1))
+    rare = counts.where(F.col("n") < COUNTED * total).select(F.col("key").alias("word"), "n", F.log10((F.col("n") + 1) / whole).alias("log"), F.log10("rest").alias("gain"))
+    first = counts.select(F.col("key").alias("v"), F.col("n").alias("nv"), "rest")
+    second = counts.select(F.col("key").alias("w"), F.col("n").alias("nw"))
+    filtered = (F.col("n") >= least_kept(total)) & (F.least("nv", "nw") >= max(1, PAIRED * total))
+    other = pairs.join(first, "v").join(second, "w").where(~filtered)
+    other = other.select("v", "w", F.log10(1 + DISCOUNT * F.col("n") / F.col("nv") / (F.col("rest") * (F.col("nw") + 1) / whole)).alias("gain"))
+    none = F.lit(None)
+    other = other.mapInArrow(_pair_items, "word long, gain double").select("word", none.cast("long").alias("n"), none.cast("double").alias("log"), "gain")
+    return model, rare.unionByName(other)
 
 
 def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2) -> DataFrame:
     """Scores of all whole texts under a model of those that are not held out.
 
     Returns the id, held_out, n_tokens, n_known (tokens the training texts hold), train_tokens,
-    base_score (add-one unigram, exact) and score (the filter's model), both log10.
+    base_score (add-one unigram, exact) and score (the model of pairs), both log10.
 
     A null or empty text is the end token alone. Null ids keep their rows, are not held out and
     teach nothing. Repeated rows each teach and each keep a row. An empty table gives no rows,
@@ -254,18 +268,19 @@ def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tune(spark)
     np.seterr(over="ignore")
     scratch = Scratch(spark)
-    model, counts = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col)
+    model, rest_of = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col)
     words = model.words
     shared = spark.sparkContext.broadcast(model)
     rows = documents.select(F.xxhash64(F.lit(1), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_score(shared), "key long, word long, times int, own struct<id:long,tokens:long,known:long,base:double,score:double>")
-    rare = counts.where(F.col("n") < COUNTED * words.total).select(F.col("key").alias("word"), "n")
-    joined = scored.join(rare, "word", "left")
-    log = F.when(F.col("times") > 0, F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(words.total + words.distinct + 1)))).otherwise(F.lit(0.0))
-    known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    by = joined.select("key", "own", log.alias("log"), known.alias("known")).groupBy("key").agg(
+    joined = scored.join(rest_of, "word", "left")
+    # times counts words where it is positive, pairs where it is negative.
+    log = F.when(F.col("times") > 0, F.col("times") * F.coalesce("log", F.log10(1 / F.lit(float(words.total + words.distinct + 1))))).otherwise(F.lit(0.0))
+    known = F.when((F.col("times") > 0) & F.col("n").isNotNull(), F.col("times")).otherwise(0)
+    gain = F.abs("times") * F.coalesce("gain", F.lit(0.0))
+    by = joined.select("key", "own", log.alias("log"), known.alias("known"), gain.alias("gain")).groupBy("key").agg(
         F.max("own.id").alias("id"), F.count("own").alias("rows"), F.sum("own.tokens").alias("tokens"), F.sum(F.coalesce("own.known", F.lit(0)) + F.col("known")).alias("known"),
-        F.sum(F.coalesce("own.base", F.lit(0.0)) + F.col("log")).alias("base"), F.sum(F.coalesce("own.score", F.lit(0.0)) + F.col("log")).alias("score"),
+        F.sum(F.coalesce("own.base", F.lit(0.0)) + F.col("log")).alias("base"), F.sum(F.coalesce("own.score", F.lit(0.0)) + F.col("log") + F.col("gain")).alias("score"),
     )
     one = lambda c: (F.col(c) / F.col("rows")).cast("long")
     out = by.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
