@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from textquarry.llm import language_id as li
 from textquarry.llm import lm_score as lm
 from textquarry.llm.ngram_jaccard import ngram_jaccard
 
@@ -55,3 +56,13 @@ def test_lm_rare_pairs(spark, monkeypatch):
     assert len(pair) > 50
     for i, t in tokens.items():
         assert got[i] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(t, t[1:], strict=False)), rel=1e-9)
+
+
+def test_many_languages(spark):
+    """Every language found gets a dictionary."""
+    rnd = random.Random(13)
+    words = {f"l{i:03d}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for i in range(205)}
+    rows = [(3 * i + j, " ".join(rnd.choice(own) for _ in range(20)), lang) for i, (lang, own) in enumerate(words.items()) for j in range(3)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.languages) == sorted(words)
+    assert model.predict(" ".join(words["l204"]))[0] == "l204"

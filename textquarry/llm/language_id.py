@@ -16,8 +16,6 @@ from .compression import cut, sample_ids, sizes, with_text
 
 #: The sample that dictionaries are made of: so many texts of a language, so many bytes of each.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES = 200, 512, 65_536
-#: At most so many languages, the most frequent ones, get a dictionary.
-LANGUAGES = 200
 BLOCK = 2048
 #: Relative lead of the best size over the second under which a prediction is rejected.
 MARGIN = 0.002
@@ -58,15 +56,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Dictionaries from a bounded sample of labelled texts; shares of the languages from all of them."""
+    """Dictionaries from a bounded sample of each language's texts, however many languages; shares from all texts."""
     labelled = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("class"))
-    counts = [tuple(r) for r in labelled.groupBy("class").count().orderBy(F.desc("count"), "class").limit(LANGUAGES).collect()]
+    counts = [tuple(r) for r in labelled.groupBy("class").count().orderBy(F.desc("count"), "class").collect()]
     names = [c for c, _ in counts]
-    sample = sample_ids(labelled.where(F.col("class").isin(names)) if len(names) == LANGUAGES else labelled, SAMPLE_TEXTS)
-    texts = with_text(sample, documents, id_col, text_col).select("class", "place", "text")
+    texts = with_text(sample_ids(labelled, SAMPLE_TEXTS), documents, id_col, text_col).select("class", "place", "text")
     rows = texts.mapInArrow(_pieces, "class string, place int, piece binary").collect()
-    raws = [b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["place"]) if r["class"] == name)[:DICT_BYTES] for name in names]
+    pieces: dict[str, list[bytes]] = {name: [] for name in names}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        pieces[r["class"]].append(bytes(r["piece"]))
+    raws = [b" ".join(pieces[name])[:DICT_BYTES] for name in names]
     total = sum(n for _, n in counts)
     kept = [i for i, raw in enumerate(raws) if raw.strip()]
     return LanguageModel([names[i] for i in kept], [raws[i] for i in kept], [-math.log(counts[i][1] / total, 256) for i in kept])
