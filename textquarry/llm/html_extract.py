@@ -1,11 +1,13 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is read into a small tree that closes open paragraphs, items and cells as browsers do.
-Elements that are never the article (scripts, menus, forms, ...) and elements whose class, id
-or role name a menu, header, footer, sidebar, notice, advert or comments are marked. Every
-paragraph gives points for its length and its commas to its parent, half of them to the
-grandparent, a third to the next; a container's points are discounted by the share of its
-text that is links. The best container is kept, with those of its siblings that score well.
+Elements that are never the article (scripts, menus, asides, ...) are marked, and so are those
+whose class, id or role names a menu, header, footer, sidebar, notice, advert or comments.
+A name alone does not lose an article: what holds the page's article or main element, or most
+of the text, stays, and ``has-sidebar`` or ``no-comments`` name nothing. Every paragraph gives
+points for its length and its commas to its parent, half of them to the grandparent, a third
+to the next; a container's points are discounted by the share of its text that is links. The
+best container is kept, with the headings, paragraphs and good containers beside it.
 """
 
 from __future__ import annotations
@@ -22,22 +24,26 @@ from .common import tune
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 #: Elements whose content is text for machines; it ends at their own end tag only.
-_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"))
+_RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-_DROP = frozenset(("nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "math", "canvas", "object", "dialog", "menu", "head", "audio", "video", "fieldset", "label", *_RAW))
+_DROP = frozenset(("nav", "footer", "aside", "button", "select", "option", "input", "svg", "math", "canvas", "object", "dialog", "menu", "head", "audio", "video", "label", *_RAW))
 _BLOCK = frozenset(
     (
         "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
         "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "ul",
     )
 )
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 #: What an opening tag ends: (these open elements, unless one of those lies between).
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)), "thead": (("tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)),
 }
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile(r"""\b(?!style\b)[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_UNHEARD = re.compile(r"""aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Parts of class, id and role names of what is not the article.
 _UNLIKELY = frozenset(
@@ -48,35 +54,90 @@ _UNLIKELY = frozenset(
         "widget", "widgets", "tags", "disclaimer",
     )
 )
+#: Parts that leave a name what it is: a ``site-footer`` is a footer.
+_PLAIN = frozenset(
+    (
+        "site", "main", "left", "right", "top", "bottom", "list", "area", "wrap", "wrapper", "container", "box", "block", "section", "inner", "primary", "secondary", "global", "bar", "links", "slot", "unit", "item", "items", "form", "thread", "body",
+        "col", "column", "panel", "group", "row", "head", "post", "posts", "entry", "article", "user", "reader",
+    )
+)
+#: Parts that say of the next or the last part whether it is there, not that this is it.
+_ABOUT, _STATE = frozenset(("has", "no", "with", "without", "hide", "show", "not", "is", "allow", "allows", "enable", "disable")), frozenset(("open", "opened", "closed", "enabled", "disabled", "on", "off", "less", "none", "hidden", "visible", "active"))
+#: A header of one of these belongs to the article.
+_OWN = frozenset(("post", "entry", "article", "story", "content", "news", "single"))
+_LIKELY = frozenset(("article", "content", "post", "entry", "story", "hentry", "main", "single", "text"))
 _BASE = {"article": 25.0, "main": 12.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "th": -5.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "address": -3.0}
+#: How sure it is that an element is not the article.
+CLEAR, DOUBTFUL, FIRM = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "depth", "block", "parts", "drop", "doubt", "heading", "points", "chars", "linked", "core", "title")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, doubt: int = CLEAR, heading: bool = False):
+        self.tag, self.parent, self.drop, self.doubt, self.heading = tag, parent, drop, doubt, heading
+        self.depth = parent.depth + 1 if parent else 0
+        self.block: Node = self if parent is None or tag in _BLOCK else parent.block
         self.parts: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
+        self.core = self.title = False
+
+    def children(self) -> list[Node]:
+        return [p for p in self.parts if not isinstance(p, str) and not p.drop]
+
+    @property
+    def density(self) -> float:
+        return self.linked / self.chars if self.chars else 1.0
+
+
+def _named(name: str) -> tuple[int, bool]:
+    """(doubt, whether it is a header's) of one class, id or role."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    found = [
+        w for i, w in enumerate(words)
+        if w in _UNLIKELY and not (i and words[i - 1] in _ABOUT) and not (i + 1 < len(words) and words[i + 1] in _STATE) and not (w == "header" and _OWN.intersection(words))
+    ]
+    if not found:
+        return CLEAR, False
+    return (FIRM if all(w in _UNLIKELY or w in _PLAIN or w.isdigit() for w in words) else DOUBTFUL), found == ["header"]
+
 
+def _doubt(tag: str, attributes: str) -> tuple[int, bool]:
+    if tag in ("form", "header", "fieldset"):
+        return DOUBTFUL, tag == "header"
+    if not attributes or tag in ("html", "body", "main"):
+        return CLEAR, False
+    names = [n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
+    found = [_named(n) for n in names]
+    doubt = max((d for d, _ in found), default=CLEAR)
+    if doubt == FIRM and any(d == CLEAR and _LIKELY.intersection(w.lower() for w in _WORD.findall(n)) for (d, _), n in zip(found, names, strict=True)):
+        doubt = DOUBTFUL
+    if tag == "article" and doubt == DOUBTFUL:
+        doubt = CLEAR
+    return doubt, doubt > CLEAR and all(h for d, h in found if d > CLEAR)
 
-def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _DROP or tag == "header" and not inside_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in _UNLIKELY for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
+
+def _hidden(attributes: str) -> bool:
+    return bool(_UNHEARD.search(attributes) or _HIDDEN.search(_QUOTED.sub(" ", attributes)))
 
 
 def parse(html: str) -> Node:
-    """The page's tree; text is kept as written."""
-    root = at = Node("html", None, False)
-    articles = 0
+    """The page's tree; text is kept as written. Time is proportional to the length, whatever the tags."""
+    root = at = Node("html", None)
+    open_: dict[str, list[Node]] = {"html": [root]}
+    endless: set[str] = set()
     done = 0
     find = _TAG.search
+
+    def close(node: Node) -> Node:
+        """Close node and all that is open inside it."""
+        one = at
+        while one is not node.parent:
+            open_[one.tag].pop()
+            one = one.parent
+        return node.parent
+
     while m := find(html, done):
         if m.start() > done:
             at.parts.append(html[done : m.start()])
@@ -85,53 +146,106 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is None or up.parent is None:
-                continue
-            while at is not up.parent:
-                articles -= at.tag == "article"
-                at = at.parent
+            if tag != "html" and open_.get(tag):
+                at = close(open_[tag][-1])
             continue
         if tag in ("html", "body"):
             continue
-        if tag in _BLOCK:
-            up = at
-            while up is not None and up.tag not in _BLOCK:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
+        if tag in _BLOCK and at.block.tag == "p":
+            at = close(at.block)
         if tag in _ENDS:
             ends, stops = _ENDS[tag]
-            up, last = at, None
-            while up is not None and up.tag not in stops:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                at = last.parent
+            stop = max((open_[s][-1].depth for s in stops if open_.get(s)), default=0)
+            over = [one for e in ends if open_.get(e) and (one := open_[e][-1]).depth > stop]
+            while over:
+                at = close(min(over, key=lambda n: n.depth))
+                over = [one for e in ends if open_.get(e) and (one := open_[e][-1]).depth > stop]
         attributes = m[3] or m[6] or ""
-        node = Node(tag, at, at.drop or _unlikely(tag, attributes, articles > 0))
+        drop = at.drop or tag in _DROP or bool(attributes) and _hidden(attributes)
+        node = Node(tag, at, drop, *(_doubt(tag, attributes) if not drop else ()))
         at.parts.append(node)
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, done)
+        if tag in _RAW_END:
+            end = None if tag in endless else _RAW_END[tag].search(html, done)
             if end is None:
                 if tag in ("title", "noscript", "template"):
+                    endless.add(tag)
                     continue
                 break
-            close = html.find(">", end.end())
-            done = len(html) if close < 0 else close + 1
+            shut = html.find(">", end.end())
+            done = len(html) if shut < 0 else shut + 1
         elif tag not in _VOID and not (attributes.endswith("/") and tag in ("svg", "path", "use")):
             at = node
-            articles += tag == "article"
+            open_.setdefault(tag, []).append(node)
     else:
         if done < len(html):
             at.parts.append(html[done:])
     return root
 
 
-def _blocks(node: Node, out: list[str], run: list[str]) -> None:
+def _below(root: Node) -> list[Node]:
+    """Every kept node after its descendants."""
+    order, todo = [], [root]
+    while todo:
+        one = todo.pop()
+        order.append(one)
+        todo += one.children()
+    order.reverse()
+    return order
+
+
+def _measure(order: list[Node]) -> None:
+    """Characters, those in links, and whether a node holds an article or main element or a first heading."""
+    for one in order:
+        one.chars = one.linked = 0
+    for one in order:
+        one.chars += len(" ".join("".join([p for p in one.parts if isinstance(p, str)]).split()))
+        if one.tag == "a":
+            one.linked = one.chars
+        one.core |= one.tag == "main" or one.tag == "article" and one.doubt < FIRM
+        one.title |= one.tag == "h1"
+        if one.parent is not None:
+            one.parent.chars += one.chars
+            one.parent.linked += one.linked
+            one.parent.core |= one.core and (one.doubt < FIRM or one.tag == "main")
+            one.parent.title |= one.title
+
+
+def _judge(root: Node, order: list[Node]) -> None:
+    """Drop what is named as something other than the article, unless it is most of what there is.
+
+    Of doubtful elements those stay that hold an article or main element, the header that holds
+    the title of a page or article, and those that hold at least half of the text that is
+    neither a link nor in firm elements: of the article around them, or, where a page has
+    neither an article nor a main element, of the page.
+    """
+    if not any(one.doubt for one in order):
+        return
+    plain: dict[int, int] = {}
+    for one in order:
+        own = len(" ".join("".join([p for p in one.parts if isinstance(p, str)]).split())) if one.tag != "a" else 0
+        plain[id(one)] = own + sum(plain[id(p)] for p in one.children() if p.doubt < FIRM) if one.tag != "a" else 0
+    todo: list[tuple[Node, Node | None]] = [(root, None if root.core else root)]
+    while todo:
+        one, around = todo.pop()
+        if one.tag in ("article", "main"):
+            around = one
+        for part in one.children():
+            if part.doubt == FIRM:
+                part.drop = not (part.core and around is None)
+            elif part.doubt:
+                head = part.heading and part.title and part.density < 0.5 and (around is not None and around is not root or part.tag != "header")
+                most = around is not None and around is not part and plain[id(part)] * 2 >= plain[id(around)] > 0
+                part.drop = not (part.core and around is None or head or most and part.tag != "header")
+            if not part.drop:
+                todo.append((part, around))
+
+
+def _menu(one: Node) -> bool:
+    """A list outside any article that is links and nothing else."""
+    return one.tag in ("ul", "ol", "dl") and one.chars > 0 and one.density >= 0.95
+
+
+def _blocks(node: Node, out: list[str], run: list[str], inside: bool) -> None:
     """Text of node as blocks; run holds the inline text that is not ended yet."""
     stack: list[tuple[Node, int]] = [(node, 0)]
     while stack:
@@ -144,7 +258,7 @@ def _blocks(node: Node, out: list[str], run: list[str]) -> None:
                 run.append(part)
             elif part.tag == "br":
                 run.append(" ")
-            elif not part.drop:
+            elif not part.drop and (inside or not _menu(part)):
                 stack += [(one, j + 1), (part, 0)]
                 break
             elif part.tag in _BLOCK:
@@ -162,35 +276,29 @@ def _end(out: list[str], run: list[str]) -> None:
         run.clear()
 
 
-def _score(root: Node) -> list[Node]:
-    """Every kept node after its descendants, with points, characters and characters in links."""
-    order, todo = [], [root]
-    while todo:
-        one = todo.pop()
-        order.append(one)
-        todo += [p for p in one.parts if not isinstance(p, str) and not p.drop]
-    order.reverse()
+def _score(order: list[Node]) -> None:
+    """Give every paragraph's points to its ancestors."""
     for one in order:
-        own = "".join(p for p in one.parts if isinstance(p, str))
-        inline = [p for p in one.parts if not isinstance(p, str) and not p.drop and p.tag not in _BLOCK]
-        text = len(own.split()) and len(" ".join(own.split()))
-        one.chars += text
-        if one.tag == "a":
-            one.linked = one.chars
-        if one.parent is not None:
-            one.parent.chars += one.chars
-            one.parent.linked += one.linked
-        if one.tag in _BLOCK and not one.tag.startswith("h"):
-            length = text + sum(p.chars for p in inline)
-            if length and (text or one.tag in ("p", "pre", "td", "blockquote")):
-                commas = own.count(",") + sum(s.count(",") for p in inline for s in p.parts if isinstance(s, str))
-                linked = sum(p.linked for p in inline)
-                points = (min(length, 25) / 25 + commas + min(length / 100, 3.0)) * (1 - linked / length)
-                up, share = (one.parent if one.tag in ("p", "pre", "td", "blockquote", "li", "dd", "dt") else one), 1.0
-                while up is not None and share >= 1 / 3:
+        if one.tag not in _BLOCK or one.tag in _HEADINGS or one.tag in ("hr", "header"):
+            continue
+        own = "".join([p for p in one.parts if isinstance(p, str)])
+        text = len(" ".join(own.split()))
+        inline = [p for p in one.children() if p.tag not in _BLOCK]
+        length = text + sum(p.chars for p in inline)
+        if length and (text or one.tag in ("p", "pre", "td", "blockquote")):
+            commas = own.count(",") + sum(s.count(",") for p in inline for s in p.parts if isinstance(s, str))
+            points = (min(length, 25) / 25 + commas + min(length / 100, 3.0)) * (1 - sum(p.linked for p in inline) / length)
+            up = one.parent if one.tag in ("p", "pre", "td", "blockquote", "li", "dd", "dt") else one
+            for share in (1.0, 1 / 2, 1 / 3):
+                if up is not None:
                     up.points += points * share
-                    up, share = up.parent, 1 / (round(1 / share) + 1)
-    return order
+                    up = up.parent
+
+
+def _value(one: Node) -> float:
+    if not one.chars or not (one.points or one.tag in ("article", "main")):
+        return 0.0
+    return (one.points + _BASE.get(one.tag, 0.0)) * (1 - min(one.density, 1.0))
 
 
 def extract(html: str | None) -> str:
@@ -198,32 +306,52 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    best, most, values = None, 0.0, {}
-    for one in _score(root):
-        if one.chars and (one.points or one.tag in ("article", "main")):
-            density = one.linked / one.chars
-            value = (one.points + (_BASE.get(one.tag, 0.0) if one.points or one.tag in ("article", "main") else 0.0)) * (1 - min(density, 1.0))
-            values[id(one)] = value
-            if best is None or value > most:
-                best, most = one, value
-    if best is None:
-        best = root
-        if not best.chars:
-            return ""
-    up = best
-    while up is not None:  # a part of an article stands for the article
-        if up.tag == "article":
-            best, most = up, max(most, values.get(id(up), 0.0))
+    _measure(order := _below(root))
+    _judge(root, order)
+    for one in order:
+        one.core = one.title = False
+    _measure(order := _below(root))
+    _score(order)
+    if not root.chars:
+        return ""
+    best = max((one for one in order if one.chars and (one.points or one.tag in ("article", "main"))), key=_value, default=root)
+    most = max(_value(best), 0.0)
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    own = next((i for i, one in enumerate(path) if one.tag == "article"), next((i for i, one in enumerate(path) if one.tag == "main"), 0))
+    start = path[own]  # a part of an article stands for the article
+    kept = {id(start)}
+    titled = start.title
+    for level, up in enumerate(path[own + 1 :]):
+        if start.tag == "main":
+            break
+        before = True
+        for one in up.children():
+            if one is path[own + level]:
+                before = False
+                continue
+            dense = one.density
+            good = one.tag in _BLOCK and one.points > 0 and _value(one) >= 0.2 * most and dense < 0.5 or one.tag == "article" and dense < 0.5 and one.chars > 0
+            if one.tag in _HEADINGS or one.title:
+                good |= before and not titled and dense < 0.5 and (level == 0 or one.title)
+            elif one.tag == "p":
+                good |= dense < 0.25 and (level == 0 and start.tag != "article" or one.chars > 80)
+            if good:
+                kept.add(id(one))
+        titled |= up.title
+        if up.tag == "main":
             break
-        up = up.parent
     out: list[str] = []
     run: list[str] = []
-    for one in [best] if best.parent is None else [p for p in best.parent.parts if not isinstance(p, str) and not p.drop]:
-        density = one.linked / one.chars if one.chars else 1.0
-        good = one is best or one.points > 0 and values.get(id(one), 0.0) >= 0.2 * most and one.tag in _BLOCK or one.tag == "p" and density < 0.25 and one.chars > 80
-        if good:
-            _blocks(one, out, run)
+    todo = [root]
+    while todo:
+        one = todo.pop()
+        if id(one) in kept:
+            _blocks(one, out, run, any(a.tag == "article" for a in path[own:]) or one.tag == "article")
             _end(out, run)
+        else:
+            todo += reversed(one.children())
     return "\n\n".join(out)
 
 
