@@ -206,5 +206,9 @@ def main_dimension(vectors: DataFrame, column: str = "v") -> int:
 
 def vector_sample(vectors: DataFrame, most: int, dim: int, column: str = "v") -> np.ndarray:
     """At most ``most`` distinct vectors, those of lowest hash, in a fixed order."""
-    rows = vectors.where(F.size(column) == dim).select(F.xxhash64(column).alias("h"), F.col(column).alias("v")).orderBy("h").limit(most).toArrow()
+    hashed = vectors.where(F.size(column) == dim).select(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
+    count = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    if count > 2 * most:  # only hashes that low are sorted; the estimate is far better than this allows for
+        hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < int(1.5 * most / count * (1 << 40)))
+    rows = hashed.groupBy("h").agg(F.first("v").alias("v")).orderBy(F.pmod("h", F.lit(1 << 40)), "h").limit(most).toArrow()
     return np.unique(matrix(rows["v"], dim), axis=0) if rows.num_rows else np.zeros((0, dim))
