@@ -11,7 +11,7 @@ import pytest
 import corpus_pipeline
 from textquarry.llm.html_extract import extract, html_extract
 from textquarry.llm.language_id import keep_identified, language_id
-from textquarry.llm.lm_score import LogFrequencyFilter, lm_score
+from textquarry.llm.lm_score import Shape, count_of, levels_of, lm_score
 from textquarry.llm.mixing import mix, take
 from textquarry.llm.packing import WordTokenizer, difference, pack, windows
 from textquarry.llm.quality import quality, sketch
@@ -129,18 +129,35 @@ def test_lm(spark, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(k), len(own), sum(count[t] > 0 for t in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in own), rel=1e-12)
         assert r.score <= 0
+    quantised = lambda k: 0 if not k else 1 if k == 1 else 2 ** ((math.floor(2 * math.log2(k) + 1e-9) + 0.5) / 2)
+    pairs = Counter(p for k, own in tokens.items() if k is not None and not held(k) for p in zip([None, *own], own))  # noqa: B905
+    for k, own in tokens.items():
+        want = 0.0
+        for a, b in zip([None, *own], own):  # noqa: B905
+            single = (quantised(count[b]) + 1) / (n + v + 1)
+            both = min(quantised(pairs[a, b]) / quantised(count[a]), 1) if count[a] else 0
+            want += math.log10(min(0.7 * both + 0.3 * single, 1) if count[a] else single)
+        assert rows[k].score == pytest.approx(want, rel=2e-3, abs=1e-9), k  # a false positive may raise a word
+    exact = lambda a, b: 0.7 * pairs[a, b] / count[a] + 0.3 * (count[b] + 1) / (n + v + 1)
+    first = next(iter(count))
+    assert sum(exact(first, b) for b in count) + 0.3 / (n + v + 1) == pytest.approx(1)
+    far = {r.doc_id: r for r in lm_score(docs, broadcast_bytes=0).collect()}
+    assert far == rows
     twice = lm_score(docs.unionByName(docs.where("doc_id = 3"))).where("doc_id = 3").collect()
     assert len(twice) == 2 and twice[0] == twice[1]
     assert lm_score(docs.limit(0)).count() == 0 and lm_score(docs.where("doc_id is null")).first().train_tokens == 0
 
 
 def test_filter():
-    items, levels = np.arange(2000, dtype=np.uint64) * np.uint64(977) + np.uint64(5), np.arange(2000) % 9
-    held = LogFrequencyFilter(int(levels.sum()))
-    held.add(items, levels)
-    found = held.level(items)
-    assert (found >= levels).all() and (found == levels).mean() > 0.99
-    assert (held.level(items + np.uint64(1)) == 0).mean() > 0.99
+    items, n = np.arange(200_000, dtype=np.uint64) * np.uint64(977) + np.uint64(5), 1 + np.arange(200_000) % 9
+    shape = Shape.of(int(levels_of(n).sum()))
+    assert shape.bits * shape.shards < 20 * levels_of(n).sum() and Shape.of(1e12).shards <= 4096
+    one = Shape(1, 1 << 23)
+    raw = np.frombuffer(one.filled(items, n), np.uint8)
+    found = one.levels(raw, items)
+    assert (found >= levels_of(n)).all() and (found == levels_of(n)).mean() > 0.97
+    assert (one.levels(raw, items + np.uint64(1)) == 0).mean() > 0.97
+    assert [round(float(count_of(levels_of(np.array([k])))[0]), 1) for k in (1, 2, 4)] == [1, 2.4, 4.8] and count_of(np.array([0]))[0] == 0
 
 
 def test_quality(spark, docs):

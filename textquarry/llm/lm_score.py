@@ -1,40 +1,51 @@
 """Language-model scores of texts from a log-frequency Bloom filter.
 
-Counts come from all training texts: every word, and every pair of neighbours seen at least
-LEAST times, whatever the corpus. What is broadcast holds the frequent ones; all others meet
-their occurrences in a join. Words and pairs are frequent by their share of all tokens, so at
-most 1 / share of them can be: those bounds say what is broadcast, not what is counted.
-
-* COUNTED: words of at least this share have their exact counts broadcast.
-* PAIRED, KEPT: pairs of at least the share KEPT, of two words of at least PAIRED, enter the filter.
-
-The filter holds (item, level) for every level up to the logarithm of the item's count; a
-count is read by probing level after level until a probe fails. A word's probability is
-D * c(v w) / c(v) + rest(v) * (c(w) + 1) / (N + V + 1), where rest(v) = 1 - D * (share of v's
-occurrences that lead its pairs): the add-one unigram gets what the pairs leave, so
-probabilities sum to 1 up to quantisation and false positives. Its logarithm is a sum of what
-w, v and the pair are worth, each of which a join by one key can add.
+Every word and every pair of neighbours of all training texts is counted, once seen is enough.
+The filter holds (item, level) for every level up to the logarithm of the item's count; a count
+is read by probing level after level until a probe fails. A word's probability after v is
+
+    WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 1) / (N + V + 1),
+
+the second term alone where v was never seen. All counts come from the filter; as every pair
+is counted, probabilities sum to 1 up to quantisation and false positives.
+
+The filter is made in shards, by the hash of the items, each by one task; its size follows the
+number of items. A filter of at most BROADCAST_BYTES is broadcast to the workers. A larger one
+is not: every block of texts then sends each shard the items it asks for, packed, and gets back
+their levels. Both ways give the same scores.
+
+The exact counts that base_score asks for are apart from the model: those of words of at least
+the share COUNTED of all tokens (at most 1 / COUNTED words) are broadcast, others are joined.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, learns, mix64, slices, tune, word_hashes
+from .common import Scratch, held_out, learns, mix64, runs, slices, tune, word_hashes
 
-COUNTED, PAIRED, KEPT = 2.0**-20, 2.0**-16, 2.0**-22
-#: Least count of a pair of the model.
-LEAST = 2
+#: Share of all tokens from which a word's exact count is broadcast for base_score.
+COUNTED = 2.0**-20
 #: Tokens that a worker counts before it hands on their sums.
 BLOCK = 1 << 22
-#: Ratio of neighbouring levels, share of the pairs' mass, bits and probes per entry.
-RATIO, DISCOUNT, BITS, PROBES = 2 ** (1 / 3), 0.9, 16, 6
+#: Ratio of neighbouring levels, weight of the pairs, bits and probes of an entry.
+RATIO, WEIGHT, BITS, PROBES = math.sqrt(2), 0.7, 10, 5
+#: Bits of a shard; they double until there are at most so many shards.
+SHARD_BITS, SHARDS = 1 << 21, 4096
+#: Largest filter that is broadcast.
+BROADCAST_BYTES = 128 << 20
+#: One pair in so many is counted beforehand, to size the filter.
+SAMPLED = 64
+#: Parts into which the blocks that ask one shard are dealt.
+SALTS = 8
 #: The token that ends every text and precedes its first word.
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -58,131 +69,264 @@ def _before(tokens: np.ndarray, text: np.ndarray, first: int | np.uint64) -> np.
     return out
 
 
-def _sums(kind: pa.DataType, held: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(held), return_counts=True)
-    held.clear()
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) if key.dtype == np.uint64 else key, kind), pa.array(n.astype(np.int64))], names=["key", "n"])
+def _word_items(tokens: np.ndarray) -> np.ndarray:
+    return mix64(tokens + np.uint64(0x9E6C63D0876A9A47))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    held: list[np.ndarray] = []
-    for batch in batches:
-        for _, _, tokens, _ in _tokens(batch.column(0)):
-            held.append(tokens)
-            if sum(map(len, held)) >= BLOCK:
-                yield _sums(pa.int64(), held)
-    if held:
-        yield _sums(pa.int64(), held)
-
-
-class _Words:
-    """Exact counts of the frequent words, what their pairs leave, and which of them form pairs of the filter."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int):
-        order = np.argsort(key)
-        self.key, self.total, self.distinct = key[order], total, distinct
-        # The last entry stands for words that are not frequent.
-        self.n, self.rest = np.append(n[order], 0), np.append(rest[order], 1.0)
-        self.paired = self.n >= max(1, PAIRED * total)
-
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Each token's place, -1 where it is not frequent."""
-        if not len(self.key):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.key, tokens), len(self.key) - 1)
-        return np.where(self.key[at] == tokens, at, -1)
-
-
-def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit items of pairs of neighbours."""
+def _pair_items(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(mix64(v * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) + w)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def levels_of(n: np.ndarray) -> np.ndarray:
+    """Levels of counts of 1 and more."""
+    return 1 + np.floor(np.log(n) / math.log(RATIO) + 1e-9).astype(np.int64)
 
-    def sums() -> pa.RecordBatch:
-        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        _, at, n = np.unique(_pairs(v, w), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["v", "w", "n"])
 
-    for batch in batches:
-        for _, _, tokens, text in _tokens(batch.column(0)):
-            held.append((_before(tokens, text, END), tokens))
-            if sum(len(w) for _, w in held) >= BLOCK:
-                yield sums()
-    if held:
-        yield sums()
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The count that stands for a level: 0 for none, 1 for the first, else the middle of what the level holds."""
+    return np.where(level <= 1, level, RATIO ** (level - 0.5))
 
 
-def _pair_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for batch in batches:
-        v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_pairs(v, w).view(np.int64)), batch.column(2)], names=["word", "gain"])
+# --------------------------------------------------------------------------- the filter
+
 
+@dataclass(frozen=True)
+class Shape:
+    """How many shards of how many bits the filter has."""
 
-class LogFrequencyFilter:
-    """A Bloom filter of (item, level); items are 64-bit hashes."""
+    shards: int
+    bits: int
 
-    def __init__(self, entries: int):
-        self.size = 1 << max(10, math.ceil(math.log2(max(1, entries) * BITS)))
-        self.bits = np.zeros(self.size >> 3, np.uint8)
+    @staticmethod
+    def of(entries: float) -> Shape:
+        bits = SHARD_BITS
+        while entries * BITS > bits * SHARDS:
+            bits *= 2
+        return Shape(max(1, math.ceil(entries * BITS / bits)), bits)
 
-    def _places(self, items: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
-        h = mix64(items ^ mix64(np.uint64(0x9E3779B97F4A7C15) * np.asarray(level + 1, np.uint64)))
+    def shard(self, items: np.ndarray) -> np.ndarray:
+        return ((items >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
+
+    def places(self, items: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """The bits of (item, level) in the item's shard."""
+        h = mix64(items ^ mix64(np.uint64((0x9E3779B97F4A7C15 * (level + 1)) % 2**64)))
         step = (h >> np.uint64(32)) | np.uint64(1)
         for i in range(PROBES):
-            yield (h + step * np.uint64(i)) & np.uint64(self.size - 1)
+            yield ((h + step * np.uint64(i)) & np.uint64(self.bits - 1)).astype(np.int64)
 
-    def add(self, items: np.ndarray, levels: np.ndarray) -> None:
-        """Enter every item with all levels from 1 to its own."""
+    def filled(self, items: np.ndarray, n: np.ndarray) -> bytes:
+        """A shard with every item at all levels from 1 to its count's."""
+        there = np.zeros(self.bits, bool)
+        levels = levels_of(n) if len(n) else np.zeros(0, np.int64)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in self._places(items[levels >= level], level):
-                np.bitwise_or.at(self.bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-
-    def level(self, items: np.ndarray) -> np.ndarray:
-        """Each item's level: the last before the first probe that fails."""
-        out, alive, level = np.zeros(len(items), np.int32), np.arange(len(items)), 1
-        while len(alive):
+            items, levels = items[levels >= level], levels[levels >= level]
+            for place in self.places(items, level):
+                there[place] = True
+        return np.packbits(there, bitorder="little").tobytes()
+
+    def levels(self, raw: np.ndarray, items: np.ndarray, base: np.ndarray | int = 0) -> np.ndarray:
+        """Each item's level: the last before the first probe that fails. base is the first byte of the item's shard in raw."""
+        out, alive, level = np.zeros(len(items), np.uint8), np.arange(len(items)), 1
+        while len(alive) and level < 256:
+            own = base if isinstance(base, int) else base[alive]
             there = np.ones(len(alive), bool)
-            for place in self._places(items[alive], level):
-                there &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for place in self.places(items[alive], level):
+                there &= (raw[own + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
             alive = alive[there]
             out[alive] = level
             level += 1
         return out
 
 
-class LogFrequencyModel:
-    """Quantised counts of frequent pairs in a filter, exact counts of frequent words beside it."""
-
-    def __init__(self, words: _Words, v: np.ndarray, w: np.ndarray, n: np.ndarray):
-        self.words = words
-        self.least = least_kept(words.total)
-        both = words.paired[words.find(v)] & words.paired[words.find(w)]
-        level = 1 + np.floor(np.log(np.maximum(n[both] / self.least, 1)) / math.log(RATIO) + 1e-9).astype(np.int64)
-        self.filter = LogFrequencyFilter(int(level.sum()))
-        self.filter.add(_pairs(v[both], w[both]), level)
-
-    def gains(self, items: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 of what each pair's probability gains over the back-off; 0 for pairs the filter does not hold. v and w are places."""
-        words, out = self.words, np.zeros(len(items))
-        both = np.flatnonzero(words.paired[v] & words.paired[w])
-        level = self.filter.level(items[both])
-        held, level = both[level > 0], level[level > 0]
-        back = words.rest[v[held]] * (words.n[w[held]] + 1) / (words.total + words.distinct + 1)
-        seen = DISCOUNT * np.minimum(self.least * RATIO ** (level - 0.5) / words.n[v[held]], 1.0)
-        out[held] = np.log10(np.maximum(np.minimum(seen + back, 1.0) / back, 1 + 1e-12))
-        return out
+@dataclass(frozen=True)
+class Model:
+    """What a worker needs: sizes, exact counts of frequent words, and the filter's shards where they are broadcast."""
+
+    total: int
+    distinct: int
+    shape: Shape
+    words: np.ndarray
+    counts: np.ndarray
+    raw: np.ndarray | None
+
+    def exact(self, tokens: np.ndarray) -> np.ndarray:
+        """Exact counts, 0 for words that are not frequent."""
+        if not len(self.words):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return np.where(self.words[at] == tokens, self.counts[at], 0)
+
+    def levels(self, items: np.ndarray) -> np.ndarray:
+        return self.shape.levels(self.raw, items, self.shape.shard(items) * (self.shape.bits >> 3))
+
+    def log(self, pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of second after first, from the levels of pairs and words."""
+        single = (count_of(second) + 1) / (self.total + self.distinct + 1)
+        known = first > 0
+        both = np.minimum(count_of(pair) / np.where(known, count_of(first), 1), 1.0)
+        return np.log10(np.minimum(np.where(known, WEIGHT * both + (1 - WEIGHT) * single, single), 1.0))
 
 
-def least_kept(total: int) -> int:
-    """Least count of a pair of the filter."""
-    return max(LEAST, math.ceil(KEPT * total))
+@dataclass(frozen=True)
+class Asked:
+    """The distinct items of a slice, and where its pairs and words are among them."""
+
+    items: np.ndarray
+    pair: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def of(tokens: np.ndarray, text: np.ndarray) -> Asked:
+        word, own = np.unique(tokens, return_inverse=True)
+        first = _before(own, text, int(np.searchsorted(word, END)))
+        pair, at = np.unique(_pair_items(word[first], tokens), return_inverse=True)
+        n = len(word)
+        return Asked(np.concatenate([_word_items(word), pair]), (at + n).astype(np.int32), first.astype(np.int32), own.astype(np.int32), text.astype(np.int32))
+
+    def scores(self, model: Model, levels: np.ndarray, texts: int) -> np.ndarray:
+        log = model.log(levels[self.pair], levels[self.first], levels[self.second])
+        return np.bincount(self.text, log, texts)
+
+
+# --------------------------------------------------------------------------- counting
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sampled, key, n): all words, and one in SAMPLED pairs."""
+    np.seterr(over="ignore")
+    words: list[np.ndarray] = []
+    pairs: list[np.ndarray] = []
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for sampled, held in ((False, words), (True, pairs)):
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), sampled)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["sampled", "key", "n"])
+
+    for batch in batches:
+        for _, _, tokens, text in _tokens(batch.column(0)):
+            words.append(tokens)
+            item = _pair_items(_before(tokens, text, END), tokens)
+            pairs.append(item[item % np.uint64(SAMPLED) == 0])
+            if sum(map(len, words)) >= BLOCK:
+                yield from sums()
+    if words:
+        yield from sums()
+
+
+def _packed(shape: Shape, items: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(shard, items, n) of distinct items, as bytes."""
+    shard = shape.shard(items)
+    order = np.argsort(shard, kind="stable")
+    bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shape.shards))
+    rows = [(int(shard[order[i]]), items[order[i:j]].tobytes(), n[order[i:j]].astype(np.int32).tobytes()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "items", "n"])
+
+
+def _count_pairs(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        held: list[np.ndarray] = []
+
+        def sums() -> pa.RecordBatch:
+            item, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _packed(shape, item, n)
+
+        for batch in batches:
+            for _, _, tokens, text in _tokens(batch.column(0)):
+                held.append(_pair_items(_before(tokens, text, END), tokens))
+                if sum(map(len, held)) >= BLOCK:
+                    yield sums()
+        if held:
+            yield sums()
+
+    return run
+
+
+def _pack_words(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            key, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+            held.clear()
+            return _packed(shape, _word_items(key.view(np.uint64)), np.minimum(n, 2**31 - 1))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield packed()
+        if held:
+            yield packed()
+
+    return run
+
+
+def _built(shape: Shape):
+    """A shard from the sums of all blocks; rows come sorted by shard."""
+
+    def merged(items: list[np.ndarray], n: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        item, at = np.unique(np.concatenate(items), return_inverse=True)
+        return [item], [np.bincount(at, np.concatenate(n), len(item))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        last, items, n, held = None, [], [], 0
+
+        def made() -> pa.RecordBatch:
+            own, sums = merged(items, n)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([shape.filled(own[0], sums[0])], pa.binary())], names=["shard", "raw"])
+
+        for batch in batches:
+            for shard, x, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != last:
+                    if items:
+                        yield made()
+                    last, items, n, held = shard, [], [], 0
+                items.append(np.frombuffer(x, np.uint64))
+                n.append(np.frombuffer(k, np.int32))
+                held += len(items[-1])
+                if held > BLOCK:
+                    items, n = merged(items, n)
+                    held = 0  # what is merged no longer counts, so memory follows the shard's own items
+        if items:
+            yield made()
+
+    return run
+
+
+def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all texts, the table (word, n) of exact counts, and the table (shard, raw) of the filter."""
+    texts = documents.select(F.col(text_col).alias("text"))
+    noted = scratch.save(texts.mapInArrow(_count_words, "sampled boolean, key long, n long").groupBy("sampled", "key").agg(F.sum("n").alias("n")))
+    level = 1 + F.floor(F.log("n") / math.log(RATIO) + 1e-9)
+    by = {r["sampled"]: r for r in noted.groupBy("sampled").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.sum(level).alias("entries")).collect()}
+    total, distinct = (by[False]["n"], by[False]["distinct"]) if False in by else (0, 0)
+    shape = Shape.of(4096 + 1.1 * sum(r["entries"] * (SAMPLED if sampled else 1) for sampled, r in by.items()))
+
+    counts = noted.where("not sampled").select(F.col("key").alias("word"), "n")
+    kind = "shard int, items binary, n binary"
+    sums = texts.mapInArrow(_count_pairs(shape), kind).unionByName(counts.mapInArrow(_pack_words(shape), kind))
+    shards = scratch.save(sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_built(shape), "shard int, raw binary"))
+    raw = None
+    if shape.shards * shape.bits >> 3 <= broadcast_bytes:
+        raw = np.zeros((shape.shards, shape.bits >> 3), np.uint8)
+        for one in shards.toArrow().to_batches():
+            for shard, bits in zip(one.column(0).to_pylist(), one.column(1), strict=True):
+                raw[shard] = np.frombuffer(bits.as_buffer(), np.uint8)
+        raw = raw.ravel()
+    frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
+    words = frequent["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return Model(total, distinct, shape, words[order], frequent["n"].to_numpy()[order], raw), counts, shards
+
+
+# --------------------------------------------------------------------------- scoring
 
 
 def _counted(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,66 +338,110 @@ def _counted(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _score(shared):
+    """A row (key, own) for every text, and (key, word, times) for its words whose exact counts are joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        model = shared.value
-        words = model.words
-        whole = words.total + words.distinct + 1
-        start = int(words.find(np.array([END]))[0])
+        model: Model = shared.value
+        whole = model.total + model.distinct + 1
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, tokens, text in _tokens(batch.column(2)):
-                at = words.find(tokens)
-                count = words.n[at]
-                item = _pairs(_before(tokens, text, END), tokens)
-                gain = model.gains(item, _before(at, text, start), at)
-                base = np.where(count > 0, np.log10((count + 1) / whole), 0.0)
                 n = j - i
-                # Each token of a text precedes one of its tokens, END the first: the shares that pairs leave sum up over the text's own tokens.
-                score = base + np.log10(words.rest[at]) + gain
+                count = model.exact(tokens)
+                base = np.where(count > 0, np.log10((count + 1) / whole), 0.0)
+                score = np.zeros(n)
+                if model.raw is not None:
+                    asked = Asked.of(tokens, text)
+                    score = asked.scores(model, model.levels(asked.items), n)
                 own = pa.StructArray.from_arrays(
-                    [
-                        batch.column(1).slice(i, n), pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(np.bincount(text, count > 0, n).astype(np.int64)),
-                        pa.array(np.bincount(text, base, n)), pa.array(np.bincount(text, score, n)),
-                    ],
+                    [batch.column(1).slice(i, n), pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(np.bincount(text, count > 0, n).astype(np.int64)), pa.array(np.bincount(text, base, n)), pa.array(score)],
                     names=["id", "tokens", "known", "base", "score"],
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(key[i:j]), pa.array(np.zeros(n, np.int32)), own], names=["key", "word", "times", "own"])
-                for asked, items, sign in ((np.flatnonzero(count == 0), tokens, 1), (np.flatnonzero(gain == 0), item, -1)):
-                    if len(asked):
-                        x, t, times = _counted(text[asked], items[asked])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[i:j][x]), pa.array(t.view(np.int64)), pa.array((sign * times).astype(np.int32)), pa.nulls(len(x), own.type)], names=["key", "word", "times", "own"])
+                rare = np.flatnonzero(count == 0)
+                if len(rare):
+                    x, t, times = _counted(text[rare], tokens[rare])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i:j][x]), pa.array(t.view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(x), own.type)], names=["key", "word", "times", "own"])
 
     return run
 
 
-def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[LogFrequencyModel, DataFrame]:
-    """The model of all texts, and the table (word, n, log, gain) of what else their words and pairs are worth."""
-    spark = documents.sparkSession
-    texts = documents.select(F.col(text_col).alias("text"))
-    counts = scratch.save(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pairs = scratch.save(texts.mapInArrow(_count_pairs, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
-    led = pairs.groupBy(F.col("v").alias("key")).agg(F.sum("n").alias("led"))
-    counts = scratch.save(counts.join(led, "key", "left").select("key", "n", (1 - DISCOUNT * F.coalesce("led", F.lit(0)) / F.col("n")).alias("rest")))
-    frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
-    words = _Words(frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), frequent["rest"].to_numpy(), total, distinct)
-    kept = pairs.where(F.col("n") >= least_kept(total)).toArrow()
-    model = LogFrequencyModel(words, kept["v"].to_numpy().view(np.uint64), kept["w"].to_numpy().view(np.uint64), kept["n"].to_numpy())
-
-    whole = F.lit(float(total + distinct + 1))
-    rare = counts.where(F.col("n") < COUNTED * total).select(F.col("key").alias("word"), "n", F.log10((F.col("n") + 1) / whole).alias("log"), F.log10("rest").alias("gain"))
-    first = counts.select(F.col("key").alias("v"), F.col("n").alias("nv"), "rest")
-    second = counts.select(F.col("key").alias("w"), F.col("n").alias("nw"))
-    filtered = (F.col("n") >= least_kept(total)) & (F.least("nv", "nw") >= max(1, PAIRED * total))
-    other = pairs.join(first, "v").join(second, "w").where(~filtered)
-    other = other.select("v", "w", F.log10(1 + DISCOUNT * F.col("n") / F.col("nv") / (F.col("rest") * (F.col("nw") + 1) / whole)).alias("gain"))
-    none = F.lit(None)
-    other = other.mapInArrow(_pair_items, "word long, gain double").select("word", none.cast("long").alias("n"), none.cast("double").alias("log"), "gain")
-    return model, rare.unionByName(other)
-
-
-def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2) -> DataFrame:
+def _ask(shape: Shape):
+    """For every slice of texts a block: a row for each shard with the items asked of it, and one, of shard -1, that says where they belong."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        block = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j, tokens, text in _tokens(batch.column(1)):
+                asked = Asked.of(tokens, text)
+                shard = shape.shard(asked.items)
+                order = np.argsort(shard, kind="stable")
+                bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shape.shards))
+                rows = [(int(shard[order[a]]), asked.items[order[a:b]].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                sizes = np.array([j - i, len(asked.text), len(order)], np.int64)
+                rows.append((-1, b"".join(x.tobytes() for x in (sizes, key[i:j], order, asked.pair, asked.first, asked.second, asked.text))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "shard", "data"])
+                block += 1
+
+    return run
+
+
+def _answer(shape: Shape):
+    """Levels for what blocks ask; rows come sorted, a shard before the blocks that ask it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        own, raw = None, None
+        for batch in batches:
+            out = []
+            for _, block, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block < 0:
+                    own, raw = shard, np.frombuffer(data, np.uint8)
+                else:
+                    items = np.frombuffer(data, np.uint64)
+                    out.append((block, shard, (shape.levels(raw, items) if shard == own else np.zeros(len(items), np.uint8)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "shard", "data"])
+
+    return run
+
+
+def _joined(shared):
+    """(key, score) of every text of a block, from its own row and its answers, which come sorted by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches):
+            first, *answers = table["data"].to_pylist()
+            texts, tokens, items = np.frombuffer(first, np.int64, 3)
+            at = 24
+            parts = []
+            for kind, n in ((np.int64, texts), (np.int64, items), (np.int32, tokens), (np.int32, tokens), (np.int32, tokens), (np.int32, tokens)):
+                parts.append(np.frombuffer(first, kind, n, at))
+                at += parts[-1].nbytes
+            key, order, pair, first_, second, text = parts
+            levels = np.zeros(items, np.uint8)
+            levels[order] = np.frombuffer(b"".join(answers), np.uint8)
+            score = Asked(levels, pair, first_, second, text).scores(shared.value, levels, int(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(score)], names=["key", "score"])
+
+    return run
+
+
+def _from_shards(rows: DataFrame, shards: DataFrame, shared, shape: Shape, scratch: Scratch) -> DataFrame:
+    """(key, score) where the filter is not broadcast."""
+    asked = scratch.save(rows.select("key", "text").mapInArrow(_ask(shape), "block long, shard int, data binary"))
+    salt = F.pmod("block", F.lit(SALTS)).cast("int")
+    held = shards.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(-1).cast("long").alias("block"), "shard", F.col("raw").alias("data"))
+    both = asked.where("shard >= 0").select(salt.alias("salt"), "block", "shard", "data").unionByName(held)
+    answers = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "block").mapInArrow(_answer(shape), "block long, shard int, data binary")
+    whole = asked.where("shard < 0").unionByName(answers).repartition("block").sortWithinPartitions("block", "shard")
+    return whole.mapInArrow(_joined(shared), "key long, score double").groupBy("key").agg(F.max("score").alias("far"))
+
+
+def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Scores of all whole texts under a model of those that are not held out.
 
     Returns the id, held_out, n_tokens, n_known (tokens the training texts hold), train_tokens,
@@ -268,23 +456,22 @@ def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tune(spark)
     np.seterr(over="ignore")
     scratch = Scratch(spark)
-    model, rest_of = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col)
-    words = model.words
+    model, counts, shards = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col, broadcast_bytes)
     shared = spark.sparkContext.broadcast(model)
     rows = documents.select(F.xxhash64(F.lit(1), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_score(shared), "key long, word long, times int, own struct<id:long,tokens:long,known:long,base:double,score:double>")
-    joined = scored.join(rest_of, "word", "left")
-    # times counts words where it is positive, pairs where it is negative.
-    log = F.when(F.col("times") > 0, F.col("times") * F.coalesce("log", F.log10(1 / F.lit(float(words.total + words.distinct + 1))))).otherwise(F.lit(0.0))
-    known = F.when((F.col("times") > 0) & F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    gain = F.abs("times") * F.coalesce("gain", F.lit(0.0))
-    by = joined.select("key", "own", log.alias("log"), known.alias("known"), gain.alias("gain")).groupBy("key").agg(
+    joined = scored.join(counts, "word", "left")
+    log = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
+    known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
+    by = joined.select("key", "own", log.alias("log"), known.alias("known")).groupBy("key").agg(
         F.max("own.id").alias("id"), F.count("own").alias("rows"), F.sum("own.tokens").alias("tokens"), F.sum(F.coalesce("own.known", F.lit(0)) + F.col("known")).alias("known"),
-        F.sum(F.coalesce("own.base", F.lit(0.0)) + F.col("log")).alias("base"), F.sum(F.coalesce("own.score", F.lit(0.0)) + F.col("log") + F.col("gain")).alias("score"),
+        F.sum(F.coalesce("own.base", F.lit(0.0)) + F.col("log")).alias("base"), F.max("own.score").alias("score"),
     )
+    if model.raw is None:
+        by = by.join(_from_shards(rows, shards, shared, model.shape, scratch), "key").withColumn("score", F.col("far"))
     one = lambda c: (F.col(c) / F.col("rows")).cast("long")
     out = by.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select(
-        F.col("id").alias(id_col), held_out(F.col("id"), mod, rest).alias("held_out"), one("tokens").alias("n_tokens"), one("known").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),
+        F.col("id").alias(id_col), held_out(F.col("id"), mod, rest).alias("held_out"), one("tokens").alias("n_tokens"), one("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("rows")).alias("base_score"), "score",
     )
