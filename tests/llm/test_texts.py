@@ -47,6 +47,16 @@ def test_tokenizer():
         assert np.frombuffer(got, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_of_another_kind():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), WordTokenizer(path)
+    assert not own.by_words
+    texts = ["Don't  we'll I'M x", "", " \n\tab"]
+    assert [np.frombuffer(got, np.uint32).tolist() for got in own([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_difference():
     sizes = [8, 7, 6, 5, 4]
     sums = sorted(sum(sizes[i] for i in own) for own in difference(sizes, 2))
@@ -54,8 +64,31 @@ def test_difference():
     rnd = random.Random(2)
     items = [(i, 0, rnd.randrange(1, 4096)) for i in range(200)]
     filled = windows(items, 4096)
-    assert max(sum(x[2] for x in own) for own in filled) <= 4096 and len(filled) == -(-sum(x[2] for x in items) // 4096)
-    assert sum(x[2] for own in filled for x in own) == sum(x[2] for x in items)
+    total = sum(x[2] for x in items)
+    assert max(sum(x[2] for x in own) for own in filled) <= 4096 and len(filled) * 4096 <= max(total * 65 / 64, total + 4096)
+    assert sum(x[2] for own in filled for x in own) == total
+
+
+def test_window_count_rises():
+    items = [(i, 0, 1300) for i in range(360)]  # 115 windows could hold all tokens, but only three whole items fit in one
+    least = -(-360 * 1300 // 4096)
+    assert max(map(len, difference([1300] * 360, least))) > 3
+    assert least < len(windows(items, 4096)) <= least * 65 / 64 + 1
+    rnd = random.Random(5)
+    small = [(i, 0, rnd.randrange(1, 600)) for i in range(2000)]
+    assert sorted(x for own in windows(small, 4096) for x in own) == small  # nothing is cut
+    assert windows([], 4096) == []
+
+
+def test_pack_pads_little(spark):
+    rnd = random.Random(6)
+    rows = [(i % 400, " ".join(rnd.choice(["alpha", "Beta", "gamma,", "x1"]) for _ in range(rnd.randrange(1, 900))), "clash", 3) for i in range(800)]
+    rows += rows[:5] + [(None, None, None, None)] * 3
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string, ids string, length int").coalesce(1), vocabulary(), with_ids=False).collect()
+    tokens, sequences = sum(r.length for r in out), {r.sequence_id for r in out}
+    assert len(sequences) * 4096 <= max(tokens * 65 / 64, tokens + 4096)
+    assert len([r for r in out if r.doc_id is None]) == 3 and all(r.length == 1 for r in out if r.doc_id is None)
+    assert sum(r.start == 0 for r in out) == len(rows)
 
 
 def test_pack(spark, docs):

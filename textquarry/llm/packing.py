@@ -2,19 +2,20 @@
 
 Documents stream through each input partition; nothing is shuffled. What a document has
 beyond whole windows of ``window`` tokens, and every shorter document, becomes an item. When
-``batch_windows`` windows' worth of items is at hand (the last one cut to make it exact), the
-items are split over that many windows by Karmarkar-Karp differencing: partial partitions,
-each a vector of window sums, wait in a heap by their spread; the two of largest spread are
-merged, largest sums against smallest, until one partition is left. What a near-equal window
-holds beyond its capacity is cut off and fills the windows that have room; if there is too
-little room in all of them the window count rises and the differencing starts again.
-So every window of a whole batch is full, and an input partition pads less than one window.
-A batch holds a bounded number of tokens whatever the data are.
+items worth ``batch_windows`` windows are at hand, they are split over the fewest windows that
+can hold them by Karmarkar-Karp differencing: partial partitions, each a vector of window
+sums, wait in a heap by their spread; the two of largest spread are merged, largest sums
+against smallest, until one partition is left. If a window of the near-equal ones exceeds its
+capacity, the window count rises and the differencing starts again, as long as a PADDING-th of
+the windows pads at most. What then exceeds a window, where items are too large to be spread
+evenly, is cut off and put where there is room. A batch holds a bounded number of tokens
+whatever the data are.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,18 @@ CACHE_WORDS = 400_000
 #: Texts are looked up together until they hold so many words that are not kept.
 NEW_WORDS = 50_000
 
+#: Of so many windows one may be padding before an item is cut.
+PADDING = 64
+
+#: How a vocabulary must normalise and split text for the short way below; others take the whole tokenizer.
+_NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Words that the short way below may split: ASCII and Latin-1 letters in composed form.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own splitting pattern, for such words.
@@ -52,18 +65,25 @@ class WordTokenizer:
     The tokenizer never joins what white space separates, so a text's ids are those of its
     words. Words are looked up; a new one is split into the tokenizer's own parts, and new
     parts go to the tokenizer's model. Words beyond ASCII and Latin-1, and those that may
-    hold a special token, go to the whole tokenizer.
+    hold a special token, go to the whole tokenizer; so do whole texts where the vocabulary
+    normalises or splits in another way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        self.by_words = (kind["normalizer"], kind["pre_tokenizer"], kind.get("post_processor")) == (_NORMALISED, _SPLIT, None) and not any(t["lstrip"] or t["rstrip"] for t in kind["added_tokens"])
         self.model = self.tok.model
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+
     def _part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
             shown = part if part.isascii() else part.encode().decode("latin1").translate(self.letters)
@@ -81,10 +101,13 @@ class WordTokenizer:
                 return self._part(text[:-1]) + self._part(text[-1])
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self._part(p) for p in _PARTS.findall(text)])
-        return np.array(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+        return self._whole(word)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            yield from map(self._whole, texts)
+            return
         kept, at = self.words, 0
         while at < len(texts):
             split, new = [], set()
@@ -148,36 +171,40 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(items: list[tuple[int, int, int]], window: int) -> list[list[tuple[int, int, int]]]:
-    """Items (document, start, length) as windows of at most ``window`` tokens; items may be cut."""
+    """Items (document, start, length) of at most ``window`` tokens each as windows of at most ``window`` tokens.
+
+    The count starts at the fewest windows that can hold all and rises by one while a window
+    exceeds its capacity and at most one in PADDING windows is padding. Only what exceeds a
+    window after that is cut off. No items give no windows; items of equal size keep their order.
+    """
     total = sum(x[2] for x in items)
     k = -(-total // window)
     while True:
         filled = [[items[i] for i in own] for own in difference([x[2] for x in items], k)]
-        over, room = [], []
-        for own in filled:
-            much = sum(x[2] for x in own) - window
-            while much > 0:
-                doc, start, length = own.pop()
-                cut = min(much, length)
-                over.append((doc, start + length - cut, cut))
-                if length > cut:
-                    own.append((doc, start, length - cut))
-                much -= cut
-            if much < 0:
-                room.append([-much, own])
-        for doc, start, length in over:
-            while length and room:
-                put = min(length, room[-1][0])
-                room[-1][1].append((doc, start, put))
-                start, length = start + put, length - put
-                room[-1][0] -= put
-                if not room[-1][0]:
-                    room.pop()
-            if length:
-                break
-        else:
-            return [own for own in filled if own]
+        if all(sum(x[2] for x in own) <= window for own in filled) or (k + 1) * window * PADDING > total * (PADDING + 1):
+            break
         k += 1
+    over, room = [], []
+    for own in filled:
+        much = sum(x[2] for x in own) - window
+        while much > 0:
+            doc, start, length = own.pop()
+            cut = min(much, length)
+            over.append((doc, start + length - cut, cut))
+            if length > cut:
+                own.append((doc, start, length - cut))
+            much -= cut
+        if much < 0:
+            room.append([-much, own])
+    for doc, start, length in over:
+        while length:
+            put = min(length, room[-1][0])
+            room[-1][1].append((doc, start, put))
+            start, length = start + put, length - put
+            room[-1][0] -= put
+            if not room[-1][0]:
+                room.pop()
+    return [own for own in filled if own]
 
 
 def _packed(path: str, window: int, batch_windows: int, end_id: int, with_ids: bool):
@@ -217,16 +244,15 @@ def _packed(path: str, window: int, batch_windows: int, end_id: int, with_ids: b
                 while n - start >= window:
                     emit([[(number, start, window)]])
                     start += window
-                while start < n:
-                    take = min(n - start, batch_windows * window - held)
-                    items.append((number, start, take))
-                    start, held = start + take, held + take
-                    if held == batch_windows * window:
-                        emit(windows(items, window))
-                        items, held = [], 0
-                        docs = {number: docs[number]}
-                if not items or items[-1][0] != number:
-                    docs.pop(number, None)
+                if start < n:
+                    items.append((number, start, n - start))
+                    held += n - start
+                else:
+                    docs.pop(number)
+                if held >= batch_windows * window:
+                    emit(windows(items, window))
+                    items, held = [], 0
+                    docs.clear()
                 number += 1
                 if len(rows) >= 1024:
                     yield flush()
@@ -238,7 +264,7 @@ def _packed(path: str, window: int, batch_windows: int, end_id: int, with_ids: b
     return run
 
 
-def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, batch_windows: int = 64, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, batch_windows: int = 128, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Pieces of tokenised documents in sequences of at most ``window`` tokens.
 
     path names the tokenizer's vocabulary file, on every worker. Returns a row for each piece:
@@ -248,7 +274,8 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     A null or empty text is the end id alone. Repeated rows are packed once each; a null id
     stays null. An empty table gives no rows. Other columns are neither read nor returned.
-    Long documents are streamed in whole windows; no text is shortened.
+    Long documents are streamed in whole windows; no text is shortened. A partition pads less
+    than one of PADDING windows, or one window where it has fewer.
     """
     tune(documents.sparkSession)
     schema = f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
