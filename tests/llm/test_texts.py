@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from textquarry.llm.html_extract import extract, html_extract
-from textquarry.llm.language_id import keep_identified, language_id
+from textquarry.llm.language_id import MARGIN, LanguageModel, keep_identified, language_id, margin
 from textquarry.llm.lm_score import Shape, count_of, levels_of, lm_score
 from textquarry.llm.mixing import mix, take
 from textquarry.llm.packing import WordTokenizer, difference, pack, windows
@@ -235,3 +236,44 @@ def test_pipeline(spark, tmp_path):
     assert set(texts["mixture"]) <= set(texts["near_copies"])
     assert seen["sequences"].selectExpr("sum(length)").first()[0] == sum(r.doc_tokens for r in seen["sequences"].where("start = 0").collect())
     assert all(seen[n].columns == ["doc_id", "text", "lang", "source", "n_chars"] for n in texts)
+
+
+def test_many_languages(spark):
+    """Seventy languages, each with an alphabet of its own order: all are learned, and time follows their number."""
+    rnd = random.Random(8)
+    words = {f"l{k:02d}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 8))) for _ in range(40)] for k in range(70)}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(list(words) * 14)]
+    table = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    got = language_id(table).collect()
+    assert len(got) == len(rows) + 3 and len({r.lang_pred for r in got}) == 70
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]) > 0.95
+    text = " ".join(words["l00"])
+
+    def seconds(n):
+        model = LanguageModel(tuple(map(str, range(n))), tuple((" ".join(w) * 20).encode() for w in list(words.values())[:n]), (0.0,) * n)
+        model.predict(text)
+        began = time.process_time()
+        for _ in range(30):
+            model.predict(text)
+        return time.process_time() - began
+
+    assert seconds(70) < 10 * seconds(35) + 0.2
+
+
+def test_margin():
+    assert margin([]) == MARGIN and margin([(0.1, True), (0.2, True)]) == MARGIN
+    found = margin([(0.01, False), (0.02, False), (0.02, True), (0.03, False), (0.05, True), (0.06, True), (0.2, False)])
+    assert 0.03 < found < 0.0301
+
+
+def test_repeats_and_clashes(spark):
+    rows = [(i % 50, " ".join(["good clean prose about the sea"] * (1 + i % 3)) if i % 2 else "X!! Y!! Z!!", "en" if i % 2 else "de", "s", 1) for i in range(200)]
+    table = spark.createDataFrame([(*r, 7, 0.5, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, predicted int, score double, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(1, 1)] * 5, "doc_id long, quality int")
+    for out in (quality(table, labels), language_id(table), lm_score(table), mix(table)):
+        got = [r[0] for r in out.collect()]
+        assert sorted(got) == sorted(r[0] for r in rows)
+    one = {r.doc_id: r.score for r in quality(table, labels).collect()}
+    assert len({round(one[k], 12) for k in range(0, 50, 2)}) == 1  # equal texts tie
+    long = "good clean prose about the sea " * 60_000
+    assert quality(spark.createDataFrame([(1, long)], "doc_id long, text string"), labels.limit(0)).first().score == 0.5

@@ -124,6 +124,13 @@ def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
 
 
 def quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 3, rest: int = 1) -> DataFrame:
-    """Learn from labels that are not held out, score all: id, held_out, score, predicted."""
+    """Learn from labels that are not held out, score all: id, held_out, score, predicted.
+
+    Labels with a null id or a quality other than 0 and 1 teach nothing, nor does an id with
+    both, nor one without a text. Null texts are scored as empty ones; null ids are not held
+    out; repeated rows each keep a row; equal features get equal scores. Whole texts count,
+    however long. An empty documents table gives no rows, labels of no class the score 0.5.
+    Other columns are neither read nor returned.
+    """
     model = fit(documents, labels.where(learns(F.col(id_col), mod, rest)), id_col, text_col, label_col)
     return score(documents, model, id_col, text_col).select(id_col, held_out(F.col(id_col), mod, rest).alias("held_out"), "score", "predicted")
