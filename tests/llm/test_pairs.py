@@ -174,3 +174,30 @@ def test_nearest_ties_and_few(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
     assert nearest(df.where("vec_id < 3"), df.where("vec_id = 0").limit(1)).count() == 2
     assert nearest(df.limit(0), df).count() == 0
+
+
+def test_jaccard_between_large_groups(spark, monkeypatch):
+    """Groups of near copies whose members almost or just reach each other: one pair of two groups is tried first."""
+    from textquarry.llm import ngram_jaccard as module
+
+    rounds = []
+    verified = module._verified
+    monkeypatch.setattr(module, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for share in (8, 13, 14, 15, 16, 40):
+        base = [word() for _ in range(120)]
+        other = base[:-share] + [word() for _ in range(share)]
+        for own in (base, other):
+            for _ in range(25):
+                text = list(own)
+                text[rnd.randrange(len(text) - 50)] = word()
+                rows.append(" ".join(text))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard(df).collect()}
+    sets = [shingles(t) for t in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = classes(len(rows), links)
+    assert [got[i] for i in range(len(rows))] == want
+    assert len(rounds) == 3

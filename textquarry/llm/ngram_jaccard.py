@@ -21,10 +21,14 @@ Steps: (1) one pass gives each document's set size and node and the frequent tok
 most; each node's best pair, if it passes the bound, is verified, and the components are the
 groups, cut by set size; (4) the matrix token x group is joined with the nodes' prefixes, the
 smaller component asking the larger; bounds are summed per (node, group), and qualifying groups
-are opened: members that hold one of the node's rarest tokens there are verified; (5) components over all verified links.
+are opened: members that hold one of the node's rarest tokens there are verified, where they
+are many first one pair for two groups, since one link joins them; (5) components over all
+verified links.
 
 Within a group no pairs are formed: its members are linked already, and the result is the
-class, not the pairs. Nothing is dropped or capped.
+class, not the pairs. Nothing is dropped or capped. A token that very many texts hold is known
+to be shared and is not gathered to find that out; aggregates are taken before the shuffle and
+written before they are joined, so that what a frequent key leaves to join can be split.
 """
 
 from __future__ import annotations
@@ -42,8 +46,12 @@ from .common import Scratch, components, distinct_in_text, mix64, ngram_hashes,
 HINTS = 1 << 20
 #: A token of at least so many texts of one block of BLOCK tokens is a hint.
 HINT_TEXTS, BLOCK = 2, 1 << 22
-#: Up to so many ids are broadcast to pick the texts to verify; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: A token of at least so many texts counts as shared without looking.
+HOT_TEXTS = 1000
+#: Up to so many rows of three numbers and a flag (32 bytes) are broadcast to pick the texts to verify; more are joined by a shuffle.
+BROADCAST_IDS = (32 << 20) // 32
+#: Bytes of a shingle's hash in the sets that are compared; partners of a hub that one copy of its set serves.
+HASH_BYTES, PARTNERS = 6, 1024
 
 
 def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -119,52 +127,56 @@ def _prefixes(k: int, num: int, den: int, hints):
                 inside = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
                 n = size[where]
                 keep = inside < n - (num * n + den - 1) // den + 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[where[keep]]), pa.array(n[keep].astype(np.int32))], names=["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[where[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(order[by][keep] >= HOT_TEXTS)], names=["token", "node", "n", "hot"])
 
     return run
 
 
 def _tokens(k: int):
-    """Whole sets for the nodes that are asked for, as sorted 40-bit hashes; a set at most once from a task."""
+    """Whole sets for the nodes that are asked for, as sorted hashes; a set at most once for each use from a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        seen: set[tuple[int, int, bool]] = set()
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            asked, hub, lead = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            asked, hub, part = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for i, j, h, where in _sets(batch, 0, k):
                 size, node = _nodes(h, where, j - i)
-                raw = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+                raw = np.ascontiguousarray((h >> np.uint64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
                 ends = np.cumsum(size)
                 rows = []
                 for x in range(j - i):
-                    key = (hub[i + x], asked[i + x], lead[i + x])
+                    key = (hub[i + x], asked[i + x], part[i + x])
                     if node[x] == asked[i + x] and key not in seen:
                         seen.add(key)
-                        rows.append((*key, int(size[x]), raw[ends[x] - size[x] : ends[x]].tobytes()))
+                        rows.append((*key, raw[ends[x] - size[x] : ends[x]].tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hub", "node", "lead", "n", "tokens"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hub", "node", "part", "tokens"])
 
     return run
 
 
 def _compare(num: int, den: int):
-    """Pairs of sets that reach the threshold."""
+    """Pairs of a hub and a partner that reach the threshold; rows come sorted, a hub's set before its partners'."""
 
     def whole(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+        out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
         return out.view(np.uint64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, done = None, None, None
         for batch in batches:
-            rows, out = batch.to_pydict(), []
-            for a, b, ta, tb in zip(rows["a"], rows["b"], rows["ta"], rows["tb"], strict=True):
-                if a != last:
-                    last, own = a, whole(ta)
-                other = whole(tb)
+            out = []
+            for a, part, partner, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not partner:
+                    if last != (a, part):
+                        last, own, done = (a, part), whole(raw), None
+                    continue
+                if b == done or not (len(raw) * den >= len(own) * HASH_BYTES * num and len(raw) * num <= len(own) * HASH_BYTES * den):
+                    continue
+                done, other = b, whole(raw)
                 at = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 if int((own[at] == other).sum()) * (num + den) >= (len(own) + len(other)) * num:
                     out.append((a, b))
@@ -185,17 +197,21 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, scratch: Sc
     The few words that say which sets meet where go to the texts, and each set is shuffled once
     to each hub that it meets.
     """
-    asked = pairs.select(F.col("b").alias("key"), F.col("a").alias("hub"), F.lit(False).alias("lead")).unionByName(pairs.select(F.col("a").alias("key"), F.col("a").alias("hub"), F.lit(True).alias("lead")).distinct())
-    owner = profile.groupBy("key").agg(F.min("id").alias("want"))
+    # part 0 is a hub's set, as often as it has parts; a partner belongs to part 1, 2, ...
+    parts = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int") + 1
+    partners = pairs.join(parts, "a").select(F.col("b").alias("key"), F.col("a").alias("hub"), part.alias("part"))
+    asked = partners.unionByName(parts.select(F.col("a").alias("key"), F.col("a").alias("hub"), F.lit(0).alias("part")))
+    owner = scratch.save(profile.groupBy("key").agg(F.min("id").alias("want")))
     asked = scratch.save(asked.join(owner, "key"))
     few = asked.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(asked) if few else asked, docs["id"].eqNullSafe(asked["want"])).select("text", "key", "hub", "lead")
-    sets = texts.mapInArrow(_tokens(k), "hub long, node long, lead boolean, n int, tokens binary")
-    hubs = sets.where("lead").select(F.col("hub").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    rest = sets.where("not lead").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    sized = (F.col("nb") * den >= F.col("na") * num) & (F.col("nb") * num <= F.col("na") * den)
-    both = rest.join(hubs.hint("merge"), "a").where(sized).select("a", "b", "ta", "tb")
-    return scratch.save(both.mapInArrow(_compare(num, den), "a long, b long").distinct())
+    texts = docs.join(F.broadcast(asked) if few else asked, docs["id"].eqNullSafe(asked["want"])).select("text", "key", "hub", "part")
+    sets = texts.mapInArrow(_tokens(k), "hub long, node long, part int, tokens binary")
+    sets = sets.join(F.broadcast(parts) if few else parts, sets["hub"] == parts["a"])
+    each = F.when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts"))).otherwise(F.array("part"))
+    sets = sets.select("hub", F.explode(each).alias("at"), (F.col("part") > 0).alias("partner"), "node", "tokens")
+    ordered = sets.repartition("hub", "at").sortWithinPartitions("hub", "at", "partner", "node")
+    return scratch.save(ordered.mapInArrow(_compare(num, den), "a long, b long").distinct())
 
 
 def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -222,32 +238,39 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     by = np.argsort(token)
     hints = spark.sparkContext.broadcast((token[by], rank[by]))
 
-    postings = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int").repartition("token")
+    made = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int, hot boolean")
+    postings = made.where("not hot").select("token", "node", "n").repartition("token")
     own = F.struct("node", "n")  # both sides of the join read the same columns, so the postings are made and shuffled once
     common = postings.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("token")
-    shared = scratch.save(postings.join(common.hint("merge"), "token", "left_semi").distinct())
-    shared = scratch.save(shared.join(shared.groupBy("node").agg(F.count("*").alias("have")), "node"))
+    shared = postings.join(common.hint("merge"), "token", "left_semi")
+    if len(rank) and rank.max() >= HOT_TEXTS:
+        shared = shared.unionByName(made.where("hot").select("token", "node", "n"))
+    first = scratch.save(shared.distinct())
+    shared = scratch.save(first.join(first.groupBy("node").agg(F.count("*").alias("have")), "node"))
+    scratch.drop(first)
 
     need = lambda a, b: _need(F.col(a), F.col(b), num, den)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
     close = shared.withColumn("band", band)
     middle = F.max(F.struct((F.col("have") / F.col("n")).alias("by"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("have").alias("lead_have")))
-    leads = close.groupBy("token", "band").agg(middle.alias("m")).select("token", "band", "m.lead", "m.lead_n", "m.lead_have")
+    leads = scratch.save(close.groupBy("token", "band").agg(middle.alias("m")).select("token", "band", "m.lead", "m.lead_n", "m.lead_have"))
     star = close.join(leads, ["token", "band"]).where((F.col("node") != F.col("lead")) & (F.least("have", "lead_have") >= need("n", "lead_n")))
     star = star.groupBy("node", "n", "lead", "lead_n").agg(F.count("*").alias("c")).where(F.col("c") >= need("n", "lead_n"))
     star = star.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     links = _verified(docs, profile, scratch.save(star), scratch, k, num, den)
     groups = scratch.save(components(links, scratch))
 
-    weights = groups.groupBy("comp").agg(F.count("*").alias("weight"))
-    labelled = shared.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(weights, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    many = labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
+    weights = scratch.save(groups.groupBy("comp").agg(F.count("*").alias("weight")))
+    groups = scratch.save(groups.join(weights, "comp"))
+    labelled = scratch.save(shared.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("weight", F.coalesce("weight", F.lit(1))))
+    many = scratch.save(labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token"))
     labelled = scratch.save(labelled.join(many, "token", "left_semi"))
     matrix = labelled.groupBy("token", F.col("comp").alias("grp"), F.col("weight").alias("grp_weight"), F.col("n").alias("grp_n")).agg(F.count("*").alias("members"), F.max("have").alias("grp_have"))
+    matrix = scratch.save(matrix)
     asks = (F.col("weight") < F.col("grp_weight")) | (F.col("weight") == F.col("grp_weight")) & (F.col("comp") < F.col("grp"))
     sized = (F.col("grp_n") * den >= F.col("n") * num) & (F.col("grp_n") * num <= F.col("n") * den)
     bound = labelled.join(matrix, "token").where(asks & sized & (F.least("have", "grp_have") >= need("n", "grp_n")))
-    bound = bound.groupBy("node", "n", "have", "grp", "grp_n").agg(F.count("*").alias("c"))
+    bound = bound.groupBy("node", "n", "have", "comp", "grp", "grp_n").agg(F.count("*").alias("c"))
     opened = scratch.save(bound.withColumn("spare", F.col("c") - need("n", "grp_n")).where("spare >= 0"))
 
     # A member shares all but ``spare`` of the c tokens at most, so it holds one of any spare + 1 of them: the rarest in its
@@ -255,18 +278,30 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rarest = Window.partitionBy("node", "grp", "grp_n").orderBy("members", "token")
     tried = opened.join(labelled.select("token", "node"), "node").join(matrix.select("token", "grp", "grp_n", "grp_have", "members"), ["token", "grp", "grp_n"])
     tried = tried.where(F.least("have", "grp_have") >= need("n", "grp_n"))
-    tried = tried.withColumn("place", F.row_number().over(rarest)).where("place <= spare + 1")
+    tried = scratch.save(tried.withColumn("place", F.row_number().over(rarest)).where("place <= spare + 1"))
     member = labelled.select("token", F.col("node").alias("other"), F.col("n").alias("grp_n"), F.col("have").alias("other_have"), F.col("comp").alias("grp"))
-    met = tried.join(member, ["token", "grp", "grp_n"]).where(F.least("have", "other_have") >= need("n", "grp_n"))
-    met = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    met = scratch.save(met)
+    possible = F.least("have", "other_have") >= need("n", "grp_n")
+    total = profile.count()
+    if (tried.agg(F.sum("members")).first()[0] or 0) > total:  # one link joins two groups: the closest node of one and a member of the other are verified first
+        best = F.max(F.struct("spare", "node", "n", "have", "token", "grp_n"))
+        one = tried.where("place = 1").groupBy("comp", "grp").agg(best.alias("m")).select("comp", "grp", "m.*")
+        one = one.join(member, ["token", "grp", "grp_n"]).where(possible).groupBy("comp", "grp").agg(F.min(F.struct(F.col("node").alias("a"), F.col("other").alias("b"))).alias("p")).select("p.*").distinct()
+        links = scratch.save(links.unionByName(_verified(docs, profile, scratch.save(one), scratch, k, num, den)))
+        groups = scratch.save(components(links, scratch))
+        now = lambda name: groups.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+        # A group is named by one of its nodes, so its class now is that node's.
+        tried = tried.join(now("comp"), "comp", "left").join(now("grp"), "grp", "left")
+        tried = tried.where(F.coalesce("comp_comp", "comp") != F.coalesce("grp_comp", "grp")).drop("comp_comp", "grp_comp")
+    met = tried.join(member, ["token", "grp", "grp_n"]).where(possible)
+    met = scratch.save(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     if not met.isEmpty():
         more = _verified(docs, profile, met, scratch, k, num, den)
         if not more.isEmpty():
             groups = scratch.save(components(links.unionByName(more), scratch))
 
-    named = profile.join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "key")).alias("class"))
-    least = named.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
+    named = profile.join(groups.select(F.col("node").alias("key"), "comp"), "key", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "key")).alias("class"))
+    named = scratch.save(named)
+    least = scratch.save(named.where("class is not null").groupBy("class").agg(F.min("id").alias("least")))
     return named.join(least, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
