@@ -201,3 +201,12 @@ def test_jaccard_between_large_groups(spark, monkeypatch):
     want = classes(len(rows), links)
     assert [got[i] for i in range(len(rows))] == want
     assert len(rounds) == 3
+
+
+def test_one_of_each_class(spark):
+    long, far = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, long, "b"), (5, far, "c"), (5, long, "a"), (6, long + " x", "a"), (None, far, "n"), (None, "w1 w2", "n"), (8, None, "p"), (8, None, "q"), (9, " ", "r"), (3, "w1 w2", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = [(5, long, "a"), (5, far, "c"), (8, None, "p"), (8, None, "q"), (9, " ", "r"), (3, "w1 w2", "s")]
+    assert sorted(map(tuple, keep_one_per_class(df).collect()), key=str) == sorted(want, key=str)
+    assert keep_one_per_class(df.limit(0)).count() == 0

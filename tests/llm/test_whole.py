@@ -32,30 +32,28 @@ def test_jaccard_members_below_the_bound(spark):
 
 
 def test_lm_rare_pairs(spark, monkeypatch):
-    """Pairs too rare for the filter count as well: with nothing in it, scores are those of all pairs seen twice."""
-    for name in ("COUNTED", "PAIRED", "KEPT"):
-        monkeypatch.setattr(lm, name, 0.2)
+    """Every word and pair counts, once seen is enough, where nothing is broadcast as well."""
+    monkeypatch.setattr(lm, "COUNTED", 0.2)
     rnd = random.Random(11)
     rows = [(i, " ".join(f"w{min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(rnd.randrange(1, 30)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in lm.lm_score(df).collect()}
     tokens = {i: ["", *t.split(), ""] for i, t in rows}
     learned = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     word = Counter(w for t in learned for w in t[1:])
     pair = Counter(p for t in learned for p in zip(t, t[1:], strict=False))
-    pair = {p: n for p, n in pair.items() if n >= 2}
-    led = Counter()
-    for (v, _), n in pair.items():
-        led[v] += n
     whole = sum(word.values()) + len(word) + 1
+    c = lambda n: float(lm.count_of(lm.levels_of([n]))[0]) if n else 0.0
 
     def p(v, w):
-        rest = 1 - 0.9 * led[v] / word[v] if word[v] else 1
-        return (0.9 * pair.get((v, w), 0) / word[v] if word[v] else 0) + rest * (word[w] + 1) / whole
+        single = (c(word[w]) + 1) / whole
+        return min(0.7 * min(c(pair[v, w]) / c(word[v]), 1) + 0.3 * single, 1) if word[v] else single
 
-    assert len(pair) > 50
-    for i, t in tokens.items():
-        assert got[i] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(t, t[1:], strict=False)), rel=1e-9)
+    assert sum(n == 1 for n in pair.values()) > 50
+    for share in (0, 1 << 30):
+        got = {r.doc_id: (r.score, r.base_score) for r in lm.lm_score(df, broadcast_bytes=share).collect()}
+        for i, t in tokens.items():
+            assert got[i][0] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(t, t[1:], strict=False)), rel=1e-3)
+            assert got[i][1] == pytest.approx(sum(math.log10((word[w] + 1) / whole) for w in t[1:]), rel=1e-9)
 
 
 def test_many_languages(spark):

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Up to so many rows (ids or lines) a table is broadcast to the scan of the texts; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: A table of at most so many bytes is broadcast to the scan of the texts; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
+#: Bytes of a row of likely lines: four hashes, a number, two flags.
+LIKELY_BYTES = 64
 _BLANK = " \t\x0b\f\r"
 #: Places of a line that are summed up together.
 STEP = 64
@@ -124,22 +126,22 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = occurs.groupBy("h", "g").agg(F.min(order).alias("first"), *[F.max(c).alias(c) for c in ("p0", "p1", "s0", "s1")], F.count("*").alias("n"))
     distinct = scratch.save(distinct)
 
-    # Both sides of the join below read the same columns, so the halves are shuffled once.
-    halves = distinct.select("h", "g", F.explode(F.array("p0", "p1", "s0", "s1")).alias("half")).repartition("half")
+    # What is common is found before the shuffle as far as possible, and written, so that the rows of a very common half can be split.
+    halves = distinct.select("h", "g", F.explode(F.array("p0", "p1", "s0", "s1")).alias("half"))
     line = F.struct("h", "g")
-    common = halves.groupBy("half").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x < y").select("half")
+    common = scratch.save(halves.groupBy("half").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x < y").select("half"))
     front = F.col("half").bitwiseAND(F.lit(1)) == 1
-    likely = halves.join(common.hint("merge"), "half", "left_semi").groupBy("h", "g").agg(F.max(front).alias("front"), F.max(~front).alias("back"))
+    likely = halves.join(common, "half", "left_semi").groupBy("h", "g").agg(F.max(front).alias("front"), F.max(~front).alias("back"))
     likely = scratch.save(likely.join(distinct.select("h", "g", "first.*"), ["h", "g"]))
-    few = likely.count() <= BROADCAST_ROWS
+    few = likely.count() * LIKELY_BYTES <= BROADCAST_BYTES
     found = lines.join((F.broadcast(likely) if few else likely).drop("id"), ["doc", "line"]).withColumn("words", _words(F.col("raw")))
     found = scratch.save(found.select("h", "g", "words", "front", "back", order.alias("first")).dropDuplicates(["h", "g"]))
 
     keys = scratch.save(found.select("h", "g", "first", F.explode(_keys(F.col("words"), F.col("front"), F.col("back"))).alias("k")).select("h", "g", "first", "k.*"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key")
+    shared = scratch.save(keys.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key"))
     met = scratch.save(keys.join(shared, "key", "left_semi"))
 
-    lead = met.groupBy("key", "place").agg(F.min(F.struct("first", "h", "g")).alias("lead"))
+    lead = scratch.save(met.groupBy("key", "place").agg(F.min(F.struct("first", "h", "g")).alias("lead")))
     after = lead.where("place > 0").groupBy("key").agg(F.min(F.struct(F.col("lead.first").alias("first"), F.col("lead.h").alias("h"), F.col("lead.g").alias("g"), "place")).alias("lead"))
     same = met.where("place > 0").join(lead.where("place > 0"), ["key", "place"]).select("h", "g", "first", "place", "lead.first", F.col("lead.h").alias("kh"), F.col("lead.g").alias("kg"), F.col("place").alias("kplace"))
     longer = met.where("place > 0").join(lead.where("place = 0").drop("place"), "key").select("h", "g", "first", "place", "lead.first", F.col("lead.h").alias("kh"), F.col("lead.g").alias("kg"), F.lit(0).alias("kplace"))
@@ -150,6 +152,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     near = pairs.join(words, ["h", "g"]).join(words.toDF("kh", "kg", "kwords"), ["kh", "kg"]).where(_less(F.col("words"), F.col("place")) == _less(F.col("kwords"), F.col("kplace"))).select("h", "g").distinct()
 
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("near or n > 1").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = scratch.save(marked)
     gone = occurs.select("h", "g", *_order()).join(marked, ["h", "g"]).where(F.col("near") | (order != F.col("first")))
     return scratch.save(gone.groupBy("doc").agg(F.collect_set("line").alias("dropped")))
 
@@ -164,19 +167,26 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     replaced. An empty table gives no rows.
     """
     gone = repeated_lines(documents, id_col, text_col, min_words).toDF("_doc", "_dropped")
-    if gone.count() <= BROADCAST_ROWS:
+    size = gone.agg(F.sum(F.size("_dropped") * 4 + 48)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     named = documents.withColumn("_doc", F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col))))
     lines = F.split(F.col(text_col), "\n")
     joined = named.join(gone, "_doc", "left")
-    kept = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_dropped", i)), "\n"))
+    others = lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_dropped")), lambda i: F.get(own, i))
+    kept = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(_let(lines, others), "\n"))
     joined = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.greatest(F.coalesce(F.size("_dropped"), F.lit(0)), F.lit(0)), "_kept": kept})
     out = [F.col("_kept").alias(c) if c == text_col else F.col(c) for c in documents.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*out, F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_dropped")
 
 
 def keep_unrepeated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """documents with repeated lines dropped and without the texts that this leaves blank; columns as given."""
+    """documents with repeated lines dropped and without the texts that this leaves blank; columns as given.
+
+    Texts that lose no line stay, null, empty and blank ones too. n_chars follows the text where
+    the table has it. Null ids come last in the order; rows that repeat id and text lose the same
+    lines; an empty table gives no rows; columns of other names pass through.
+    """
     out = drop_repeated_lines(documents, id_col, text_col).where((F.col("n_dropped") == 0) | F.col(text_col).rlike("\\S"))
     if chars_col in documents.columns:
         out = out.withColumn(chars_col, F.when(F.col("n_dropped") > 0, F.char_length(text_col)).otherwise(F.col(chars_col)))

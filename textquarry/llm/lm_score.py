@@ -34,8 +34,8 @@ from .common import Scratch, held_out, learns, mix64, runs, slices, tune, word_h
 
 #: Share of all tokens from which a word's exact count is broadcast for base_score.
 COUNTED = 2.0**-20
-#: Tokens that a worker counts before it hands on their sums.
-BLOCK = 1 << 22
+#: Tokens that a worker counts, and sums that it merges, at once.
+BLOCK = 1 << 21
 #: Ratio of neighbouring levels, weight of the pairs, bits and probes of an entry.
 RATIO, WEIGHT, BITS, PROBES = math.sqrt(2), 0.7, 10, 5
 #: Bits of a shard; they double until there are at most so many shards.
@@ -147,7 +147,7 @@ class Model:
     shape: Shape
     words: np.ndarray
     counts: np.ndarray
-    raw: np.ndarray | None
+    raw: bytes | None
 
     def exact(self, tokens: np.ndarray) -> np.ndarray:
         """Exact counts, 0 for words that are not frequent."""
@@ -157,7 +157,7 @@ class Model:
         return np.where(self.words[at] == tokens, self.counts[at], 0)
 
     def levels(self, items: np.ndarray) -> np.ndarray:
-        return self.shape.levels(self.raw, items, self.shape.shard(items) * (self.shape.bits >> 3))
+        return self.shape.levels(np.frombuffer(self.raw, np.uint8), items, self.shape.shard(items) * (self.shape.bits >> 3))
 
     def log(self, pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of second after first, from the levels of pairs and words."""
@@ -315,11 +315,9 @@ def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcas
     shards = scratch.save(sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_built(shape), "shard int, raw binary"))
     raw = None
     if shape.shards * shape.bits >> 3 <= broadcast_bytes:
-        raw = np.zeros((shape.shards, shape.bits >> 3), np.uint8)
-        for one in shards.toArrow().to_batches():
-            for shard, bits in zip(one.column(0).to_pylist(), one.column(1), strict=True):
-                raw[shard] = np.frombuffer(bits.as_buffer(), np.uint8)
-        raw = raw.ravel()
+        own = {r["shard"]: r["raw"] for r in shards.toLocalIterator()}
+        empty = bytes(shape.bits >> 3)
+        raw = b"".join([own.get(i, empty) for i in range(shape.shards)])
     frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
     words = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)

@@ -81,12 +81,13 @@ def _profile(k: int):
             token, count = np.unique(np.concatenate(held), return_counts=True)
             at = count >= HINT_TEXTS
             held.clear()
-            return _rows(pa.nulls(int(at.sum()), pa.int64()), count[at], token[at].view(np.int64), False)
+            none = pa.nulls(int(at.sum()), pa.int64())
+            return _rows(none, none, count[at], token[at].view(np.int64), False)
 
         for batch in batches:
             for i, j, h, where in _sets(batch, 1, k):
                 size, node = _nodes(h, where, j - i)
-                yield _rows(batch.column(0).slice(i, j - i), size, node, True)
+                yield _rows(batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), size, node, True)
                 held.append(h)
                 if sum(map(len, held)) >= BLOCK:
                     yield hints()
@@ -96,8 +97,8 @@ def _profile(k: int):
     return run
 
 
-def _rows(ids: pa.Array, n: np.ndarray, key: np.ndarray, is_text: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(key), pa.array(np.full(len(n), is_text))], names=["id", "n", "key", "is_text"])
+def _rows(ids: pa.Array, texts: pa.Array, n: np.ndarray, key: np.ndarray, is_text: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, texts, pa.array(n.astype(np.int64)), pa.array(key), pa.array(np.full(len(n), is_text))], names=["id", "same", "n", "key", "is_text"])
 
 
 def _prefixes(k: int, num: int, den: int, hints):
@@ -214,25 +215,19 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, scratch: Sc
     return scratch.save(ordered.mapInArrow(_compare(num, den), "a long, b long").distinct())
 
 
-def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """Classes of texts under the links |A & B| / |A | B| >= num / den over their k-word shingles.
+def _same(text_col: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.lit(1), F.col(text_col))
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than k words is one
-    shingle. Returns one row per input row: the id column, n_shingles (set size) and
-    component_id, the smallest id reachable by links, itself included.
 
-    Null, empty and blank texts have no shingles, link with nothing and are their own class.
-    Repeated rows are kept, one result row each. A null id keeps its row and joins its class,
-    whose smallest id is taken over the ids that are not null (null if there is none). An empty
-    table gives an empty result. Other columns are neither read nor returned.
-    """
+def _classes(documents: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, Scratch]:
+    """(id, same, n, class) of every row; class is null for texts without shingles."""
     spark = documents.sparkSession
     tune(spark)
     scratch = Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    noted = scratch.save(docs.mapInArrow(_profile(k), "id long, n long, key long, is_text boolean"))
-    profile = noted.where("is_text").select("id", "n", "key")
+    noted = scratch.save(docs.withColumn("same", _same("text")).mapInArrow(_profile(k), "id long, same long, n long, key long, is_text boolean"))
+    profile = noted.where("is_text").select("id", "same", "n", "key")
     top = noted.where("not is_text").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HINTS).toArrow()
     token, rank = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by = np.argsort(token)
@@ -299,18 +294,42 @@ def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             groups = scratch.save(components(links.unionByName(more), scratch))
 
-    named = profile.join(groups.select(F.col("node").alias("key"), "comp"), "key", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "key")).alias("class"))
-    named = scratch.save(named)
+    named = profile.join(groups.select(F.col("node").alias("key"), "comp"), "key", "left").select("id", "same", "n", F.when(F.col("n") > 0, F.coalesce("comp", "key")).alias("class"))
+    return scratch.save(named), scratch
+
+def ngram_jaccard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """Classes of texts under the links |A & B| / |A | B| >= num / den over their k-word shingles.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than k words is one
+    shingle. Returns one row per input row: the id column, n_shingles (set size) and
+    component_id, the smallest id reachable by links, itself included.
+
+    Null, empty and blank texts have no shingles, link with nothing and are their own class.
+    Repeated rows are kept, one result row each. A null id keeps its row and joins its class,
+    whose smallest id is taken over the ids that are not null (null if there is none). An empty
+    table gives an empty result. Other columns are neither read nor returned.
+    """
+    named, scratch = _classes(documents, id_col, text_col, k, num, den)
     least = scratch.save(named.where("class is not null").groupBy("class").agg(F.min("id").alias("least")))
     return named.join(least, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one_per_class(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of documents that are the smallest id of their class, once each; columns as given.
+def keep_one_per_class(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row of documents of each class, the one of the smallest id, columns as given.
 
-    Rows with a null id are kept: nothing tells which row of their class they are.
+    A null id comes after all others. Of several texts with that id in one class the one of
+    smaller hash stays; texts with one id in different classes all stay. Of rows that repeat
+    both id and text one stays, the smallest in its other columns. Null, empty and blank texts
+    are each their own class and all stay. An empty table gives no rows.
     """
-    classes = ngram_jaccard(documents, id_col, text_col, **options)
-    kept = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    named = documents.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(documents.where(F.col(id_col).isNull()))
+    named, scratch = _classes(documents, id_col, text_col, k, num, den)
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "same"))
+    kept = scratch.save(named.where("class is not null").groupBy("class").agg(best.alias("b")).select(F.col("b.id").alias("_id"), F.col("b.same").alias("_same")))
+    blank = named.where("class is null").select(F.col("id").alias("_id"), F.col("same").alias("_same"), F.lit(True).alias("_blank")).distinct()
+    kept = kept.withColumn("_blank", F.lit(False)).unionByName(blank)
+    rows = documents.withColumns({"_key": F.col(id_col).cast("long"), "_text": _same(text_col)})
+    rows = rows.join(kept, rows["_key"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_same"]))
+    other = [F.hash(c) if t.startswith("map") else F.col(c) for c, t in documents.dtypes if c not in (id_col, text_col)]
+    first = F.row_number().over(Window.partitionBy("_key", "_text").orderBy(*(other or [F.lit(0)])))
+    blanks = rows.where("_blank").select(*documents.columns)
+    return rows.where("not _blank").withColumn("_first", first).where("_first = 1").select(*documents.columns).unionByName(blanks)
