@@ -27,7 +27,7 @@ verified links.
 
 Within a group no pairs are formed: its members are linked already, and the result is the
 class, not the pairs. Nothing is dropped or capped. A token that very many texts hold is known
-to be shared and is not gathered to find that out; aggregates are taken before the shuffle and
+to be shared and is not gathered in one place to find that out; aggregates are taken before the shuffle and
 written before they are joined, so that what a frequent key leaves to join can be split.
 """
 
@@ -51,7 +51,7 @@ HOT_TEXTS = 1000
 #: Up to so many rows of three numbers and a flag (32 bytes) are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST_IDS = (32 << 20) // 32
 #: Bytes of a shingle's hash in the sets that are compared; partners of a hub that one copy of its set serves.
-HASH_BYTES, PARTNERS = 6, 1024
+HASH_BYTES, PARTNERS = 6, 128
 
 
 def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -133,6 +133,30 @@ def _prefixes(k: int, num: int, den: int, hints):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings, once each, of hot tokens and of those that two nodes share; rows come sorted by token and node, all of a token that is not hot."""
+    last: list[np.ndarray] = []  # the last posting and whether it is known to be kept
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, node, n, keep = own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if last:
+            token, node, n, keep = own = [np.concatenate(x) for x in zip(last, own, strict=True)]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, n, keep = (x[new] for x in own)
+        same = token[1:] == token[:-1]
+        keep = keep.copy()
+        keep[1:] |= same
+        keep[:-1] |= same
+        last = [token[-1:], node[-1:], n[-1:], keep[-1:]]
+        at = np.flatnonzero(keep[:-1])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (token, node, n)], names=["token", "node", "n"])
+    if last and last[3][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last[:3]], names=["token", "node", "n"])
+
+
 def _tokens(k: int):
     """Whole sets for the nodes that are asked for, as sorted hashes; a set at most once for each use from a task."""
 
@@ -234,13 +258,8 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, k: int, num: int,
     hints = spark.sparkContext.broadcast((token[by], rank[by]))
 
     made = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int, hot boolean")
-    postings = made.where("not hot").select("token", "node", "n").repartition("token")
-    own = F.struct("node", "n")  # both sides of the join read the same columns, so the postings are made and shuffled once
-    common = postings.groupBy("token").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("token")
-    shared = postings.join(common.hint("merge"), "token", "left_semi")
-    if len(rank) and rank.max() >= HOT_TEXTS:
-        shared = shared.unionByName(made.where("hot").select("token", "node", "n"))
-    first = scratch.save(shared.distinct())
+    dealt = F.when(F.col("hot"), F.xxhash64("token", "node")).otherwise(F.col("token"))
+    first = scratch.save(made.repartition(dealt).sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int"))
     shared = scratch.save(first.join(first.groupBy("node").agg(F.count("*").alias("have")), "node"))
     scratch.drop(first)
 
