@@ -210,3 +210,30 @@ def test_one_of_each_class(spark):
     want = [(5, long, "a"), (5, far, "c"), (8, None, "p"), (8, None, "q"), (9, " ", "r"), (3, "w1 w2", "s")]
     assert sorted(map(tuple, keep_one_per_class(df).collect()), key=str) == sorted(want, key=str)
     assert keep_one_per_class(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_long_keys(spark, monkeypatch):
+    """Recall of pairs just above the threshold with the keys and tables of a larger corpus; a hot label in several blocks."""
+    from textquarry.llm import embedding_dedup as module
+
+    monkeypatch.setattr(module, "BUCKET", 1)
+    monkeypatch.setattr(module, "BLOCK", 64)
+    assert module.tables(3000, 0.93)[0] == 12 and module.tables(10**9, 0.93)[0] > module.tables(10**6, 0.93)[0]
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((1500, 32))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.925, 0.96, (1500, 1))
+    y = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * off])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(y)] + [(i, y[0].tolist(), 1) for i in (3000, 3001)] + [(0, y[0].tolist(), 1)]
+    got = {}
+    for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    gram = y @ y.T >= 0.93
+    np.fill_diagonal(gram, False)
+    plain = [i for i in range(1, 3000) if not gram[i, 0]]
+    want, found = sum(gram[i].sum() for i in plain), sum(got[i][0][0] for i in plain)
+    assert 0.95 * want <= found <= want
+    assert len(got[0]) == 2 and got[0][0] == got[0][1] and got[3000][0][1] == 0 and got[0][0][0] == 3 + gram[0].sum()

@@ -1,10 +1,13 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 A rotation that makes the signs of the rotated components balanced bits is learned on a
-bounded sample. Every vector gets a code of TABLES bytes; the i-th table files it under its
-i-th byte. Two vectors that agree in a byte meet in that table; codes up to TABLES - 1 bits
-apart agree in one byte at least. What meets is compared by cosine, in double precision, on
-the original vectors; a pair counts in the first table in which it meets, and only there.
+bounded sample. Every vector gets a code of as many keys as there are tables, and the i-th
+table files it under its i-th key. Keys get a bit longer whenever the largest label doubles, so
+that a bucket holds about as many vectors at any size, and there are as many tables as it then
+takes for two vectors at the threshold to share a key with probability FOUND. Of what meets in a
+bucket, pairs whose whole codes differ in more bits than vectors at the threshold do are passed
+over, and the others are compared by cosine, in double precision, on the original vectors; a
+pair counts in the first table in which it meets, and only there.
 
 Equal vectors are one class with a multiplicity. A table's bucket is cut into blocks of
 bounded size and every pair of blocks is one unit of work, which gives a count for each class
@@ -13,6 +16,7 @@ and a spanning set of links, never the pairs themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +28,12 @@ from .common import Scratch, components, main_dimension, matrix, runs, tune, usa
 
 #: Vectors of the sample that the rotation is learned from, and rounds of learning.
 SAMPLE, ROUNDS = 20_000, 30
-#: Bytes of a code; classes of a block.
-TABLES, BLOCK = 8, 1024
+#: Vectors of the largest label to a key, about; least bits of a key; probability that two vectors at the threshold meet.
+BUCKET, LEAST_BITS, FOUND = 128, 8, 0.985
+#: Standard deviations beyond the mean Hamming distance at the threshold that a pair may lie.
+SLACK = 5
+#: Classes of a block.
+BLOCK = 1024
 #: More buckets that need several blocks than this are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 
@@ -51,21 +59,33 @@ def rotations(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.hstack(out)[:, :bits]
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Rows of bytes."""
-    return np.packbits((x - mean) @ projection >= 0, axis=1)
+def tables(most: int, least: float) -> tuple[int, int, int]:
+    """(bits of a key, tables, largest Hamming distance) for so many vectors of a label and a threshold."""
+    bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, most) / BUCKET))))
+    differ = math.acos(min(1.0, max(-1.0, least))) / math.pi  # share of bits in which vectors at the threshold differ
+    met = (1 - differ) ** bits
+    number = max(1, math.ceil(math.log(1 - FOUND) / math.log(1 - met))) if met < FOUND else 1
+    n = number * bits
+    return bits, number, math.ceil(n * differ + SLACK * math.sqrt(n * differ * (1 - differ)) + 1)
+
+
+def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of keys of so many bits."""
+    signs = ((x - mean) @ projection >= 0).reshape(len(x), -1, bits)
+    return (signs << np.arange(bits, dtype=np.int32)).sum(2, dtype=np.int32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _filed(shared, dim: int):
+def _filed(shared, dim: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = shared.value
         for batch in batches:
-            code = codes(unit(matrix(batch.column(3), dim)), mean, projection)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], names=[*batch.schema.names, "code"])
+            code = codes(unit(matrix(batch.column(3), dim)), mean, projection, bits)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "code"])
 
     return run
 
@@ -84,20 +104,38 @@ def _roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked(dim: int, least: float):
+def _near(x: np.ndarray, y: np.ndarray, code: np.ndarray, other: np.ndarray, bits: int, radius: int, least: float) -> np.ndarray:
+    """Which rows of x and y have codes near enough and a cosine of least or more."""
+    signs = lambda c: (((c[:, :, None] >> np.arange(bits)) & 1) * 2 - 1).reshape(len(c), -1).astype(np.float32)
+    near = signs(code) @ signs(other).T >= code.shape[1] * bits - 2 * radius
+    if near.mean() > 0.1:  # then the product of all is cheaper than picking
+        return near & (x @ y.T >= least)
+    rows, cols = np.nonzero(near)
+    for i in range(0, len(rows), 1 << 14):
+        r, c = rows[i : i + (1 << 14)], cols[i : i + (1 << 14)]
+        near[r, c] = (x[r] * y[c]).sum(1) >= least
+    return near
+
+
+def _linked(dim: int, least: float, bits: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches):
             node, many, side = (table[c].to_numpy() for c in ("node", "many", "side"))
             which = int(table["bucket"][0].as_py())
             x = unit(matrix(table["v"], dim))
-            code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+            code = table["code"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
             order = np.lexsort((node, side))
             node, many, side, x, code = node[order], many[order], side[order], x[order], code[order]
             n = len(x)
-            hit = x @ x.T >= least
             if side.any():  # two blocks: only pairs across
-                hit &= side[:, None] != side[None]
-            np.fill_diagonal(hit, False)
+                cut = int(np.searchsorted(side, True))
+                hit = np.zeros((n, n), bool)
+                hit[:cut, cut:] = _near(x[:cut], x[cut:], code[:cut], code[cut:], bits, radius, least)
+                hit |= hit.T
+            else:
+                hit = _near(x, x, code, code, bits, radius, least)
+                hit |= hit.T
+                np.fill_diagonal(hit, False)
             rows, cols = np.nonzero(hit)
             first = ~(code[rows, :which] == code[cols, :which]).any(1) if which else np.ones(len(rows), bool)
             counted = np.zeros(n, np.int64)
@@ -129,11 +167,13 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     rows = rows.withColumn("node", F.when(good, F.xxhash64("label", "v")))
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("many"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = scratch.save(classes.select("node", "many", F.xxhash64("label").alias("label"), "v"))
-    mean, projection = rotations(unit(vector_sample(classes, SAMPLE, dim)) if dim else np.zeros((0, 1)), 8 * TABLES)
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, number, radius = tables(most, least)
+    mean, projection = rotations(unit(vector_sample(classes, SAMPLE, dim)) if dim else np.zeros((0, 1)), bits * number)
     shared = spark.sparkContext.broadcast((mean, projection))
-    filed = classes.mapInArrow(_filed(shared, dim), f"node long, many long, label long, v {rows.schema['v'].dataType.simpleString()}, code binary")
-    byte = lambda i: F.substring("code", i + 1, 1)
-    filed = filed.select("node", "many", "v", "code", F.posexplode(F.array(*[F.xxhash64("label", F.lit(i), byte(i)) for i in range(TABLES)])).alias("bucket", "place"))
+    filed = classes.mapInArrow(_filed(shared, dim, bits), f"node long, many long, label long, v {rows.schema['v'].dataType.simpleString()}, code array<int>")
+    places = F.transform("code", lambda c, i: F.xxhash64("label", i, c))
+    filed = filed.select("node", "many", "v", "code", F.posexplode(places).alias("bucket", "place"))
     filed = scratch.save(filed)
 
     large = filed.groupBy("place").count().where(F.col("count") > BLOCK).select("place", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -143,13 +183,14 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     cut = filed.join(large, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = cut.select(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "bucket", "node", "many", (F.col("own") > F.col("other")).alias("side"), "v", "code")
-    found = met.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(dim, least), "node long, links long, other long")
+    found = met.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(dim, least, bits, radius), "node long, links long, other long")
     found = scratch.save(found)
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    links = scratch.save(found.groupBy("node").agg(F.sum("links").alias("links")))
     groups = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
 
     named = rows.select("id", "node").join(classes.select("node", "many"), "node", "left").join(links, "node", "left").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("smallest"))
+    named = scratch.save(named)
+    smallest = scratch.save(named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("smallest")))
     named = named.join(smallest, "comp", "left")
     component = F.when(F.col("comp").isNotNull(), F.col("smallest")).otherwise(F.col("id"))
     return named.select(
