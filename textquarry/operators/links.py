@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_html, without_machine_parts
-from ..functions.urls import below, host, is_url, resolve
+from ..functions.urls import below, host, is_url, let, resolve
 from ..schemas import CATEGORIES, category_dimension
 
 ANCHOR = "(?i)<a\\s+(?:[^>]*?\\s+)?href=[\"']([^\"']+)[\"'][^>]*>([\\s\\S]*?)</a>"
 #: References that lead to no page.
 NO_PAGE = "^(?:javascript:|mailto:|tel:|#)"
-#: Characters of context on each side of a link.
-AROUND = 100
+#: Characters of context on each side of a link; of the shortest link, <a href="x"></a>.
+AROUND, SHORTEST = 100, 16
 
 # Links never followed, outside links worth following, weights of words in a link.
 SKIPPED = [
@@ -33,17 +33,29 @@ MIN_SCORE, FOLLOW_SCORE, HIGH_SCORE, BATCH = 0.3, 0.5, 0.7, 50
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One row per link of a page, in order: page_url, pos, href, url, anchor_text, context, title, rel, type.
 
-    Where a link stands follows from the lengths of the links and of the texts between them. The
+    A page is split at its links, and a link's context is cut from the pieces around it, so a row
+    carries its own link and context only, and a page costs time in proportion to its length. The
     URL is generated, so that filters on it do not repeat the expression that resolves it.
     """
     found = pages.select(F.col(url).alias("page_url"), without_machine_parts(F.col(html)).alias("clean"))
-    found = found.select("*", F.regexp_extract_all("clean", F.lit(ANCHOR), F.lit(0)).alias("links"), F.split("clean", ANCHOR).alias("between"))
-    found = found.select("*", F.posexplode("links").alias("nth", "link"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    start = total(F.slice("between", F.lit(1), F.col("nth") + 1)) + total(F.slice("links", F.lit(1), F.col("nth")))
-    found = found.withColumn("start", start).withColumn("href", F.regexp_extract("link", ANCHOR, 1)).where(~F.col("href").rlike(NO_PAGE))
-    left = F.greatest(F.col("start") - AROUND, F.lit(0))
-    context = strip_html(F.substring("clean", left + 1, F.col("start") + F.length("link") + AROUND - left))
+    found = found.select("page_url", F.regexp_extract_all("clean", F.lit(ANCHOR), F.lit(0)).alias("links"), F.split("clean", ANCHOR).alias("between"))
+    # What stands around link i: the nearest AROUND characters of the page on each side. Links are no shorter than their
+    # own tags, so a few neighbours hold them.
+    near = -(-AROUND // SHORTEST) + 1
+    sides = F.struct(F.col("links").alias("l"), F.col("between").alias("b"))
+
+    def around(s: Column, i: Column) -> Column:
+        piece = lambda name, at: F.coalesce(F.get(s[name], at), F.lit(""))
+        most = F.lit(AROUND)
+        before = F.concat(*[F.right(piece(name, i - (k + 1 if name == "l" else k)), most) for k in range(near, -1, -1) for name in ("l", "b")])
+        after = F.concat(*[F.left(piece(name, i + 1 + k), most) for k in range(near + 1) for name in ("b", "l")])
+        link = F.get(s["l"], i)
+        return F.struct(i.alias("nth"), link.alias("link"), F.concat(F.right(before, most), link, F.left(after, most)).alias("cut"))
+
+    rows = let(sides, lambda s: F.transform(F.sequence(F.lit(0), F.size(s["l"]) - 1), lambda i: around(s, i)))
+    found = found.where(F.size("links") > 0).select("page_url", F.inline(rows))
+    found = found.withColumn("href", F.regexp_extract("link", ANCHOR, 1)).where(~F.col("href").rlike(NO_PAGE))
+    context = strip_html(F.col("cut"))
     text = strip_html(F.regexp_extract("link", ANCHOR, 2))
     attribute = lambda name: F.nullif(F.regexp_extract("link", f"(?i){name}=[\"']([^\"']+)[\"']", 1), F.lit(""))
     out = found.select(
@@ -117,12 +129,22 @@ def by_score(links: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     return links.where(F.col("relevance_score") >= least)
 
 
+def in_known_category(links: DataFrame) -> DataFrame:
+    """links, an unknown category counting as other."""
+    return links.withColumn("category", F.when(F.col("category").isin(CATEGORIES), F.col("category")).otherwise("other"))
+
+
 def group_by_category(links: DataFrame) -> DataFrame:
-    """All ten categories in order with their number of links and their URLs, an unknown one counting as other."""
+    """All ten categories in order with their numbers of links and of distinct URLs. The links of one: in_known_category, filtered."""
+    per_url = in_known_category(links).groupBy("category", "url").agg(F.count("*").alias("n"))  # URLs first, so that a category is no group of rows
+    counts = per_url.groupBy("category").agg(F.sum("n").alias("n_links"), F.count("url").alias("n_urls"))
     known = category_dimension(links.sparkSession)
-    named = links.withColumn("category", F.when(F.col("category").isin(CATEGORIES), F.col("category")).otherwise("other"))
-    counts = named.groupBy("category").agg(F.count("*").alias("n_links"), F.sort_array(F.collect_set("url")).alias("urls"))
-    return known.join(counts, "category", "left").select("place", "category", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))
+    return known.join(F.broadcast(counts), "category", "left").select("place", "category", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_urls", F.lit(0)).alias("n_urls"))
+
+
+def by_relevance(links: DataFrame) -> DataFrame:
+    """Ranked links, the most relevant first; equal ones as they stand on their pages."""
+    return links.orderBy(F.col("relevance_score").desc(), "page_url", "pos")
 
 
 def high_value(links: DataFrame, least: float = HIGH_SCORE) -> DataFrame:

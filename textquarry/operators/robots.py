@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
-from ..functions.urls import is_url, path
+from ..functions.urls import host, is_url, path
 
 
 def robots_rules(robots: DataFrame, site: str = "site", text: str = "text") -> DataFrame:
@@ -31,8 +31,13 @@ def robots_info(rules: DataFrame, site: str = "site") -> DataFrame:
     return rules.groupBy(site).agg(F.max_by(F.when(F.col("rule") == "crawl-delay", F.col("value").cast("long")), F.when(F.col("rule") == "crawl-delay", F.col("line"))).alias("crawl_delay"), F.transform(own, lambda x: x["value"]).alias("disallowed"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """The URLs whose path begins with no forbidden path; what is no URL is not allowed. rules are those of one site."""
-    forbidden = F.broadcast(rules.where("rule = 'disallow'").select(F.col("value").alias("_rule")))
-    good = urls.where(is_url(F.col(url))).withColumn("_path", path(F.col(url)))
-    return good.join(forbidden, (F.col("_rule") == "/") | F.col("_path").startswith(F.col("_rule")), "left_anti").drop("_path")
+def allowed(urls: DataFrame, rules: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
+    """The URLs whose path begins with no path that their own site forbids; what is no URL is not allowed.
+
+    A site is a host. Rules are lower case, so paths are compared in lower case: a rule may
+    forbid more than it says, never less. There is a row for each site, with its few paths.
+    """
+    forbidden = rules.where("rule = 'disallow'").groupBy(F.lower(site).alias("_site")).agg(F.collect_set(F.lower("value")).alias("_forbidden"))
+    good = urls.where(is_url(F.col(url))).withColumn("_site", host(F.col(url)))
+    hit = F.exists("_forbidden", lambda rule: (rule == "/") | F.lower(path(F.col(url))).startswith(rule))
+    return good.join(forbidden, "_site", "left").where(~F.coalesce(hit, F.lit(False))).select(*urls.columns)

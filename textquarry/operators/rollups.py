@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import phase_dimension
+from ..schemas import PHASES, phase_dimension
 
 
 def with_phase(rows: DataFrame, phase: str = "phase") -> DataFrame:
     """rows with label, emoji, description and priority of their phase; an unknown one has those of the first phase."""
     known = phase_dimension(rows.sparkSession)
-    spare = known.where("phase_priority = 1").first()
+    spare = dict(zip(known.columns, PHASES[0], strict=True))
     joined = rows.join(F.broadcast(known.withColumnRenamed("phase", "_phase")), F.col(phase) == F.col("_phase"), "left").drop("_phase")
     names = [c for c in known.columns if c != "phase"]
     return joined.withColumns({c: F.coalesce(c, F.lit(spare[c])) for c in names})
@@ -27,7 +27,7 @@ def matching(rows: DataFrame, **wanted: str | None) -> DataFrame:
 
 def count_by_phase(rows: DataFrame, phase: str = "phase") -> DataFrame:
     """All six phases in order with their number of rows; unknown phases count nowhere."""
-    counts = rows.groupBy(F.col(phase).alias("phase")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(phase).isin([p[0] for p in PHASES])).groupBy(F.col(phase).alias("phase")).agg(F.count("*").alias("n"))
     return phase_dimension(rows.sparkSession).join(F.broadcast(counts), "phase", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -25,8 +25,12 @@ def identified(rows: DataFrame, *parts: str) -> DataFrame:
 
 
 def overlay(entities: DataFrame, found: DataFrame, key: str = "id", columns: tuple[str, ...] = ("name", "type", "state", "website"), least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """entities with the found values where confidence is high enough; values that are null change nothing."""
-    sure = found.where(F.col("confidence") >= least).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns if c in found.columns])
+    """entities with the found values where confidence is high enough; values that are null change nothing.
+
+    Of several finds for one key the surest counts, the smallest of equally sure ones.
+    """
+    known = [F.col(c) for c in columns if c in found.columns]
+    sure = first_per_key(found.where(F.col("confidence") >= least), key, F.col("confidence").desc(), *known).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns if c in found.columns])
     joined = entities.join(sure, key, "left")
     changed = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns if c in found.columns}
     return joined.withColumns(changed).select(*entities.columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import literal
@@ -82,19 +82,33 @@ def check_query(query: str) -> str:
 def chat(chunks: DataFrame, documents: DataFrame, projects: DataFrame, entities: DataFrame, query: str, embeddings: EmbeddingProvider, model: LanguageProvider, phase: str | None = None, category: str | None = None, org_id: str | None = None) -> dict:
     """answer, sources (of the first five chunks) and session (a row to append). Filters narrow the projects."""
     chosen = matching(projects, phase=phase, category=category, org_id=org_id)
-    found, near = retrieve(chunks, documents, chosen, entities, literal(embeddings.embed([check_query(query)])[0]))
-    context = S.format_context(found, near).first()["context"]
-    docs, own = found.collect(), near.collect()  # ten and five rows
+    docs, own, context = _basis(*retrieve(chunks, documents, chosen, entities, literal(embeddings.embed([check_query(query)])[0])))
     answer = model.answer(query, context)
-    spark = chunks.sparkSession
+    return {"answer": answer, "sources": [{"title": d.document_title, "url": d.document_url, "similarity": d.similarity} for d in docs[:5]], "session": _session(chunks.sparkSession, query, answer, docs, own)}
+
+
+def _basis(found: DataFrame, near: DataFrame) -> tuple[list, list, str]:
+    """The ten chunks and five projects, each searched once, and the context they make."""
+    spark = found.sparkSession
+    docs, own = found.collect(), near.collect()
+    context = S.format_context(spark.createDataFrame(docs, found.schema), spark.createDataFrame(own, near.schema)).first()["context"]
+    return docs, own, context
+
+
+def _session(spark: SparkSession, query: str, answer: str, docs: list, own: list) -> DataFrame:
     matched = ([{"id": d.document_id, "title": d.document_title, "url": d.document_url} for d in docs], [{"id": p.id, "title": p.title, "phase": p.phase} for p in own])
-    session = spark.createDataFrame([(None, query, answer, *matched, None)], CHAT_SESSIONS).withColumns({"created_at": F.current_timestamp().cast("timestamp_ntz"), "id": F.sha2(F.concat("query", "response"), 256)})
-    return {"answer": answer, "sources": [{"title": d.document_title, "url": d.document_url, "similarity": d.similarity} for d in docs[:5]], "session": session}
+    return spark.createDataFrame([(None, query, answer, *matched, None)], CHAT_SESSIONS).withColumns({"created_at": F.current_timestamp().cast("timestamp_ntz"), "id": F.sha2(F.concat("query", "response"), 256)})
 
 
-def chat_stream(query: str, context: str, model: LanguageProvider) -> Iterator[str]:
-    """The answer piece by piece; a stream is not retried."""
-    yield from model.stream(check_query(query), context)
+def chat_stream(chunks: DataFrame, documents: DataFrame, projects: DataFrame, entities: DataFrame, query: str, embeddings: EmbeddingProvider, model: LanguageProvider, store: Callable[[DataFrame], None] = lambda session: None, phase: str | None = None, category: str | None = None, org_id: str | None = None) -> Iterator[str]:
+    """The answer piece by piece, from what is retrieved for the query; store gets the session when it is whole. A stream is not retried."""
+    chosen = matching(projects, phase=phase, category=category, org_id=org_id)
+    docs, own, context = _basis(*retrieve(chunks, documents, chosen, entities, literal(embeddings.embed([check_query(query)])[0])))
+    said = []
+    for piece in model.stream(query, context):
+        said.append(piece)
+        yield piece
+    store(_session(chunks.sparkSession, query, "".join(said), docs, own))
 
 
 def health() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Crawling a table of pages (or a fetcher) from seeds.
+"""Crawling a table of pages (or a fetcher) from seeds, and storing what is found.
 
 Two modes. ``by_levels`` goes level by level: every page of a depth is read before any of the
 next, as joins. ``best_first`` reads pages one by one in the order of scores, as a driver loop;
@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_title
-from ..functions.urls import host, normalize_url, same_site
+from ..functions.urls import host, normalize_url, org_id, same_site, url_id
+from ..operators.chunking import Count, estimate
+from ..operators.dom import page_markdown
 from ..operators.links import FOLLOW_SCORE, dedupe_links, extract_links, heuristic_only, heuristic_rank, prefilter
 from ..operators.robots import allowed
 from ..operators.writes import first_per_key
+from ..providers import EmbeddingProvider, LanguageProvider
 from ..runtime import Scratch
+from .ingest import Warehouse, ingest
 
 
 def ranked_links(pages: DataFrame, heuristic: bool = True) -> DataFrame:
@@ -32,10 +36,12 @@ def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float =
 
     A page's links lead on within its own site; URLs already reached are left out by an anti
     join. Every level is written to the shared folder, so that the next one reads its rows and
-    does not extract the links again.
+    does not extract the links again. Rules, with the site they are of, hold for seeds too.
     """
     scratch = Scratch(pages.sparkSession)
     level = seeds.select(normalize_url(F.col("url")).alias("url")).distinct()
+    if rules is not None:
+        level = scratch.save(allowed(level, rules))
     web = pages.withColumn("key", normalize_url(F.col("url")))
     reached = level.withColumn("depth", F.lit(0))
     for at in range(1, depth + 1):
@@ -93,6 +99,25 @@ def best_first(seed: str, read: Callable[[str], list[tuple[str, float]] | None],
     return out
 
 
+def scraped(
+    seeds: DataFrame, pages: DataFrame, root: str, embeddings: EmbeddingProvider, model: LanguageProvider, depth: int = 2, rules: DataFrame | None = None, rank: Callable[[DataFrame], DataFrame] = ranked_links, count: Count = estimate
+) -> Warehouse:
+    """Crawl from seeds under the rules, and store what is found as documents of their sites in the tables below root.
+
+    The entity of a site is made if it is not there and is told more from its pages; pages whose
+    markdown is short, and those already stored, are left out; the others are enriched as
+    ingested documents are. The page that is read for a URL is the first of those it normalises.
+    """
+    reached = by_levels(seeds, pages, depth, rules=rules, rank=rank)
+    web = first_per_key(pages.withColumn("key", normalize_url(F.col("url"))).join(reached.select(F.col("url").alias("key")), "key", "left_semi"), "key", "url")
+    found = storable(page_markdown(titled(web)))
+    site = org_id(F.col("key"))
+    corpus = found.select(site.alias("entity"), F.col("key").alias("file"), F.col("key").alias("url"), site.alias("org_id"), url_id(F.col("key")).alias("url_id"), F.col("markdown").alias("text"), F.lit(None).cast("string").alias("corrupt"))
+    warehouse = Warehouse(pages.sparkSession, root)
+    ingest(Scratch(pages.sparkSession).save(corpus), warehouse, embeddings, model, f"{root}/_staging", count)
+    return warehouse
+
+
 def storable(pages: DataFrame, least: int = 200) -> DataFrame:
     """Pages whose markdown is long enough to be stored as documents."""
     return pages.where(F.length("markdown") >= least)

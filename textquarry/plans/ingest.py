@@ -1,7 +1,9 @@
 """Ingestion as one plan: gates, first per URL, new ones only, one enrichment, six tables.
 
 The enrichment calls models, so its result is written before anything is derived from it; a
-task that is retried later re-reads it. Every table is appended as a whole.
+task that is retried later re-reads it. Every table is appended as a whole, without the rows it
+holds already, and documents come last: they say what is stored. A run that fails half-way
+leaves its enrichment behind, and the next run first appends what is missing of it.
 """
 
 from __future__ import annotations
@@ -10,14 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import normalize, urls
 from ..operators.chunking import Count, chunk_text, estimate
 from ..operators.writes import first_per_key, identified, overlay, unseen
-from ..providers import SUMMARY_CHARS, TRUNCATED, EmbeddingProvider, LanguageProvider, embed_all, with_retry
+from ..providers import ENTITY_CHARS, ENTITY_PAGES, SUMMARY_CHARS, TRUNCATED, EmbeddingProvider, LanguageProvider, embed_all, with_retry
 from ..runtime import ship
 from ..sources.corpus import split_rejects
 
@@ -32,25 +34,33 @@ class Warehouse:
     root: str
 
     def read(self, name: str) -> DataFrame:
-        """A table; one that is not there yet is empty."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        """A table; one that is not there yet is empty, one whose replacement was cut short is what it was before."""
+        there = next((n for n in (name, f"_old_{name}") if self.exists(n)), None)
+        if there is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{there}")
+
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.mode("append").parquet(f"{self.root}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write beside the table, then swap: the rows may be read from it."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        rows.write.mode("overwrite").parquet(f"{self.root}/_{name}")
-        old, new = hadoop.Path(f"{self.root}/{name}"), hadoop.Path(f"{self.root}/_{name}")
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Write beside the table, then swap: the rows may be read from it. The old one goes when the new one is in place."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/_new_{name}")
+        at, old, new = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (name, f"_old_{name}", f"_new_{name}"))
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            fs.delete(old, True)
+            fs.rename(at, old)
+        fs.rename(new, at)
         fs.delete(old, True)
-        fs.rename(new, old)
 
 
+#: Documents that are enriched before their rows are handed on; texts, chunks and vectors of so many are held at once.
+ENRICHED_ROWS = 16
 ENRICHED = (
     f"summary {schemas.SUMMARY.simpleString()}, chunks array<struct<section_title:string,content:string,token_count:int,chunk_index:int,embedding:array<float>>>, "
     f"projects array<struct<record:{schemas.EXTRACTED_PROJECT.simpleString()},embedding:array<float>>>"
@@ -72,19 +82,26 @@ def enrich(documents: DataFrame, embeddings: EmbeddingProvider, model: LanguageP
         except Exception:  # the record of one document, not the run
             return other
 
+    def embedded(texts: list[str]) -> list:
+        """A failure leaves the texts of one document without vectors: search passes them over."""
+        try:
+            return list(embed_all(embeddings, texts, lambda _: None))
+        except Exception:
+            return [None] * len(texts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ENRICHED_ROWS) for b in batches for i in range(0, b.num_rows, ENRICHED_ROWS)):
             out: tuple[list, list, list] = ([], [], [])
             for row in batch.to_pylist():
                 text, url = row["text"], row["url"]
                 short = text if len(text) <= SUMMARY_CHARS else text[:SUMMARY_CHARS] + TRUNCATED
                 out[0].append(tried(lambda t=short, u=url: model.summarize(t, u), {"title": "Untitled Document", "summary": "Failed to generate summary", "keywords": [], "document_type": "other", "fiscal_year": None}))
                 chunks = [dict(zip(("section_title", "content", "token_count", "chunk_index"), c, strict=True)) for c in chunk_text(text, count)]
-                for chunk, vector in zip(chunks, embed_all(embeddings, [c["content"] for c in chunks], lambda _: None), strict=True):
+                for chunk, vector in zip(chunks, embedded([c["content"] for c in chunks]), strict=True):
                     chunk["embedding"] = vector
                 out[1].append(chunks)
                 found = tried(lambda t=text, u=url: model.projects(t, u), [])
-                vectors = embed_all(embeddings, [f"{p['title']} {p['description']}" for p in found], lambda _: None)
+                vectors = embedded([f"{p['title']} {p['description']}" for p in found])
                 out[2].append([{"record": p, "embedding": v} for p, v in zip(found, vectors, strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=full.fieldNames())
 
@@ -112,8 +129,12 @@ def derive(enriched: DataFrame) -> dict[str, DataFrame]:
 
 def entity_info(corpus: DataFrame, model: LanguageProvider) -> DataFrame:
     """(id, website, name, type, state, confidence) from each entity's first three documents, those already stored too."""
-    first = corpus.withColumn("site", urls.website(F.col("url"))).groupBy(F.col("org_id").alias("id"))
-    sample = first.agg(F.slice(F.sort_array(F.collect_list(F.struct("file", "url", F.substring("text", 1, 2000).alias("text")))), 1, 3).alias("pages"), F.min_by("site", F.when(F.col("site").isNotNull(), F.col("file"))).alias("website"))
+    rows = corpus.select(F.col("org_id").alias("id"), "file", "url", F.substring("text", 1, ENTITY_CHARS).alias("text"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("file", "url"))  # limited before the shuffle
+    pages = rows.withColumn("place", place).where(F.col("place") <= ENTITY_PAGES).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "url", "text"))).alias("pages"))
+    site = urls.website(F.col("url"))
+    sites = corpus.where(site.isNotNull()).groupBy(F.col("org_id").alias("id")).agg(F.min_by(site, "file").alias("website"))
+    sample = pages.join(sites, "id", "left").select("id", "pages", "website")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,19 +152,36 @@ def entity_info(corpus: DataFrame, model: LanguageProvider) -> DataFrame:
     return raw.select("id", "website", normalize.entity(F.struct("name", "type", "state", "confidence")).alias("e")).where("e is not null").select("id", "website", "e.*")
 
 
+def _stored(warehouse: Warehouse, staging: str, schema) -> dict[str, int]:
+    """Append what the tables lack of an enrichment, documents last, and delete it."""
+    kept = warehouse.spark.read.schema(schema).parquet(staging)
+    tables = derive(kept)
+    done = {}
+    for name in ("chunks", "projects", "project_evidence", "documents"):
+        rows = unseen(tables[name], warehouse.read(name), "id")
+        done[name] = rows.count()
+        warehouse.append(name, rows)
+    path = warehouse.spark._jvm.org.apache.hadoop.fs.Path(staging)
+    path.getFileSystem(warehouse.spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def ingest(corpus: DataFrame, warehouse: Warehouse, embeddings: EmbeddingProvider, model: LanguageProvider, staging: str, count: Count = estimate) -> dict[str, int]:
-    """Run everything and return the numbers of new rows and of rejects. Stored documents are not changed."""
+    """Run everything and return the numbers of new rows and of rejects. Stored documents are not changed.
+
+    staging names a folder of this warehouse alone. What a failed run has left there is stored
+    first; one that failed while it was written is written again.
+    """
     stored_entities = warehouse.read("entities")
     fresh = corpus.select(F.col("entity").alias("id")).distinct().withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
     warehouse.append("entities", unseen(fresh, stored_entities, "id"))
     good, bad = split_rejects(corpus, warehouse.read("entities"))
     rejected = bad.count()
-    enriched = enrich(new_documents(good, warehouse.read("documents")), embeddings, model, count)
-    enriched.write.mode("overwrite").parquet(staging)
-    kept = warehouse.spark.read.schema(enriched.schema).parquet(staging)
-    tables = derive(kept)
-    done = {name: rows.count() for name, rows in tables.items()}
-    for name, rows in tables.items():
-        warehouse.append(name, rows)
+    schema = enrich(good, embeddings, model, count).schema
+    left = warehouse.spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/_SUCCESS")
+    if left.getFileSystem(warehouse.spark._jsc.hadoopConfiguration()).exists(left):
+        _stored(warehouse, staging, schema)
+    enrich(new_documents(good, warehouse.read("documents")), embeddings, model, count).write.mode("overwrite").parquet(staging)
+    done = _stored(warehouse, staging, schema)
     warehouse.replace("entities", overlay(warehouse.read("entities"), entity_info(good, model)))
     return done | {"rejected": rejected}

@@ -248,10 +248,11 @@ def link_dedupe_longest_context(spark, sf):
     return _deduped(spark, sf).select("page_url", "pos", "url", "context")
 
 
+_OUTSIDE_SQL = " OR ".join(f"regexp_matches(url, '{p.removeprefix('(?i)')}', 'i')" for p in links.OUTSIDE)
 _SKIP_SQL = " OR ".join(f"regexp_matches(url, '{p.removeprefix('(?i)')}', 'i')" for p in links.SKIPPED)
 
 
-@query(f"WITH {_LINKS} SELECT page_url, url FROM ul WHERE NOT ({_SKIP_SQL})")
+@query(f"WITH {_LINKS} SELECT page_url, url FROM ul WHERE NOT ({_SKIP_SQL}) AND (starts_with(url, regexp_extract(page_url, '^[a-zA-Z]+://[^/?#]+')) OR {_OUTSIDE_SQL})")
 def prefilter_links(spark, sf):
     return links.prefilter(_deduped(spark, sf), F.col("page_url")).select("page_url", "url")
 
@@ -293,7 +294,7 @@ SELECT s.place, s.category, count(k.url) AS n_links, count(DISTINCT k.url) AS n_
 def group_links_by_category(spark, sf):
     n = F.pmod(F.length("url"), F.lit(4))
     named = _deduped(spark, sf).withColumn("category", F.when(n == 0, "budget").when(n == 1, "meeting").when(n == 2, "contact").otherwise("unheard"))
-    return links.group_by_category(named).select("place", "category", "n_links", F.size("urls").cast("long").alias("n_urls"))
+    return links.group_by_category(named).select("place", "category", "n_links", "n_urls")
 
 
 @query("SELECT page_id, " + _decode_sql(_trim_sql("regexp_extract(html, '<title[^>]*>([\\s\\S]*?)</title>', 1, 'i')")) + " AS title FROM pages")

@@ -32,22 +32,27 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
-    ``spark.checkpoint.dir`` names that folder; where it is unset (tests, one machine) a
-    temporary folder is made and removed at exit. A saved table cuts the lineage: a lost
-    executor costs a re-read, never a recomputation of what lies before.
+    ``spark.checkpoint.dir`` names that folder; where it is unset a temporary folder is made and
+    removed at exit, on one machine only: on a cluster executors would not see each other's. A
+    saved table cuts the lineage: a lost executor costs a re-read, never a recomputation of what
+    lies before. Tables last until ``drop`` or ``clean``, since results are read from them later.
     """
 
     _own: str | None = None
+    _bases: list[tuple[str, str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             if Scratch._own is None:
                 Scratch._own = tempfile.mkdtemp(prefix="textquarry-")
                 atexit.register(shutil.rmtree, Scratch._own, True)
             base = f"file://{Scratch._own}"
         self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        Scratch._bases.append((spark.sparkContext.applicationId, self.base))
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -62,5 +67,17 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when the results that come from them are written."""
+    own = [base for app, base in Scratch._bases if app == spark.sparkContext.applicationId]
+    Scratch._bases[:] = [b for b in Scratch._bases if b[1] not in own]
+    for base in own:
+        _delete(spark, base)
