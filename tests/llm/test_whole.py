@@ -64,3 +64,34 @@ def test_many_languages(spark):
     model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(model.languages) == sorted(words)
     assert model.predict(" ".join(words["l204"]))[0] == "l204"
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids, texts, langs and sources, repeated rows and ids, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    words = {"en": "the of and house river with that from green light morning story".split(), "fr": "le la des avec maison rivière que dans vert lumière matin histoire".split()}
+    prose = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    rows = [(i, prose(lang, 60), lang, "a" if i % 3 else None) for i, lang in enumerate(["en", "fr"] * 40)]
+    rows += [rows[5]] * 3 + [(6, prose("en", 50), "en", "a"), (None, prose("fr", 50), "fr", "b"), (None, None, None, None), (90, "", "en", "a"), (91, "1 2 3", None, "a"), (92, prose("en", 40), None, "b"), (93, rows[9][1] + " end", "fr", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, taken long, ids string"
+    full = [(*r, len(r[1]) if r[1] is not None else None, "clash", 7, "clash") for r in rows]
+    for name, table in (("some", spark.createDataFrame(full, schema)), ("none", spark.createDataFrame([], schema))):
+        folder = f"{tmp_path}/{name}"
+        table.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+        docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+        for stage, f in corpus_pipeline.STAGES:
+            docs = spark.createDataFrame(f(spark, docs, folder).toArrow())
+            seen[stage] = docs
+            if stage != "sequences":
+                assert docs.columns == table.columns
+        out = corpus_pipeline.run(spark, folder)
+        assert out.count() == docs.count() and (docs.count() > 0) == (name == "some")
+        if name == "none":
+            continue
+        kept = [(r.doc_id, r.text) for r in seen["near_copies"].collect()]
+        assert len(kept) == len(set(kept)) and sum(k == 6 for k, _ in kept) == 2 and sum(k is None for k, _ in kept) == 1
+        assert not {90, 91, 93} & {k for k, _ in kept} and {92, 5, 9} <= {k for k, _ in kept}
+        assert set(kept) >= {(r.doc_id, r.text) for r in seen["mixture"].collect()}
+        assert sum(r.doc_tokens for r in docs.where("start = 0").collect()) == sum(r.length for r in docs.collect())

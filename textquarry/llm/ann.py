@@ -28,10 +28,10 @@ from .common import Scratch, main_dimension, matrix, runs, tune, usable, vector_
 SAMPLE_BYTES, PER_LIST = 64 << 20, 8
 #: A list has this many distinct vectors at least, and there are 2 * sqrt(distinct vectors) lists at most.
 LIST = 64
-#: Most lists of a vector, and how much farther than the nearest a list may be.
-COPIES, NEAR = 4, 1.2
+#: Most lists of a vector, how much farther than the nearest a list may be, and how far from nearer ones, in distances to the vector.
+COPIES, NEAR, APART = 4, 1.2, 0.25
 #: How much farther than the nearest list an opened one may be: the first that finds the share RECALL of the neighbours of TRIED sample vectors.
-RATIOS, RECALL, TRIED = (1.02, 1.05, 1.08, 1.12, 1.16, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, math.inf), 0.97, 512
+RATIOS, RECALL, TRIED = (1.05, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.22, 1.25, 1.3, 1.4, 1.6, 2.0, math.inf), 0.97, 512
 #: Neighbours of a centroid in the graph; rows of a block on each side.
 DEGREE, BLOCK_VECTORS, BLOCK_QUERIES = 24, 4096, 512
 
@@ -118,7 +118,7 @@ class Lists:
         for j in range(1, most):  # a list in the same direction as a nearer one adds little
             for i in range(j):
                 apart = np.sqrt(((self.centroids[at[:, i]] - self.centroids[at[:, j]]) ** 2).sum(1))
-                keep[:, j] &= ~keep[:, i] | (apart > own[:, j])
+                keep[:, j] &= ~keep[:, i] | (apart > APART * own[:, j])
         return np.nonzero(keep)[0], at[keep]
 
     def opened(self, q: np.ndarray) -> list[int]:
