@@ -11,7 +11,7 @@ from textquarry.operators import chunking, dom, writes
 from textquarry.operators.robots import allowed, robots_rules
 from textquarry.plans import api, crawl
 from textquarry.plans import ingest as plan
-from textquarry.sources.corpus import read_corpus
+from textquarry.sources.corpus import fetch_pages, fetch_robots, http_fetcher, read_corpus
 
 RULE = "site string, line int, rule string, value string"
 
@@ -26,6 +26,13 @@ def test_robots_of_several_sites(spark):
     assert allowed(df.where("n = 2"), text).count() == 0
 
 
+def test_robots_of_hosts(spark):
+    urls = spark.createDataFrame([("https://a.gov/x",), ("https://a.gov/y",), ("https://b.gov/",), ("no",)], "url string")
+    found = fetch_robots(urls, {"https://a.gov/robots.txt": "User-agent: *\nDisallow: /x"}.get)
+    assert [tuple(r) for r in found.collect()] == [("a.gov", "User-agent: *\nDisallow: /x")]
+    assert {r.url for r in allowed(urls, robots_rules(found)).collect()} == {"https://a.gov/y", "https://b.gov/"}
+
+
 def test_seeds_are_tested(spark):
     rules = spark.createDataFrame([("s.gov", 0, "disallow", "/x")], RULE)
     pages = spark.createDataFrame([("https://s.gov/x", "<a href='/y'>budget</a>"), ("https://s.gov/y", "")], "url string, html string")
@@ -124,6 +131,35 @@ def test_scratch(spark):
         saved.count()
 
 
+def test_fetch_waits_and_statuses(spark):
+    """A real server on this machine: statuses, robots.txt, and the wait between pages of a host."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/robots.txt": "User-agent: *\nDisallow: /private", "/a": "<p>é</p>", "/b": "<p>b</p>"}.get(self.path)
+            self.send_response(200 if body else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write((body or "gone").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    fetch = http_fetcher(5)
+    urls = spark.createDataFrame([(f"{base}/a",), (f"{base}/b",), (f"{base}/none",), ("nonsense",)], "url string")
+    began = time.monotonic()
+    got = {r.url: r.html for r in fetch_pages(urls, fetch, wait=0.5).collect()}
+    assert time.monotonic() - began >= 1.0
+    assert got == {f"{base}/a": "<p>é</p>", f"{base}/b": "<p>b</p>", f"{base}/none": None, "nonsense": None}
+    server.shutdown()
+
+
 def test_chat_stream(spark):
     docs = spark.createDataFrame([("d", "Title", "https://e.gov/", "e")], "id string, title string, url string, org_id string")
     chunks = spark.createDataFrame([("c", "d", "S", "the budget", [1.0, 0.0])], "id string, document_id string, section_title string, content string, embedding array<double>")
