@@ -59,4 +59,34 @@ SELECT doc_id, CAST(coalesce(len(xs), 0) AS INTEGER) AS n_lines, CAST(len(gone)
 FROM t
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING, "op9_line_dedup": LINE_DEDUP}
+FILTER_AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT t, min(doc_id) AS least FROM w GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+g AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+h AS (
+  SELECT part, filter_order, step, own, n, good, toxic, strpos(fails, own) > 0 AS here,
+         len(before) > 0 AND len(translate(fails, before, '')) < len(fails) AS gone, fails = own AS alone
+  FROM g, c),
+r AS (
+  SELECT part, filter_order, step, any_value(own) AS own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost
+  FROM h GROUP BY 1, 2, 3)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING, "op9_line_dedup": LINE_DEDUP, "op12_filter_audit": FILTER_AUDIT}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .ann import nearest
 from .embedding_dedup import near_dedup
+from .filter_audit import audit
 from .html_extract import html_extract
 from .language_id import language_id
 from .line_dedup import drop_repeated_lines
@@ -77,8 +78,13 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in every order of them."""
+    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
