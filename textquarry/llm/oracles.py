@@ -59,6 +59,33 @@ SELECT doc_id, CAST(coalesce(len(xs), 0) AS INTEGER) AS n_lines, CAST(len(gone)
 FROM t
 """
 
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Every round is a few common table expressions: the assignment of all parts and the next codebooks."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, arg_min(e, d * 16 + e) AS e, min(d) AS d
+  FROM (SELECT rid, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN b{r} USING (p)) GROUP BY 1, 2),
+"""
+    mean = """b{n} AS MATERIALIZED (
+  SELECT b{r}.p, b{r}.e, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN (
+    SELECT p, e, list(s ORDER BY i) AS c FROM (
+      SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS s FROM a{r}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) m
+  ON m.p = b{r}.p AND m.e = b{r}.e),
+"""
+    steps = "".join(nearest.format(r=r) + mean.format(r=r, n=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM k, unnest(range(8)) AS u(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM v WHERE rid <= 16),
+{steps}w AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM w JOIN k USING (rid), h
+"""
+
+
 FILTER_AUDIT = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -89,4 +116,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING, "op9_line_dedup": LINE_DEDUP, "op12_filter_audit": FILTER_AUDIT}
+SQL: dict[str, str] = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_mixing": MIXING, "op9_line_dedup": LINE_DEDUP, "op11_vector_codes": _vector_codes(), "op12_filter_audit": FILTER_AUDIT}

@@ -18,6 +18,7 @@ from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .quality import quality
+from .vector_codes import compress
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -78,13 +79,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector, from integer codebooks."""
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each language, in every order of them."""
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract, op11_vector_codes, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
