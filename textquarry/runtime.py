@@ -69,6 +69,10 @@ class Scratch:
         """Delete a saved table that nothing reads any more."""
         _delete(self.spark, df._scratch_path)
 
+    def forget(self, name: str) -> None:
+        """Delete what a caller wrote below this folder under a name of its own."""
+        _delete(self.spark, f"{self.base}/{name}")
+
 
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
