@@ -18,6 +18,7 @@ from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .quality import quality
+from .suffix_dedup import suffix_dedup
 from .vector_codes import compress
 
 
@@ -89,8 +90,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that occur elsewhere."""
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract, op11_vector_codes, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_ann, op4_mixing, op5_language_id, op6_lm_score, op7_embedding_dedup, op8_quality, op9_line_dedup, op10_html_extract, op11_vector_codes, op12_filter_audit, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
