@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from textquarry import queries_api, queries_web  # noqa: F401 (they register their queries)
+from textquarry import queries_api, queries_search, queries_web  # noqa: F401 (they register their queries)
 from textquarry.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import excerpt
 from ..functions.vectors import cosine
 from .rollups import with_phase
+from .vector_index import VectorIndex
 
 CHUNKS, PROJECTS = 10, 5
 
@@ -27,13 +28,37 @@ def top_k(rows: DataFrame, vector: Column, k: int, embedding: str = "embedding",
     return scored.orderBy(F.col("similarity").desc(), id_col).limit(check_limit(k))
 
 
-def search_chunks(chunks: DataFrame, documents: DataFrame, entities: DataFrame, vector: Column, limit: int = CHUNKS) -> DataFrame:
-    """The best chunks with their document and its entity. The k chunks are found before anything is joined to them."""
-    docs = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("url").alias("document_url"), "org_id")
-    owned = chunks.join(docs.select("document_id"), "document_id", "left_semi")
-    best = top_k(owned, vector, limit)
+def owned_top_k(chunks: DataFrame, documents: DataFrame, vector: Column, k: int, index: VectorIndex | None = None) -> DataFrame:
+    """(id, document_id, similarity) of the k best chunks that have a document.
+
+    Ids and embeddings are scored (or an index is asked) before anything is joined; the documents of the few that are
+    found are looked up by id, and where chunks without one take places, more are asked for.
+    """
+    want = check_limit(k)
+    while True:
+        if index is None:
+            found = top_k(chunks.select("id", "document_id", "embedding"), vector, want).select("id", "document_id", "similarity")
+        else:
+            asked = chunks.sparkSession.range(1).select(F.lit(0).alias("query_id"), vector.alias("embedding"))
+            best = index.search(asked, want).select("id", "similarity")
+            found = chunks.select("id", "document_id").join(F.broadcast(best), "id")
+        rows = found.collect()
+        of = sorted({r["document_id"] for r in rows if r["document_id"] is not None})
+        there = {r[0] for r in documents.where(F.col("id").isin(of)).select("id").collect()} if of else set()
+        owned = sorted((r for r in rows if r["document_id"] in there), key=lambda r: (-r["similarity"], r["id"]))
+        if len(owned) >= k or len(rows) < want:
+            return chunks.sparkSession.createDataFrame([tuple(r) for r in owned[:k]], found.schema)
+        want *= 4
+
+
+def search_chunks(chunks: DataFrame, documents: DataFrame, entities: DataFrame, vector: Column, limit: int = CHUNKS, index: VectorIndex | None = None) -> DataFrame:
+    """The best chunks with their document and its entity. The k chunks are found before anything is joined to them, by a stored index if one is given."""
+    best = owned_top_k(chunks, documents, vector, limit, index)
+    ids, of = ([r[0] for r in best.select(c).distinct().collect()] for c in ("id", "document_id"))
+    best = F.broadcast(best.select("id", "similarity"))
+    docs = documents.where(F.col("id").isin(of)).select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("url").alias("document_url"), "org_id")
     names = entities.select(F.col("id").alias("org_id"), F.col("name").alias("entity_name"))
-    out = best.join(docs, "document_id").join(names, "org_id", "left")
+    out = chunks.where(F.col("id").isin(ids)).join(best, "id").join(docs, "document_id").join(names, "org_id", "left")
     return out.select("id", "document_id", "section_title", "content", "similarity", "document_title", "document_url", "entity_name").orderBy(F.col("similarity").desc(), "id")
 
 
