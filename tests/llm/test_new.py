@@ -60,11 +60,28 @@ def passages(seed: int, letters: str, size: int) -> list[str]:
 def test_suffix_dedup(spark, seed, letters, length, monkeypatch):
     """Random pieces of common passages with single edits; keys of more than two rows count as hot."""
     monkeypatch.setattr(sd, "HOT_ROWS", 2)
-    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0 if seed == 2 else 1 << 20)
-    monkeypatch.setattr(sd, "CHUNK", 64 if seed == 1 else 1 << 20)
+    monkeypatch.setattr(sd, "BITS", sd.ROW_BITS * (1 if seed == 2 else 64))
     check_suffixes(spark, passages(seed, letters, length), length)
 
 
+@pytest.mark.parametrize("chunk", [16, 50, 1 << 20])
+def test_anchors_of_long_texts(chunk, monkeypatch):
+    """Whatever the size of the pieces, every window of every text is in one run, and its anchor's place depends on its bytes alone."""
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    texts = [bytes(rnd.choice(b"ab") for _ in range(n)) for n in (0, 3, 8, 40, 7, 200, 90, 90)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    seen, places = Counter(), {}
+    with np.errstate(over="ignore"):
+        for run in sd.anchors(np.frombuffer(b"".join(texts), np.uint8), offsets, 8):
+            for text, at, lo, hi, _ in zip(*run, strict=True):
+                for start in range(lo, hi + 1):
+                    seen[int(text), int(start - offsets[text])] += 1
+                    places.setdefault(texts[text][start - offsets[text] : start - offsets[text] + 8], set()).add(int(at - start))
+    assert seen == Counter({(i, s): 1 for i, t in enumerate(texts) for s in range(len(t) - 7)})
+    assert all(len(p) == 1 for p in places.values())
+
+
 def test_suffix_levels(spark):
     """Five batches lie in levels of four and one; seeds are what occurs twice, in one batch or in two."""
     from textquarry.llm.common import Scratch

@@ -50,8 +50,8 @@ BATCHES = 4
 GROUPS = (16, 4, 1)
 #: A key with more rows than this, and than one row in SHARE of all, is joined by broadcast; such keys are a few hundred thousand at most.
 HOT_ROWS, SHARE = 1000, 1 << 16
-#: Bytes of a table that is broadcast where its size is counted first.
-BROADCAST_BYTES = 24 << 20
+#: Bits, at any size of input, of the map that says which texts anything is asked of; bits of a row of it.
+BITS, ROW_BITS = 1 << 26, 1 << 15
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -195,6 +195,20 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(F.broadcast(hot), keys).unionByName(left.join(few, keys, "left_anti").join(cold, keys))
 
 
+def where_asked(texts: DataFrame, asked: DataFrame, key: str = "d", of: str = "of") -> DataFrame:
+    """texts (all rows that are asked for, and few others) before they are shuffled: by a bit map of fixed size that is broadcast.
+
+    A map that is full lets every row pass, and the join that follows decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(BITS))
+    at = F.floor(place(F.col(of)) / ROW_BITS)
+    bits = asked.groupBy(at.alias("_row")).agg(F.bitmap_construct_agg(F.pmod(place(F.col(of)), F.lit(ROW_BITS))).alias("_bits"))  # BITS / ROW_BITS rows of 4 KB
+    bit = F.pmod(place(F.col(key)), F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = texts.join(F.broadcast(bits), F.floor(place(F.col(key)) / ROW_BITS) == F.col("_row"))
+    return known.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*texts.columns)
+
+
 class SuffixLevels:
     """The family of sparse suffix arrays: (rank, table) of levels, a table (g, n) for each, bucketed and sorted by g.
 
@@ -291,15 +305,14 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.drop(shared)
     scratch.drop(spans)
 
-    def fetch(asked: DataFrame, size: int, take: str, schema: str, kernel) -> DataFrame:  # noqa: ANN001
+    def fetch(asked: DataFrame, take: str, schema: str, kernel) -> DataFrame:  # noqa: ANN001
         """Texts with what is asked of each, one row a text: a copy is told from the others by its id."""
-        asked = asked.join(texts, "d").where(take).select(F.col("d").alias("of"), "least", "asked")
-        asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-        met = long.join(asked, (F.col("d") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
+        asked = scratch.save(asked.join(texts, "d").where(take).select(F.col("d").alias("of"), "least", "asked"))
+        met = where_asked(long, asked.select("of")).join(asked, (F.col("d") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
         return scratch.save(met.select("d", "text", "asked").mapInArrow(kernel, schema))
 
     asked = active.groupBy("d").agg(F.collect_list(F.struct("pos", "olo", "ohi", "n")).alias("asked"))
-    around = fetch(asked, active.count() * 48, "true", _CONTEXT, _contexts(length))
+    around = fetch(asked, "true", _CONTEXT, _contexts(length))
     groups = around.select("d", "pos", "chi", "n", "bytes", F.col("clo").alias("olo"), F.col("chi").alias("ohi"))
     for width in GROUPS:
         cut = scratch.save(groups.mapInArrow(_cut_on(length, width), "core long, span long, d long, pos int, olo int, ohi int, n long"))
@@ -311,13 +324,11 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         if width > 1:
             active = join_spread(equal, several, ["core"], "k", limit)
             active = scratch.save(active.select("first.d", "first.pos", "first.olo", "first.ohi", F.when(F.col("two"), F.lit(2)).otherwise(F.col("n")).cast("long").alias("n")))
-            more = F.broadcast(active) if active.count() * 48 <= BROADCAST_BYTES else active
-            groups = around.drop("n").join(more, ["d", "pos"]).where("clo <= olo and ohi <= chi").select("d", "pos", "chi", "n", "bytes", "olo", "ohi")
+            groups = around.drop("n").join(active, ["d", "pos"]).where("clo <= olo and ohi <= chi").select("d", "pos", "chi", "n", "bytes", "olo", "ohi")
         scratch.drop(cut)
     gone = reduce(DataFrame.unionByName, marks)
-    size = gone.count() * 16
     gone = gone.groupBy("d").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))
-    left = fetch(gone, size, "m = 1", "d long, n_removed long, n_spans long, kept string", _removed)
+    left = fetch(gone, "m = 1", "d long, n_removed long, n_spans long, kept string", _removed)
 
     rows = rows.withColumn("d", named)
     copies = scratch.save(texts.where("m > 1").select("d", "m"))
