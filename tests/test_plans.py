@@ -70,13 +70,6 @@ def test_levels(spark):
     assert {(r.depth, r.url) for r in got.collect()} == {(0, "https://s.gov/"), (1, "https://s.gov/a"), (2, "https://s.gov/b")}
 
 
-def test_best_first():
-    web = {"s": [("a", 0.5), ("b", 0.9), ("a", 0.7)], "b": [("c", 0.9)], "a": [], "c": None}
-    out = crawl.best_first("s", web.get, lambda a, b: True, depth=2, most=10)
-    assert out.pages == ["s", "b", "a"] and out.errors == ["c"] and not out.failed
-    assert crawl.best_first("s", web.get, lambda a, b: True, most=2).pages == ["s", "b"]
-
-
 def test_fetch(spark):
     def fetch(url):
         if url == "bad":

@@ -1,14 +1,12 @@
-"""Crawling a table of pages (or a fetcher) from seeds, and storing what is found.
+"""Crawling a table of pages from seeds level by level, and storing what is found.
 
-Two modes. ``by_levels`` goes level by level: every page of a depth is read before any of the
-next, as joins. ``best_first`` reads pages one by one in the order of scores, as a driver loop;
-its page set differs where the limit on pages binds. Forbidden paths are not read in either.
+Every page of a depth is read before any of the next, as joins. ``frontier`` reads the pages of the
+best scores first, under limits. Forbidden paths are not read in either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,50 +53,6 @@ def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float =
     return reached.select("depth", "url")
 
 
-@dataclass
-class Crawl:
-    """What a best-first crawl found."""
-
-    pages: list[str] = field(default_factory=list)
-    visited: set[str] = field(default_factory=set)
-    errors: list[str] = field(default_factory=list)
-    links: list[tuple[str, str, float]] = field(default_factory=list)
-
-    @property
-    def failed(self) -> bool:
-        """More errors than half the pages."""
-        return len(self.errors) > len(self.pages) / 2
-
-
-def best_first(seed: str, read: Callable[[str], list[tuple[str, float]] | None], same: Callable[[str, str], bool], depth: int = 2, most: int = 50, least: float = FOLLOW_SCORE) -> Crawl:
-    """Pages in the order of their best known score, first come first among equals.
-
-    read returns the scored, normalised links of a page, or None if it can't be read; a page
-    that fails is visited but no page. Links of pages at the greatest depth are not looked at.
-    """
-    import heapq
-
-    out, waiting, number = Crawl(), [(0.0, 0, seed, 0)], 1
-    while waiting and len(out.pages) < most:
-        _, _, url, at = heapq.heappop(waiting)
-        if url in out.visited or not same(url, seed):
-            continue
-        out.visited.add(url)
-        links = read(url)
-        if links is None:
-            out.errors.append(url)
-            continue
-        out.pages.append(url)
-        if at >= depth:
-            continue
-        for link, score in links:
-            out.links.append((url, link, score))
-            if score >= least and link not in out.visited:
-                heapq.heappush(waiting, (-score, number, link, at + 1))
-                number += 1
-    return out
-
-
 def scraped(
     seeds: DataFrame, pages: DataFrame, root: str, embeddings: EmbeddingProvider, model: LanguageProvider, depth: int = 2, rules: DataFrame | None = None, rank: Callable[[DataFrame], DataFrame] = ranked_links, count: Count = estimate
 ) -> Warehouse:

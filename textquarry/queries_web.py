@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import dom, links
 from .operators.robots import allowed, robots_info, robots_rules
-from .plans import crawl
+from .plans import crawl, frontier
 from .providers import HashedEmbedding, RuleModel
 from .queries import _OUTSIDE_SQL, _SKIP_SQL, _bare_sql, _t, _weights_sql, query
 from .runtime import Scratch
@@ -153,6 +153,51 @@ def crawl_with_rules(spark, sf):
     return crawl.by_levels(web.where("k < 5").select("url"), web.select("url", "html"), depth=3, rules=_rules(spark, sf))
 
 
+# A page for each customer k on one of five sites, which links to k + 5, k + 10 and k + 15 by words that differ in weight, so
+# that URLs are found several times, with scores that rise.
+_WORDS = {"budget": 0.9, "bidding": 0.85, "finance": 0.8, "agenda": 0.7, "contact": 0.6, "staff": 0.55, "hello": 0.0}
+_ROUNDS, _PER_ROUND, _PER_HOST, _PAGES, _DEPTH = 16, 8, 2, 90, 12
+
+
+def _weighted_web(spark: SparkSession, sf: str) -> DataFrame:
+    key, far = F.col("c_custkey"), F.lit(" plain words between the links " * 5)
+    at = lambda k: F.concat(F.lit("https://s"), F.pmod(k, F.lit(_SITES)), F.lit(".gov/p"), k, F.lit("x"))
+    word = lambda n: F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.pmod(key * n + F.floor(key / 5), F.lit(len(_WORDS))) + 1).cast("int"))
+    link = lambda n: F.concat(F.lit("<a href='"), at(key + 5 * n), F.lit("'>"), word(n), F.lit("</a>"), far)
+    return _t(spark, sf, "customer").where("c_custkey % 11 <> 7 or c_custkey < 5").select(key.alias("k"), at(key).alias("url"), F.concat(F.lit("<p>"), *[link(n) for n in (1, 2, 3)], F.lit("</p>")).alias("html"))
+
+
+def _frontier_sql() -> str:
+    """The rounds one after the other: what each takes (t), what its links add (f), and what waits then (w)."""
+    weights = "[" + ", ".join(str(w) for w in _WORDS.values()) + "]"
+    step = f"""t{{r}} AS MATERIALIZED (
+  SELECT *, k IN (SELECT k FROM page) AS read FROM (SELECT * FROM w{{r}} QUALIFY row_number() OVER (PARTITION BY k % 5 ORDER BY score DESC, first, url) <= {_PER_HOST})
+  QUALIFY row_number() OVER (ORDER BY score DESC, first, url) <= least({_PER_ROUND}, {_PAGES} - coalesce((SELECT sum(CASE WHEN read THEN 1 ELSE 0 END) FROM ({{before}})), 0))),
+f{{r}} AS (SELECT k + 5 * n AS k, {weights}[(k * n + k // 5) % {len(_WORDS)} + 1] AS score, depth + 1 AS depth, {{r}} + 1 AS first FROM t{{r}}, unnest([1, 2, 3]) AS u(n) WHERE read AND depth < {_DEPTH}),
+w{{n}} AS MATERIALIZED (
+  SELECT k, 'https://s' || (k % 5) || '.gov/p' || k || 'x' AS url, max(score) AS score, -max((score, -depth))[2] AS depth, min(first) AS first
+  FROM (SELECT k, score, depth, first FROM w{{r}} UNION ALL SELECT k, score, depth, first FROM f{{r}} WHERE score >= 0.5)
+  WHERE k NOT IN (SELECT k FROM ({{all}})) GROUP BY k),
+"""
+    taken = lambda r: " UNION ALL ".join(f"SELECT k, read FROM t{i}" for i in range(r)) or "SELECT 0 AS k, false AS read WHERE false"
+    rounds = "".join(step.format(r=r, n=r + 1, before=taken(r), all=taken(r + 1)) for r in range(_ROUNDS))
+    every = " UNION ALL ".join(f"SELECT {r} AS round, url, score, depth, read FROM t{r}" for r in range(_ROUNDS))
+    return f"""WITH page AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 11 <> 7 OR c_custkey < 5),
+w0 AS (SELECT k, 'https://s' || (k % 5) || '.gov/p' || k || 'x' AS url, 0.0 AS score, 0 AS depth, 0 AS first FROM page WHERE k < 5),
+{rounds}e AS ({every})
+SELECT CAST(round AS INTEGER) AS round, url, CAST(score AS DOUBLE) AS score, CAST(depth AS INTEGER) AS depth, read FROM e"""
+
+
+@query(_frontier_sql())
+def crawl_best_first(spark, sf):
+    """The best ninety pages within twelve links of the first ones, eight to a round and two of them of a site; it stops twice and goes on."""
+    web = _weighted_web(spark, sf)
+    crawling = frontier.Frontier(f"{Scratch(spark).base}/crawl", web.where("k < 5").select("url"), web.select("url", "html"))
+    for rounds in (3, 4, _ROUNDS - 7):
+        crawling.run(_PAGES, _DEPTH, _PER_ROUND, _PER_HOST, rounds=rounds)
+    return crawling.taken().select("round", "url", "score", "depth", "read")
+
+
 @query(
     f"""WITH {_MARKED}, one AS (SELECT *, {_bare_sql('url')} AS bare FROM mk QUALIFY row_number() OVER (PARTITION BY bare ORDER BY url) = 1)
 SELECT bare AS url, md5(markdown) AS content, CAST(ceil(length(markdown) / 4.0) AS BIGINT) AS least_tokens FROM one WHERE length(markdown) >= 200 AND length(regexp_replace(markdown, '^\\s+|\\s+$', '', 'g')) >= 50"""
