@@ -19,6 +19,7 @@ from .operators import chunking, links, rollups, search, writes
 from .operators.robots import robots_info, robots_rules
 from .plans import crawl
 from .schemas import PHASES
+from .streaming import alerts
 from .streaming.ingest import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,8 +432,22 @@ def event_window_counts(spark, sf):
 
 
 @query(
-    """SELECT conv_id, turn, role, before FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL AND before <> role"""
+    """SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, before FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL AND before <> role"""
 )
 def phase_changes(spark, sf):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _t(spark, sf, "conversations").withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col("role"))).select("conv_id", "turn", "role", "before")
+    """Turns whose role differs from that of the turn before; a turn is half an hour of event time."""
+    found = alerts.phase_changes(spoken(spark, sf), ["conv_id"], phase="role")
+    return found.select("conv_id", turn_of().alias("turn"), "role", "before")
+
+
+#: Seconds at which conversations begin.
+_BEGIN = 946_684_800
+
+
+def turn_of() -> Column:
+    return ((F.unix_seconds("created_at") - _BEGIN) / 1800).cast("int")
+
+
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, role, created_at) of all turns."""
+    return _t(spark, sf, "conversations").select("conv_id", "role", F.timestamp_seconds(F.col("turn") * 1800 + _BEGIN).alias("created_at"))

@@ -35,11 +35,3 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours"
     """Number and sum of events by type in tumbling windows; works on streams and tables."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
-
-
-def phase_changes(projects: DataFrame) -> DataFrame:
-    """Projects (title, phase, created_at) whose phase differs from the one before; a table's changes in order of time."""
-    from pyspark.sql import Window
-
-    before = F.lag("phase").over(Window.partitionBy("org_id", "title").orderBy("created_at"))
-    return projects.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col("phase")))
