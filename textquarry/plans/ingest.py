@@ -1,34 +1,43 @@
 """Ingestion as one plan: gates, first per URL, new ones only, one enrichment, six tables.
 
-The enrichment calls models, so its result is written before anything is derived from it; a
-task that is retried later re-reads it. Every table is appended as a whole, without the rows it
+The corpus is parsed once. Models are asked through a ledger, which knows what was answered before, and the
+enrichment is written before anything is derived from it; a task that is retried later re-reads it. Every table is appended as a whole, without the rows it
 holds already, and documents come last: they say what is stored. A run that fails half-way
 leaves its enrichment behind, and the next run first appends what is missing of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import normalize, urls
 from ..operators.chunking import Count, chunk_text, estimate
 from ..operators.writes import first_per_key, identified, overlay, unseen
-from ..providers import ENTITY_CHARS, ENTITY_PAGES, SUMMARY_CHARS, TRUNCATED, EmbeddingProvider, LanguageProvider, embed_all, with_retry
-from ..runtime import ship
+from ..providers import EMBEDDING_BATCH, ENTITY_CHARS, ENTITY_PAGES, SUMMARY_CHARS, TRUNCATED, EmbeddingProvider, LanguageProvider, embed_all, with_retry
+from ..runtime import Scratch, ship
 from ..sources.corpus import split_rejects
+from .ledger import Ledger, request_key
 
-TABLES = {"entities": schemas.ENTITIES, "documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "projects": schemas.PROJECTS, "project_evidence": schemas.EVIDENCE, "chat_sessions": schemas.CHAT_SESSIONS}
+TABLES = {"entities": schemas.ENTITIES, "documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "projects": schemas.PROJECTS, "project_evidence": schemas.EVIDENCE, "chat_sessions": schemas.CHAT_SESSIONS, "rejects": schemas.REJECTS}
+
+
+def _written(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write the rows and return how many there were, from one run of their plan."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """The six tables as Parquet folders."""
+    """The six tables as Parquet folders, and the rejects of the last run."""
 
     spark: SparkSession
     root: str
@@ -44,12 +53,14 @@ class Warehouse:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.mode("append").parquet(f"{self.root}/{name}")
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Add rows and return how many; columns that they lack are null."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+        return _written(rows, lambda df: df.write.mode("append").parquet(f"{self.root}/{name}"))
 
-    def replace(self, name: str, rows: DataFrame) -> None:
+    def replace(self, name: str, rows: DataFrame) -> int:
         """Write beside the table, then swap: the rows may be read from it. The old one goes when the new one is in place."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/_new_{name}")
+        n = _written(rows, lambda df: df.write.mode("overwrite").parquet(f"{self.root}/_new_{name}"))
         at, old, new = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (name, f"_old_{name}", f"_new_{name}"))
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if fs.exists(at):
@@ -57,55 +68,100 @@ class Warehouse:
             fs.rename(at, old)
         fs.rename(new, at)
         fs.delete(old, True)
+        return n
 
 
-#: Documents that are enriched before their rows are handed on; texts, chunks and vectors of so many are held at once.
-ENRICHED_ROWS = 16
-ENRICHED = (
-    f"summary {schemas.SUMMARY.simpleString()}, chunks array<struct<section_title:string,content:string,token_count:int,chunk_index:int,embedding:array<float>>>, "
-    f"projects array<struct<record:{schemas.EXTRACTED_PROJECT.simpleString()},embedding:array<float>>>"
-)
+#: What a document has that could not be summarised.
+NO_SUMMARY = {"title": "Untitled Document", "summary": "Failed to generate summary", "keywords": [], "document_type": "other", "fiscal_year": None}
+_CHUNKS = "doc string, chunk_index int, section_title string, content string, token_count int"
 
 
-def enrich(documents: DataFrame, embeddings: EmbeddingProvider, model: LanguageProvider, count: Count = estimate) -> DataFrame:
-    """documents (org_id, url, url_id, text, file) with summary, chunks and projects; a model's failure leaves its part empty."""
-    ship(documents.sparkSession)
-    schema = documents.schema
-    from pyspark.sql.pandas.types import to_arrow_type
+def _tried(call: Callable[..., object]) -> Callable[[list[tuple]], list[str | None]]:
+    """Answers as JSON, one call for each request; a failure is the record of one document, not the run."""
 
-    full = documents.sparkSession.createDataFrame([], ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], ENRICHED])).schema
-    types = [to_arrow_type(full[n].dataType) for n in ("summary", "chunks", "projects")]
+    def ask(rows: list[tuple]) -> list[str | None]:
+        out: list[str | None] = []
+        for row in rows:
+            try:
+                out.append(json.dumps(with_retry(lambda r=row: call(*r))))
+            except Exception:
+                out.append(None)
+        return out
+
+    return ask
 
-    def tried(call, other):
-        try:
-            return with_retry(call)
-        except Exception:  # the record of one document, not the run
-            return other
 
-    def embedded(texts: list[str]) -> list:
-        """A failure leaves the texts of one document without vectors: search passes them over."""
+def _vectors(embeddings: EmbeddingProvider) -> Callable[[list[tuple]], list[str | None]]:
+    """Vectors as JSON. Texts of a batch that fails are tried alone; those that fail are passed over by search."""
+
+    def ask(rows: list[tuple]) -> list[str | None]:
+        texts = [t for (t,) in rows]
         try:
-            return list(embed_all(embeddings, texts, lambda _: None))
+            return [json.dumps([float(x) for x in v]) for v in embed_all(embeddings, texts, lambda _: None)]
         except Exception:
-            return [None] * len(texts)
+            return [None] if len(rows) == 1 else [v for row in rows for v in ask([row])]
+
+    return ask
 
+
+def _chunker(count: Count):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, ENRICHED_ROWS) for b in batches for i in range(0, b.num_rows, ENRICHED_ROWS)):
-            out: tuple[list, list, list] = ([], [], [])
-            for row in batch.to_pylist():
-                text, url = row["text"], row["url"]
-                short = text if len(text) <= SUMMARY_CHARS else text[:SUMMARY_CHARS] + TRUNCATED
-                out[0].append(tried(lambda t=short, u=url: model.summarize(t, u), {"title": "Untitled Document", "summary": "Failed to generate summary", "keywords": [], "document_type": "other", "fiscal_year": None}))
-                chunks = [dict(zip(("section_title", "content", "token_count", "chunk_index"), c, strict=True)) for c in chunk_text(text, count)]
-                for chunk, vector in zip(chunks, embedded([c["content"] for c in chunks]), strict=True):
-                    chunk["embedding"] = vector
-                out[1].append(chunks)
-                found = tried(lambda t=text, u=url: model.projects(t, u), [])
-                vectors = embedded([f"{p['title']} {p['description']}" for p in found])
-                out[2].append([{"record": p, "embedding": v} for p, v in zip(found, vectors, strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=full.fieldNames())
-
-    return documents.mapInArrow(run, full)
+        for batch in batches:
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(doc, index, title, content, tokens) for title, content, tokens, index in chunk_text(text, count)]
+                if rows:
+                    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "chunk_index", "section_title", "content", "token_count"])
+
+    return run
+
+
+ENRICHED = (
+    f"summary {schemas.SUMMARY.simpleString()}, chunks array<struct<section_title:string,content:string,token_count:int,chunk_index:int,embedding:array<float>>>, "
+    f"projects array<struct<record:{schemas.EXTRACTED_PROJECT.simpleString()},embedding:array<float>>>"
+)
+
+
+def _name(provider: object) -> str:
+    return str(getattr(provider, "name", type(provider).__name__))
+
+
+def enrich(documents: DataFrame, embeddings: EmbeddingProvider, model: LanguageProvider, count: Count = estimate, ledger: str | None = None) -> DataFrame:
+    """documents (org_id, url, url_id, text, file) with summary, chunks and projects; a model's failure leaves its part empty.
+
+    What the ledger (a folder; one of this call alone if None) holds is not asked again. Texts stay where they are
+    until all answers have met their document by its hash: then they are joined once.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
+    ledger = ledger or f"{scratch.base}/ledger"
+    asks, embeds = Ledger(spark, ledger, _name(model)), Ledger(spark, ledger, f"{_name(embeddings)}:{embeddings.dimension}")
+    text, url = F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))
+    short = F.when(F.length(text) <= SUMMARY_CHARS, text).otherwise(F.concat(F.substring(text, 1, SUMMARY_CHARS), F.lit(TRUNCATED)))
+    doc = request_key("document", "", url, text)
+    summary_key, project_key = request_key("summary", asks.model, short, url), request_key("projects", asks.model, text, url)
+    keys = scratch.save(documents.select(doc.alias("doc"), summary_key.alias("s"), project_key.alias("p")).distinct())
+    summaries = asks.ask("summary", documents.select(short.alias("text"), url.alias("url")), ["text", "url"], _tried(model.summarize))
+    found = asks.ask("projects", documents.select(text.alias("text"), url.alias("url")), ["text", "url"], _tried(model.projects))
+    records = F.coalesce(F.from_json("answer", f"array<{schemas.EXTRACTED_PROJECT.simpleString()}>"), F.array())
+    projects = scratch.save(keys.join(found.withColumnRenamed("key", "p"), "p").select("doc", F.posexplode(records).alias("place", "record")))
+    chunks = scratch.save(documents.select(doc.alias("doc"), text.alias("text")).dropDuplicates(["doc"]).mapInArrow(_chunker(count), _CHUNKS))
+    of_project = F.concat(F.coalesce("record.title", F.lit("")), F.lit(" "), F.coalesce("record.description", F.lit("")))
+    texts = chunks.select(F.col("content").alias("text")).unionByName(projects.select(of_project.alias("text")))
+    vectors = embeds.ask("embedding", texts, ["text"], _vectors(embeddings), EMBEDDING_BATCH)
+    vectors = scratch.save(vectors.select(F.col("key").alias("v"), F.from_json("answer", "array<float>").alias("embedding")))
+    embedded = lambda rows, of: rows.withColumn("v", request_key("embedding", embeds.model, of)).join(vectors, "v", "left")
+
+    own = F.sort_array(F.collect_list(F.struct("chunk_index", "section_title", "content", "token_count", "embedding")))
+    own = F.transform(own, lambda c: F.struct(c["section_title"].alias("section_title"), c["content"].alias("content"), c["token_count"].alias("token_count"), c["chunk_index"].alias("chunk_index"), c["embedding"].alias("embedding")))
+    of_chunks = embedded(chunks, F.col("content")).groupBy("doc").agg(own.alias("chunks"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("place", "record", "embedding")), lambda a, b: a["place"] - b["place"]), lambda p: F.struct(p["record"].alias("record"), p["embedding"].alias("embedding")))
+    of_projects = embedded(projects, of_project).groupBy("doc").agg(own.alias("projects"))
+    summary = F.coalesce(F.from_json("answer", schemas.SUMMARY), F.from_json(F.lit(json.dumps(NO_SUMMARY)), schemas.SUMMARY)).alias("summary")
+    answered = keys.join(summaries.withColumnRenamed("key", "s"), "s", "left").select("doc", summary).join(of_chunks, "doc", "left").join(of_projects, "doc", "left")
+    none = lambda name: F.coalesce(name, F.array()).alias(name)
+    return documents.withColumn("doc", doc).join(answered, "doc").select(*documents.columns, "summary", none("chunks"), none("projects"))
 
 
 def new_documents(corpus: DataFrame, stored: DataFrame, order: str = "file") -> DataFrame:
@@ -127,7 +183,7 @@ def derive(enriched: DataFrame) -> dict[str, DataFrame]:
     return {"documents": documents, "chunks": chunks, "projects": projects, "project_evidence": identified(evidence, "project_id", "place")}
 
 
-def entity_info(corpus: DataFrame, model: LanguageProvider) -> DataFrame:
+def entity_info(corpus: DataFrame, model: LanguageProvider, ledger: str | None = None) -> DataFrame:
     """(id, website, name, type, state, confidence) from each entity's first three documents, those already stored too."""
     rows = corpus.select(F.col("org_id").alias("id"), "file", "url", F.substring("text", 1, ENTITY_CHARS).alias("text"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("file", "url"))  # limited before the shuffle
@@ -136,52 +192,49 @@ def entity_info(corpus: DataFrame, model: LanguageProvider) -> DataFrame:
     sites = corpus.where(site.isNotNull()).groupBy(F.col("org_id").alias("id")).agg(F.min_by(site, "file").alias("website"))
     sample = pages.join(sites, "id", "left").select("id", "pages", "website")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                pages = [{"url": p["url"], "title": "", "content": p["text"]} for p in row["pages"]]
-                try:
-                    found.append(with_retry(lambda p=pages, w=row["website"]: model.entity(p, w or "")) or {})
-                except Exception:  # an entity that is not recognised stays as it is
-                    found.append({})
-            columns = [pa.array([f.get(n) for f in found], t) for n, t in (("name", pa.string()), ("type", pa.string()), ("state", pa.string()), ("confidence", pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["id", "website", "name", "type", "state", "confidence"])
-
-    raw = sample.mapInArrow(run, "id string, website string, name string, type string, state string, confidence double")
+    shown = F.transform("pages", lambda p: F.struct(p["url"].alias("url"), F.lit("").alias("title"), p["text"].alias("content")))
+    asked = sample.select("id", "website", F.to_json(shown).alias("pages"), F.coalesce("website", F.lit("")).alias("of"))
+    asks = Ledger(corpus.sparkSession, ledger or f"{Scratch(corpus.sparkSession).base}/ledger", _name(model))
+    answers = asks.ask("entity", asked, ["pages", "of"], _tried(lambda pages, of: model.entity(json.loads(pages), of)))
+    raw = asked.withColumn("key", request_key("entity", asks.model, F.col("pages"), F.col("of"))).join(answers, "key").select("id", "website", F.from_json("answer", schemas.ENTITY_INFO).alias("e")).select("id", "website", "e.*")
     return raw.select("id", "website", normalize.entity(F.struct("name", "type", "state", "confidence")).alias("e")).where("e is not null").select("id", "website", "e.*")
 
 
 def _stored(warehouse: Warehouse, staging: str, schema) -> dict[str, int]:
-    """Append what the tables lack of an enrichment, documents last, and delete it."""
-    kept = warehouse.spark.read.schema(schema).parquet(staging)
-    tables = derive(kept)
-    done = {}
-    for name in ("chunks", "projects", "project_evidence", "documents"):
-        rows = unseen(tables[name], warehouse.read(name), "id")
-        done[name] = rows.count()
-        warehouse.append(name, rows)
+    """Append what the tables lack of an enrichment, documents last, and delete it. Each table is derived once: its rows are counted as they are written."""
+    tables = derive(warehouse.spark.read.schema(schema).parquet(staging))
+    done = {name: warehouse.append(name, unseen(tables[name], warehouse.read(name), "id")) for name in ("chunks", "projects", "project_evidence", "documents")}
     path = warehouse.spark._jvm.org.apache.hadoop.fs.Path(staging)
     path.getFileSystem(warehouse.spark._jsc.hadoopConfiguration()).delete(path, True)
     return done
 
 
+def _enriched_schema(documents: DataFrame):
+    return documents.sparkSession.createDataFrame([], ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema], ENRICHED])).schema
+
+
 def ingest(corpus: DataFrame, warehouse: Warehouse, embeddings: EmbeddingProvider, model: LanguageProvider, staging: str, count: Count = estimate) -> dict[str, int]:
     """Run everything and return the numbers of new rows and of rejects. Stored documents are not changed.
 
     staging names a folder of this warehouse alone. What a failed run has left there is stored
-    first; one that failed while it was written is written again.
+    first; one that failed while it was written is written again. Answers of models are kept in the
+    warehouse's ledger: neither that run nor a later one asks for them again.
     """
+    spark, ledger = warehouse.spark, f"{warehouse.root}/_ledger"
+    scratch = Scratch(spark)
+    corpus = scratch.save(corpus)
     stored_entities = warehouse.read("entities")
     fresh = corpus.select(F.col("entity").alias("id")).distinct().withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
     warehouse.append("entities", unseen(fresh, stored_entities, "id"))
     good, bad = split_rejects(corpus, warehouse.read("entities"))
-    rejected = bad.count()
-    schema = enrich(good, embeddings, model, count).schema
-    left = warehouse.spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/_SUCCESS")
-    if left.getFileSystem(warehouse.spark._jsc.hadoopConfiguration()).exists(left):
+    rejected = warehouse.replace("rejects", bad.select("entity", "file", "url", "reason"))
+    good = scratch.save(good)
+    schema = _enriched_schema(good)
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/_SUCCESS")
+    if left.getFileSystem(spark._jsc.hadoopConfiguration()).exists(left):
         _stored(warehouse, staging, schema)
-    enrich(new_documents(good, warehouse.read("documents")), embeddings, model, count).write.mode("overwrite").parquet(staging)
+    new = scratch.save(new_documents(good, warehouse.read("documents")))
+    enrich(new, embeddings, model, count, ledger).select(*schema.fieldNames()).write.mode("overwrite").parquet(staging)
     done = _stored(warehouse, staging, schema)
-    warehouse.replace("entities", overlay(warehouse.read("entities"), entity_info(good, model)))
+    warehouse.replace("entities", overlay(warehouse.read("entities"), entity_info(good, model, ledger)))
     return done | {"rejected": rejected}

@@ -28,6 +28,8 @@ PROJECTS = _struct(
 EVIDENCE = _struct(id=S, project_id=S, document_id=S, chunk_id=S, evidence_type=S, excerpt=S, confidence=T.FloatType(), created_at=TS)
 CHAT_SESSIONS = _struct(id=S, query=S, response=S, matched_docs=T.ArrayType(_struct(id=S, title=S, url=S)), matched_projects=T.ArrayType(_struct(id=S, title=S, phase=S)), created_at=TS)
 
+REJECTS = _struct(entity=S, file=S, url=S, reason=S)
+
 # Records in flight.
 RAW_DOCUMENT = _struct(url=S, org_id=S, url_id=S, text=S)
 CHUNK = _struct(section_title=S, content=S, token_count=I, chunk_index=I)
