@@ -26,6 +26,15 @@ PAGES = {
     "an advert longer than the text": (f'<div class="ad">{LONG * 4}</div><div><p>Te.</p></div>', ["Te."]),
     "a hidden part and a title that says hidden": (f'<div title="the hidden door">{P}<p hidden>x</p><p style="display:none">y</p></div>', [LONG, LONG]),
     "a list of links in an article": ("<article><p>See, for more:</p><ul><li><a href=a>one</a><li><a href=b>two</a></ul></article>", ["See, for more:", "one", "two"]),
+    "chapters named as parts of a page are": (f'<article><h1>T</h1><section id="search"><h2>Search</h2><p>{LONG}</p></section><h2 id="comments">On comments in code</h2><p>{LONG}</p><div id="the-menu"><h3>The <i>menu</i></h3><p>Short.</p></div></article>', ["T", "Search", LONG, "On comments in code", LONG, "The menu", "Short."]),
+    "reader comments in an article": (f'<article>{P}<section id="comments"><h2>Comments</h2><p>{LONG}</p></section></article>', [LONG, LONG]),
+    "a search box in an article": (f'<article>{P}<div id="search"><form><input> find it</form></div><div id="menu"><h2>Menu</h2><a href=a>one</a> <a href=b>two</a></div></article>', [LONG, LONG]),
+    "a class on a heading": (f'<article>{P}<h2 class="sidebar">Side</h2></article>', [LONG, LONG]),
+    "a list of links under its heading": (f'<div class="content">{P}<h2>Sources</h2>\n<ul><li><a href=a>one</a><li><a href=b>two</a></ul></div>', [LONG, LONG, "Sources", "one", "two"]),
+    "a list of links under a menu's heading": (f'<div class="content">{P}<h2>Related</h2><ul><li><a href=a>one</a></ul></div>', [LONG, LONG, "Related"]),
+    "controls in a sentence": (f"<article>{P}<p>Press <button><b>Save</b></button> and <label>Name</label> it.</p><p><button>Share</button></p></article>", [LONG, LONG, "Press Save and Name it."]),
+    "long attributes": (f'<article><p data-x="{"a > b " * 3000}">{LONG}</p><img alt=\'{"x>" * 9000}\'><p title=it"s>{LONG}</p></article>', [LONG, LONG]),
+    "a quote that is not closed": (f'<article><p>{LONG}</p><p title="x>{LONG}</p></article>', [LONG, LONG]),
     "references and white space": ("<article><p>a&nbsp;&amp;\n\t b<br>c &lt;p&gt;</p></article>", ["a & b c <p>"]),
 }
 
@@ -40,7 +49,7 @@ def test_nothing():
     assert [extract(h) for h in (None, "", "<nav>a</nav>", '<div class="ad">buy</div>', "<script>x</script>", " \n ")] == [""] * 6
 
 
-@pytest.mark.parametrize("shape", ["<b>{n}</i>{n}", "<title>{n}", "<b>{n}<p></p>{n}", "<div>{n}</div></span>{n}", "<table><tr><td><table>{1}<div>{n}<td></td>{n}", "<ul><li>{n}<li>{n}", "<p><b>{n}"])
+@pytest.mark.parametrize("shape", ["<b>{n}</i>{n}", "<title>{n}", "<b>{n}<p></p>{n}", "<div>{n}</div></span>{n}", "<table><tr><td><table>{1}<div>{n}<td></td>{n}", "<ul><li>{n}<li>{n}", "<p><b>{n}", "<a b=\"{n}", "<a b=\"c\" {n}", "<ul><li><a>x</a></ul>{n}", "<h2>a</h2><ul><li><a>x</a></ul>{n}"])
 def test_time_is_linear(shape):
     def page(n):
         parts = shape.replace("{1}", "\0").split("{n}")

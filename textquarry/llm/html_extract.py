@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"'=]++|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 #: Elements whose content is text for machines; it ends at their own end tag only.
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _DROP = frozenset(("nav", "footer", "aside", "button", "select", "option", "input", "svg", "math", "canvas", "object", "dialog", "menu", "head", "audio", "video", "label", *_RAW))
+#: Controls that may stand in a sentence, as in "press <button>Save</button>"; and the blocks that hold sentences.
+_CONTROLS, _PROSE = frozenset(("label", "button")), frozenset(("p", "li", "dd", "dt", "td", "th", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
 _BLOCK = frozenset(
     (
         "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -41,6 +43,7 @@ _ENDS = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)), "thead": (("tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)),
 }
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ID = re.compile(r"""(?:^|\s)id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _QUOTED = re.compile(r"""\b(?!style\b)[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _UNHEARD = re.compile(r"""aria-hidden\s*=\s*["']?true""", re.I)
@@ -54,6 +57,8 @@ _UNLIKELY = frozenset(
         "widget", "widgets", "tags", "disclaimer",
     )
 )
+#: Those of reader comments, which no heading makes part of an article.
+_READERS = frozenset(("comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"))
 #: Parts that leave a name what it is: a ``site-footer`` is a footer.
 _PLAIN = frozenset(
     (
@@ -72,10 +77,10 @@ CLEAR, DOUBTFUL, FIRM = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "block", "parts", "drop", "doubt", "heading", "points", "chars", "linked", "core", "title")
+    __slots__ = ("tag", "parent", "depth", "block", "parts", "drop", "doubt", "heading", "topic", "points", "chars", "linked", "core", "title")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, doubt: int = CLEAR, heading: bool = False):
-        self.tag, self.parent, self.drop, self.doubt, self.heading = tag, parent, drop, doubt, heading
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, doubt: int = CLEAR, heading: bool = False, topic: str = ""):
+        self.tag, self.parent, self.drop, self.doubt, self.heading, self.topic = tag, parent, drop, doubt, heading, topic
         self.depth = parent.depth + 1 if parent else 0
         self.block: Node = self if parent is None or tag in _BLOCK else parent.block
         self.parts: list[Node | str] = []
@@ -103,11 +108,21 @@ def _named(name: str) -> tuple[int, bool]:
     return (FIRM if all(w in _UNLIKELY or w in _PLAIN or w.isdigit() for w in words) else DOUBTFUL), found == ["header"]
 
 
-def _doubt(tag: str, attributes: str) -> tuple[int, bool]:
+def _words(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower().replace("_", " "))
+
+
+def _doubt(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(doubt, whether the names are a header's, the id if it alone is why).
+
+    The id of a heading says what the heading says, and so may that of a section that begins with a heading.
+    """
     if tag in ("form", "header", "fieldset"):
-        return DOUBTFUL, tag == "header"
+        return DOUBTFUL, tag == "header", ""
     if not attributes or tag in ("html", "body", "main"):
-        return CLEAR, False
+        return CLEAR, False, ""
+    if (own := _ID.search(attributes)) and tag in _HEADINGS:
+        attributes, own = _ID.sub(" ", attributes), None
     names = [n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
     found = [_named(n) for n in names]
     doubt = max((d for d, _ in found), default=CLEAR)
@@ -115,7 +130,10 @@ def _doubt(tag: str, attributes: str) -> tuple[int, bool]:
         doubt = DOUBTFUL
     if tag == "article" and doubt == DOUBTFUL:
         doubt = CLEAR
-    return doubt, doubt > CLEAR and all(h for d, h in found if d > CLEAR)
+    topic = (own[1] or own[2] or own[3] or "") if own and doubt else ""
+    if topic and any(d > CLEAR for (d, _), n in zip(found, names, strict=True) if n != topic):
+        topic = ""
+    return doubt, doubt > CLEAR and all(h for d, h in found if d > CLEAR), topic
 
 
 def _hidden(attributes: str) -> bool:
@@ -127,6 +145,7 @@ def parse(html: str) -> Node:
     root = at = Node("html", None)
     open_: dict[str, list[Node]] = {"html": [root]}
     endless: set[str] = set()
+    controls: list[Node] = []
     done = 0
     find = _TAG.search
 
@@ -164,6 +183,8 @@ def parse(html: str) -> Node:
         drop = at.drop or tag in _DROP or bool(attributes) and _hidden(attributes)
         node = Node(tag, at, drop, *(_doubt(tag, attributes) if not drop else ()))
         at.parts.append(node)
+        if tag in _CONTROLS and not at.drop and at.block.tag in _PROSE and not (attributes and _hidden(attributes)):
+            controls.append(node)
         if tag in _RAW_END:
             end = None if tag in endless else _RAW_END[tag].search(html, done)
             if end is None:
@@ -179,6 +200,13 @@ def parse(html: str) -> Node:
     else:
         if done < len(html):
             at.parts.append(html[done:])
+    for node in controls:
+        if any(isinstance(p, str) and p.strip() for p in (*node.parent.parts, *node.parent.block.parts)):
+            todo = [node]
+            while todo:
+                one = todo.pop()
+                one.drop = False
+                todo += [p for p in one.parts if not isinstance(p, str) and p.tag not in _DROP]
     return root
 
 
@@ -210,6 +238,20 @@ def _measure(order: list[Node]) -> None:
             one.parent.title |= one.title
 
 
+def _topical(one: Node) -> bool:
+    """A part of an article whose id is the words of the heading it begins with, and whose text is no menu or form: a chapter called so."""
+    words = _words(one.topic)
+    if not words or _READERS.intersection(words) or one.density >= 0.5:
+        return False
+    at = one
+    while (below := [p for p in at.parts if not (isinstance(p, str) and not p.strip())]) and not isinstance(below[0], str):
+        at = below[0]
+        if at.tag in _HEADINGS:
+            said = _words(unescape(" ".join(p if isinstance(p, str) else " ".join(q for q in p.parts if isinstance(q, str)) for p in at.parts)))
+            return said == words
+    return False
+
+
 def _judge(root: Node, order: list[Node]) -> None:
     """Drop what is named as something other than the article, unless it is most of what there is.
 
@@ -230,7 +272,9 @@ def _judge(root: Node, order: list[Node]) -> None:
         if one.tag in ("article", "main"):
             around = one
         for part in one.children():
-            if part.doubt == FIRM:
+            if part.doubt and around is not None and around is not root and _topical(part):
+                pass
+            elif part.doubt == FIRM:
                 part.drop = not (part.core and around is None)
             elif part.doubt:
                 head = part.heading and part.title and part.density < 0.5 and (around is not None and around is not root or part.tag != "header")
@@ -240,9 +284,18 @@ def _judge(root: Node, order: list[Node]) -> None:
                 todo.append((part, around))
 
 
-def _menu(one: Node) -> bool:
-    """A list outside any article that is links and nothing else."""
-    return one.tag in ("ul", "ol", "dl") and one.chars > 0 and one.density >= 0.95
+def _menu(parent: Node, at: int) -> bool:
+    """A list outside any article that is links and nothing else, and not the list of a heading right before it (unless that says it is a menu's)."""
+    one = parent.parts[at]
+    if one.tag not in ("ul", "ol", "dl") or not one.chars or one.density < 0.95:
+        return False
+    at -= 1
+    while at >= 0 and isinstance(parent.parts[at], str) and not parent.parts[at].strip():
+        at -= 1
+    before = parent.parts[at] if at >= 0 else ""
+    if isinstance(before, str) or before.drop or before.tag not in _HEADINGS:
+        return True
+    return bool(_UNLIKELY.intersection(w for p in before.parts if isinstance(p, str) for w in _words(p)))
 
 
 def _blocks(node: Node, out: list[str], run: list[str], inside: bool) -> None:
@@ -258,7 +311,7 @@ def _blocks(node: Node, out: list[str], run: list[str], inside: bool) -> None:
                 run.append(part)
             elif part.tag == "br":
                 run.append(" ")
-            elif not part.drop and (inside or not _menu(part)):
+            elif not part.drop and (inside or not _menu(one, j)):
                 stack += [(one, j + 1), (part, 0)]
                 break
             elif part.tag in _BLOCK:
