@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, learns, tune
 from .compression import cut, sample_ids, sizes, with_text
 
-#: Of each language so many texts make the dictionary, and so many more fit the margin; bytes of a text, of a dictionary.
-DICT_TEXTS, FIT_TEXTS, SAMPLE_BYTES, DICT_BYTES = 200, 400, 512, 65_536
+#: Of each language so many texts make the dictionary, and so many more fit the margin; bytes of a text that are taken. A dictionary
+#: holds all of them: DICT_TEXTS * (SAMPLE_BYTES + 1) bytes at most.
+DICT_TEXTS, FIT_TEXTS, SAMPLE_BYTES = 128, 384, 512
 BLOCK = 2048
 #: Least relative lead of the best size over the second; under it a prediction is always rejected.
 MARGIN = 0.002
@@ -73,7 +74,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     pieces: dict[str, list[bytes]] = {name: [] for name in names}
     for r in sorted(rows, key=lambda r: r["place"]):
         pieces[r["class"]].append(bytes(r["piece"]))
-    raws = [b" ".join(pieces[name])[:DICT_BYTES] for name in names]
+    raws = [b" ".join(pieces[name]) for name in names]
     total = sum(n for _, n in counts)
     kept = [i for i, raw in enumerate(raws) if raw.strip()]
     model = LanguageModel(tuple(names[i] for i in kept), tuple(raws[i] for i in kept), tuple(-math.log(counts[i][1] / total, 256) for i in kept))

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .common import held_out, learns, tune
 from .compression import cut, sample_ids, sizes, with_text
 
-#: Of each class so many texts make the dictionaries, and so many more the calibration.
-DICT_TEXTS, FIT_TEXTS = 400, 1000
-PIECE, TEXT_DICT, SKETCH_DICT, BLOCK = 256, 65_536, 16_384, 512
+#: Of each class so many texts make the dictionary, the first of them that of sketches (a larger one tells worse), and so many more the
+#: calibration; bytes that are taken of a text and of a sketch. A dictionary holds all of them: DICT_TEXTS * (PIECE + 1) bytes at most.
+DICT_TEXTS, SKETCH_TEXTS, FIT_TEXTS = 256, 64, 1024
+PIECE, BLOCK = 256, 512
 
 _SIGNS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -85,10 +86,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = rows.where("class = also").select("id", F.col("class").cast("int").alias("class"))
     count = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
     texts = with_text(sample_ids(rows, DICT_TEXTS + FIT_TEXTS), documents, id_col, text_col)
-    pieces = texts.where(F.col("place") % 7 < 2).select("class", "place", "text").mapInArrow(_pieces, "class int, place int, piece binary, form binary").collect()
+    makes = F.col("place") % ((DICT_TEXTS + FIT_TEXTS) // DICT_TEXTS) == 1
+    pieces = texts.where(makes).select("class", "place", "text").mapInArrow(_pieces, "class int, place int, piece binary, form binary").collect()
     pieces.sort(key=lambda r: r["place"])
-    joined = lambda k, c, most: b"\n".join(bytes(r[k]) for r in pieces if r["class"] == c)[:most] or b"\n" * 8
-    model = QualityModel(tuple(joined("piece", c, TEXT_DICT) for c in (0, 1)), tuple(joined("form", c, SKETCH_DICT) for c in (0, 1)))
+    joined = lambda k, c, n: b"\n".join([bytes(r[k]) for r in pieces if r["class"] == c][:n]) or b"\n" * 8
+    model = QualityModel(tuple(joined("piece", c, DICT_TEXTS) for c in (0, 1)), tuple(joined("form", c, SKETCH_TEXTS) for c in (0, 1)))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             found = [shared.value.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["class", "x", "y"])
 
-    seen = texts.where(F.col("place") % 7 >= 2).select("class", "text").mapInArrow(measure, "class int, x double, y double").orderBy("class", "x", "y").collect()
+    seen = texts.where(~makes).select("class", "text").mapInArrow(measure, "class int, x double, y double").orderBy("class", "x", "y").collect()
     if not seen:
         return model
     y = np.array([r["class"] for r in seen], float)
