@@ -33,8 +33,8 @@ CACHE_WORDS = 100_000
 #: Texts are looked up together until they hold so many words that are not kept.
 NEW_WORDS = 20_000
 
-#: Of so many windows one may be padding before an item is cut.
-PADDING = 64
+#: Of so many windows one may be padding before an item is cut, which only items of about a third of a window or more can come to.
+PADDING = 16
 
 #: How a vocabulary must normalise and split text for the short way below; others take the whole tokenizer.
 _NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
