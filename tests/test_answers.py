@@ -133,7 +133,7 @@ def test_second_ingest_calls_nobody(spark, tmp_path):
     said = log.read_text().split()
     assert sorted(said) == ["entity", *["projects"] * 3, *["summary"] * 3]
     assert done["documents"] == 3 == house.read("documents").count() and done["chunks"] == house.read("chunks").count() > 0 and done["rejected"] == 1
-    assert [(r.file, r.reason) for r in house.read("rejects").collect()] == [("f9", "short")]
+    assert [(r.file, r.reason) for r in house.rejects().collect()] == [("f9", "short")]
     again = plan.ingest(corpus, house, providers.HashedEmbedding(8), Model(), f"{tmp_path}/staging")
     assert log.read_text().split() == said and again == {"documents": 0, "chunks": 0, "projects": 0, "project_evidence": 0, "rejected": 1}
     other = plan.Warehouse(spark, f"{tmp_path}/other")  # a new warehouse with the old ledger, as after its tables were lost

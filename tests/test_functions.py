@@ -23,6 +23,17 @@ def test_same_site(spark, a, b, want):
     assert one(spark, urls.same_site(F.lit(a), F.lit(b))) is want
 
 
+@pytest.mark.parametrize(
+    ("href", "want"),
+    [
+        ("/a/b/c/d/e/../../../../../x", "https://a.gov/x"), ("/a/b/c/d/e/f/g/../../../../../../x?y=/../z#/./", "https://a.gov/a/x?y=/../z#/./"), ("/../../x", "https://a.gov/x"), ("/a/./b/.", "https://a.gov/a/b/"), ("/a/b/..", "https://a.gov/a/"),
+        ("..", "https://a.gov/"), ("/a/...b/..c/.d", "https://a.gov/a/...b/..c/.d"), ("https://h.org:80/a/../b", "https://h.org:80/b"), ("/a//../b", "https://a.gov/a/b"), ("?q=/../x", "https://a.gov/x/y?q=/../x"),
+    ],
+)
+def test_resolve_dots(spark, href, want):
+    assert one(spark, urls.resolve(F.lit(href), F.lit("https://a.gov/x/y"))) == want
+
+
 @pytest.mark.parametrize(("href", "want"), [("/b", "https://a.gov/b"), ("c", "https://a.gov/x/c"), ("../c", "https://a.gov/c"), ("//z.gov/q", "https://z.gov/q"), ("?q=1", "https://a.gov/x/y?q=1"), ("https://o.org", "https://o.org")])
 def test_resolve(spark, href, want):
     assert one(spark, urls.resolve(F.lit(href), F.lit("https://a.gov/x/y"))) == want

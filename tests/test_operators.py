@@ -104,3 +104,21 @@ def test_dom():
     html = "<title>x</title><nav><p>menu menu menu</p></nav><main><h1>Head</h1><p>Long enough paragraph.</p><p>short</p><ul><li>first item<li>second item<li>no</ul><table><tr><th>a</th><td>b</td></tr></table><pre>code</pre><div style='display:none'><p>hidden hidden hidden</p></div><blockquote>said</blockquote></main>"
     assert main_markdown(html, "T") == "# T\n\n\n## Head\n\n\nLong enough paragraph.\n\n\n- first item\n- second item\n\n\n**Table:**\n| a | b |\n\n\n```\ncode\n```\n\n\n> said"
     assert main_markdown(None) == ""
+
+
+def test_allowed_of_many_rules(spark):
+    """A site of 20,000 paths is asked by prefixes: the same answers as by looking at each, and no row holds the paths."""
+    from textquarry.operators.robots import allowed
+
+    paths = [f"/a{i}" for i in range(0, 40000, 2)] + ["/Deep/er/path", "/b/"]
+    rules = spark.createDataFrame([("m.gov", "disallow", p) for p in paths] + [("f.gov", "disallow", "/a1"), ("n.gov", "disallow", "/"), ("m.gov", "crawl-delay", "7")], "site string, rule string, value string")
+    urls = [f"https://{s}.gov{p}" for s in ("m", "f", "n", "o") for p in ("/a1", "/a10", "/a3/x", "/A2x", "/b", "/b/c", "/deep/er/pathology", "/", "")] * 2 + ["no url", None]
+    got = sorted(r.url for r in allowed(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect())
+
+    def free(url):
+        host, _, path = url.removeprefix("https://").partition("/")
+        own = {"m.gov": paths, "f.gov": ["/a1"], "n.gov": ["/"]}.get(host, [])
+        return not any(("/" + path).lower().startswith(p.lower()) for p in own)
+
+    assert got == sorted(u for u in urls if u and u != "no url" and free(u))
+    assert got == sorted(r.url for r in allowed(spark.createDataFrame([(u,) for u in urls], "url string"), rules, few=10**6).collect())

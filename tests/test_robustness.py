@@ -88,16 +88,6 @@ def test_ingest_after_a_failure(spark, corpus, monkeypatch, table):
     assert plan.ingest(raw, broken, embeddings, model, f"{tmp}/s2")["documents"] == 0 and rows(broken) == rows(whole)
 
 
-def test_replacement_cut_short(spark, corpus):
-    raw, tmp = corpus
-    house = plan.Warehouse(spark, f"{tmp}/house")
-    house.append("entities", spark.createDataFrame([("a",)], "id string"))
-    (tmp / "house" / "entities").rename(tmp / "house" / "_old_entities")
-    assert house.read("entities").first().id == "a"
-    house.replace("entities", house.read("entities"))
-    assert house.read("entities").first().id == "a"
-
-
 def test_embedding_failure_costs_one_document(spark, corpus):
     raw, tmp = corpus
 

@@ -70,7 +70,7 @@ def reasons(raw: Column, fields: list[Field]) -> Column:
     """Why an answer is not what it should be, as an array; empty if it is."""
     json = parsed(raw)
     each = F.filter(F.array(*[_reason(json, f) for f in fields]), lambda r: r.isNotNull())
-    blank = raw.isNull() | (F.trim(raw) == "")
+    blank = raw.isNull() | ~raw.rlike("\\S")
     return F.when(blank, F.array(F.lit("no answer"))).when(json.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(json).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(each)
 
 

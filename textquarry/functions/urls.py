@@ -69,7 +69,7 @@ def org_id(url: Column) -> Column:
 def resolve(href: Column, base: Column) -> Column:
     """An absolute URL for a reference found on a page of URL base; null if there is none.
 
-    Dot segments are resolved once from the left, as ``a/../`` and ``./``; deeper nests need a further pass.
+    Dot segments are resolved, however many: ``..`` takes the segment before it, at the root nothing.
     """
     scheme = F.regexp_extract(base, ABSOLUTE, 1)
     origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, ABSOLUTE, 2), F.regexp_extract(base, ABSOLUTE, 3))
@@ -82,10 +82,17 @@ def resolve(href: Column, base: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .otherwise(F.concat(origin, folder, href))
     )
-    for _ in range(4):
-        joined = F.regexp_replace(joined, "(?<=[^:/])/(?!\\.\\.?/)[^/?#]+/\\.\\./", "/")
-    joined = F.regexp_replace(joined, "(?<=[^:/])/(?:\\./)+", "/")
-    return let(joined, lambda x: F.when(is_url(x), x))
+    return let(joined, lambda x: F.when(is_url(x), F.when(x.rlike("^[^?#]*/\\.\\.?(?:[/?#]|$)"), without_dots(x)).otherwise(x)))
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute URL whose path has no ``.`` and ``..`` segments: a fold over its segments."""
+    parts = F.split(F.regexp_extract(url, ABSOLUTE, 4), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    origin = F.concat(F.regexp_extract(url, ABSOLUTE, 1), F.lit("://"), F.regexp_extract(url, ABSOLUTE, 2), F.regexp_extract(url, ABSOLUTE, 3))
+    return F.concat(origin, F.lit("/"), F.array_join(F.concat(kept, ends), "/"), F.regexp_replace(url, "^[^?#]*", ""))
 
 
 def same_site(a: Column, b: Column) -> Column:

@@ -31,13 +31,34 @@ def robots_info(rules: DataFrame, site: str = "site") -> DataFrame:
     return rules.groupBy(site).agg(F.max_by(F.when(F.col("rule") == "crawl-delay", F.col("value").cast("long")), F.when(F.col("rule") == "crawl-delay", F.col("line"))).alias("crawl_delay"), F.transform(own, lambda x: x["value"]).alias("disallowed"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
+#: A site with more paths than this is asked by joins on prefixes; the paths of others are an array beside their URLs.
+FEW = 64
+
+
+def allowed(urls: DataFrame, rules: DataFrame, url: str = "url", site: str = "site", few: int = FEW) -> DataFrame:
     """The URLs whose path begins with no path that their own site forbids; what is no URL is not allowed.
 
     A site is a host. Rules are lower case, so paths are compared in lower case: a rule may
-    forbid more than it says, never less. There is a row for each site, with its few paths.
+    forbid more than it says, never less. Of a site with very many paths no URL looks at more
+    than one for each length that they have: "begins with one of them" is a join of the URL's own
+    beginnings, of those lengths, with the paths.
     """
-    forbidden = rules.where("rule = 'disallow'").groupBy(F.lower(site).alias("_site")).agg(F.collect_set(F.lower("value")).alias("_forbidden"))
+    paths = rules.where("rule = 'disallow'").select(F.lower(site).alias("_site"), F.lower("value").alias("_path")).distinct()
+    sizes = paths.groupBy("_site").agg(F.count("*").alias("_n"))
     good = urls.where(is_url(F.col(url))).withColumn("_site", host(F.col(url)))
-    hit = F.exists("_forbidden", lambda rule: (rule == "/") | F.lower(path(F.col(url))).startswith(rule))
-    return good.join(forbidden, "_site", "left").where(~F.coalesce(hit, F.lit(False))).select(*urls.columns)
+    forbidden = paths.join(sizes.where(F.col("_n") <= few), "_site", "left_semi").groupBy("_site").agg(F.collect_list("_path").alias("_forbidden"))
+    hit = F.exists("_forbidden", lambda rule: F.lower(path(F.col(url))).startswith(rule))
+    out = good.join(forbidden, "_site", "left").where(~F.coalesce(hit, F.lit(False)))
+    many = sizes.where(F.col("_n") > few).select("_site")
+    if not many.isEmpty():
+        out = out.join(_under(good, paths.join(many, "_site", "left_semi"), url), url, "left_anti")
+    return out.select(*urls.columns)
+
+
+def _under(urls: DataFrame, paths: DataFrame, url: str) -> DataFrame:
+    """The distinct URLs (with _site) whose path begins with one of the paths (_site, _path) of their site."""
+    lengths = paths.groupBy("_site").agg(F.collect_set(F.length("_path")).alias("_lengths"))  # at most as many as the longest path is long
+    asked = urls.select(url, "_site").distinct().withColumn("_whole", F.lower(path(F.col(url)))).join(lengths, "_site")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_whole"))
+    begun = asked.select(url, "_site", "_whole", F.explode(fitting).alias("_length")).withColumn("_path", F.expr("left(_whole, _length)"))
+    return begun.join(paths, ["_site", "_path"], "left_semi").select(url).distinct()

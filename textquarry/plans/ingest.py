@@ -13,62 +13,45 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import normalize, urls
 from ..operators.chunking import Count, chunk_text, estimate
-from ..operators.writes import first_per_key, identified, overlay, unseen
+from ..operators.writes import first_per_key, identified
 from ..providers import EMBEDDING_BATCH, ENTITY_CHARS, ENTITY_PAGES, SUMMARY_CHARS, TRUNCATED, EmbeddingProvider, LanguageProvider, embed_all, with_retry
 from ..runtime import Scratch, ship
 from ..sources.corpus import split_rejects
 from .ledger import Ledger, request_key
+from .storage import KeyedTable, written
 
-TABLES = {"entities": schemas.ENTITIES, "documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "projects": schemas.PROJECTS, "project_evidence": schemas.EVIDENCE, "chat_sessions": schemas.CHAT_SESSIONS, "rejects": schemas.REJECTS}
-
-
-def _written(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
-    """Write the rows and return how many there were, from one run of their plan."""
-    seen = Observation()
-    write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
-    return seen.get["n"]
+TABLES = {"entities": schemas.ENTITIES, "documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "projects": schemas.PROJECTS, "project_evidence": schemas.EVIDENCE, "chat_sessions": schemas.CHAT_SESSIONS}
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """The six tables as Parquet folders, and the rejects of the last run."""
+    """The six tables, dealt by id, and the rejects of the last run."""
 
     spark: SparkSession
     root: str
 
+    def table(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", TABLES[name])
+
     def read(self, name: str) -> DataFrame:
-        """A table; one that is not there yet is empty, one whose replacement was cut short is what it was before."""
-        there = next((n for n in (name, f"_old_{name}") if self.exists(n)), None)
-        if there is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{there}")
+        return self.table(name).read()
 
-    def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def unseen(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows whose id the table does not hold."""
+        return self.table(name).unseen(rows)
 
     def append(self, name: str, rows: DataFrame) -> int:
         """Add rows and return how many; columns that they lack are null."""
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]])
-        return _written(rows, lambda df: df.write.mode("append").parquet(f"{self.root}/{name}"))
-
-    def replace(self, name: str, rows: DataFrame) -> int:
-        """Write beside the table, then swap: the rows may be read from it. The old one goes when the new one is in place."""
-        n = _written(rows, lambda df: df.write.mode("overwrite").parquet(f"{self.root}/_new_{name}"))
-        at, old, new = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (name, f"_old_{name}", f"_new_{name}"))
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(at):
-            fs.delete(old, True)
-            fs.rename(at, old)
-        fs.rename(new, at)
-        fs.delete(old, True)
-        return n
+        return self.table(name).append(rows)
+
+    def rejects(self) -> DataFrame:
+        return self.spark.read.schema(schemas.REJECTS).parquet(f"{self.root}/rejects")
 
 
 #: What a document has that could not be summarised.
@@ -164,9 +147,10 @@ def enrich(documents: DataFrame, embeddings: EmbeddingProvider, model: LanguageP
     return documents.withColumn("doc", doc).join(answered, "doc").select(*documents.columns, "summary", none("chunks"), none("projects"))
 
 
-def new_documents(corpus: DataFrame, stored: DataFrame, order: str = "file") -> DataFrame:
+def new_documents(corpus: DataFrame, warehouse: Warehouse, order: str = "file") -> DataFrame:
     """The first document of each URL that is not stored."""
-    return unseen(first_per_key(corpus, "url", order), stored, "url")
+    named = identified(first_per_key(corpus, "url", order), "url")
+    return warehouse.unseen("documents", named).select(*corpus.columns)
 
 
 def derive(enriched: DataFrame) -> dict[str, DataFrame]:
@@ -203,7 +187,7 @@ def entity_info(corpus: DataFrame, model: LanguageProvider, ledger: str | None =
 def _stored(warehouse: Warehouse, staging: str, schema) -> dict[str, int]:
     """Append what the tables lack of an enrichment, documents last, and delete it. Each table is derived once: its rows are counted as they are written."""
     tables = derive(warehouse.spark.read.schema(schema).parquet(staging))
-    done = {name: warehouse.append(name, unseen(tables[name], warehouse.read(name), "id")) for name in ("chunks", "projects", "project_evidence", "documents")}
+    done = {name: warehouse.append(name, warehouse.unseen(name, tables[name])) for name in ("chunks", "projects", "project_evidence", "documents")}
     path = warehouse.spark._jvm.org.apache.hadoop.fs.Path(staging)
     path.getFileSystem(warehouse.spark._jsc.hadoopConfiguration()).delete(path, True)
     return done
@@ -223,18 +207,17 @@ def ingest(corpus: DataFrame, warehouse: Warehouse, embeddings: EmbeddingProvide
     spark, ledger = warehouse.spark, f"{warehouse.root}/_ledger"
     scratch = Scratch(spark)
     corpus = scratch.save(corpus)
-    stored_entities = warehouse.read("entities")
     fresh = corpus.select(F.col("entity").alias("id")).distinct().withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
-    warehouse.append("entities", unseen(fresh, stored_entities, "id"))
+    warehouse.append("entities", warehouse.unseen("entities", fresh))
     good, bad = split_rejects(corpus, warehouse.read("entities"))
-    rejected = warehouse.replace("rejects", bad.select("entity", "file", "url", "reason"))
+    rejected = written(bad.select("entity", "file", "url", "reason"), lambda df: df.write.mode("overwrite").parquet(f"{warehouse.root}/rejects"))
     good = scratch.save(good)
     schema = _enriched_schema(good)
     left = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/_SUCCESS")
     if left.getFileSystem(spark._jsc.hadoopConfiguration()).exists(left):
         _stored(warehouse, staging, schema)
-    new = scratch.save(new_documents(good, warehouse.read("documents")))
+    new = scratch.save(new_documents(good, warehouse))
     enrich(new, embeddings, model, count, ledger).select(*schema.fieldNames()).write.mode("overwrite").parquet(staging)
     done = _stored(warehouse, staging, schema)
-    warehouse.replace("entities", overlay(warehouse.read("entities"), entity_info(good, model, ledger)))
+    warehouse.table("entities").overlay(scratch.save(entity_info(good, model, ledger)))
     return done | {"rejected": rejected}

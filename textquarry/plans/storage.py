@@ -39,7 +39,8 @@ def written(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
 class KeyedTable:
     """The table below ``folder``, of ``schema``, dealt by ``key``."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: str = "id", buckets: int = BUCKETS, parts: int = PARTS):
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: str = "id", buckets: int | None = None, parts: int | None = None):
+        buckets, parts = buckets or BUCKETS, parts or PARTS
         if buckets % parts:
             raise ValueError("the number of buckets must be a multiple of the number of parts")
         self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
@@ -126,8 +127,10 @@ class KeyedTable:
             return written(rows, lambda df: df.write.mode("overwrite").insertInto(self.name))
 
     def overlay(self, found: DataFrame, **options) -> int:  # noqa: ANN003
-        """The stored rows with what was found of them (operators.writes.overlay), in the parts that it falls in."""
-        return self.rewrite(found, lambda stored: overlay(stored, found, key=self.key, **options))
+        """The stored rows with what was found of them (operators.writes.overlay), in the parts in which that changes a row."""
+        stored = self.near(found)
+        changed = overlay(stored, found, key=self.key, **options).subtract(stored).select(self.key)
+        return self.rewrite(changed, lambda rows: overlay(rows, found, key=self.key, **options))
 
     def drop_registration(self) -> None:
         """Let the catalog forget the table; its files stay."""

@@ -16,7 +16,6 @@ from pyspark.sql import Window
 
 from .functions import normalize, text, urls, vectors
 from .operators import chunking, links, rollups, search, writes
-from .operators.robots import robots_info, robots_rules
 from .plans import crawl
 from .schemas import PHASES
 from .streaming import alerts
@@ -341,15 +340,6 @@ def website_of(spark, sf):
     return _t(spark, sf, "pages").select("page_id", urls.website(F.col("url")).alias("website"))
 
 
-_ROBOTS = "User-agent: *\nCrawl-delay: 2\nDisallow: /Private\nDisallow:\nUser-agent: bot\nDisallow: /x\nUser-agent: *\nDisallow: /tmp"
-
-
-@query("SELECT * FROM (VALUES ('a.gov', 2000, '/private,/tmp')) v(site, crawl_delay, disallowed)")
-def robots_rules_all_agents(spark, sf):
-    rules = robots_rules(spark.createDataFrame([("a.gov", _ROBOTS)], "site string, text string"))
-    return robots_info(rules).select("site", F.col("crawl_delay").cast("int").alias("crawl_delay"), F.array_join("disallowed", ",").alias("disallowed"))
-
-
 @query(
     f"""WITH {_LINKS}, n0 AS (SELECT DISTINCT {_bare_sql('url')} AS url FROM pages),
 r0 AS (SELECT url, row_number() OVER (PARTITION BY {_bare_sql('url')} ORDER BY url) AS r FROM pages),

@@ -135,6 +135,21 @@ def robots_allowed(spark, sf):
     return allowed(_t(spark, sf, "customer").select(url.alias("url")), _rules(spark, sf))
 
 
+_ORDERED = "'/p' || o_custkey"
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT 's' || (o_orderkey % 5) || '.gov' AS site, {_ORDERED} AS value FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT {_PAGE} AS url, c_custkey AS k FROM customer)
+SELECT url FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE site = 's' || (k % 5) || '.gov' AND starts_with('/p' || k || 'x', value))"""
+)
+def robots_many_rules(spark, sf):
+    """The pages of five sites that forbid a path for each customer of their orders: thousands of rules a site, found by joins on prefixes."""
+    orders = _t(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    rules = orders.select(F.concat(F.lit("s"), F.pmod("o_orderkey", F.lit(_SITES)), F.lit(".gov")).alias("site"), F.lit("disallow").alias("rule"), F.concat(F.lit("/p"), "o_custkey").alias("value"))
+    url = F.concat(F.lit("https://s"), F.pmod("c_custkey", F.lit(_SITES)), F.lit(".gov/p"), "c_custkey", F.lit("x"))
+    return allowed(_t(spark, sf, "customer").select(url.alias("url")), rules)
+
+
 def _web(spark: SparkSession, sf: str) -> DataFrame:
     """A page for each customer k on one of five sites: it links to k + 5 with a good word, to k + 10 with none, and to another site."""
     at = lambda k: F.concat(F.lit("https://s"), F.pmod(k, F.lit(_SITES)), F.lit(".gov/p"), k, F.lit("x"))
