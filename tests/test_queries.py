@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from textquarry import queries_answers, queries_api, queries_search, queries_stream, queries_web  # noqa: F401 (they register their queries)
+from textquarry import queries_answers, queries_api, queries_chunks, queries_search, queries_stream, queries_web  # noqa: F401 (they register their queries)
 from textquarry.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
