@@ -59,3 +59,26 @@ def test_lists_prune_and_balance():
     share = np.mean([len(lists.opened(q)) for q in (x - lists.mean)[::400]]) / n
     assert share < 0.1
     assert np.bincount(at, minlength=n).max() < 20 * len(row) / n
+
+
+@pytest.mark.parametrize(("dim", "most"), [(8, 0.2), (16, 0.5), (32, 0.8), (128, 1.0)])
+def test_no_more_than_a_scan(dim, most):
+    """What a query meets, copies included, is never more than all vectors, and far less where there are few dimensions."""
+    x = np.random.default_rng(dim).standard_normal((12_000, dim))
+    lists = Lists(x, 187, 10)
+    row, at = lists.posted(x - lists.mean)
+    rows = np.bincount(at, minlength=len(lists.centroids))
+    met = np.mean([rows[lists.opened(q)].sum() for q in (x - lists.mean)[::60]]) / len(x)
+    assert len(np.unique(row)) == len(x) and met <= most
+    assert len(lists.centroids) == 1 or len(row) > len(x)  # boundary vectors stand in two lists
+
+
+def test_query_groups(spark, monkeypatch):
+    """A block's queries pass in several groups."""
+    monkeypatch.setattr("textquarry.llm.ann.QUERIES", 3)
+    x = rng.standard_normal((300, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 7 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len(set(got[q]) & set(brute(x, q, 5)[0].tolist())) for q in range(0, 300, 7)) >= 0.93 * 5 * 43

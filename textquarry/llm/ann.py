@@ -28,12 +28,14 @@ from .common import Scratch, main_dimension, matrix, runs, tune, usable, vector_
 SAMPLE_BYTES, PER_LIST = 64 << 20, 8
 #: A list has this many distinct vectors at least, and there are 2 * sqrt(distinct vectors) lists at most.
 LIST = 64
-#: Most lists of a vector, how much farther than the nearest a list may be, and how far from nearer ones, in distances to the vector.
-COPIES, NEAR, APART = 4, 1.2, 0.25
+#: Ways to post boundary vectors: most lists of one, and how much farther than the nearest a further list may be. The way counts by which a
+#: query meets the fewest rows. A further list must lie APART from nearer ones, in distances to the vector.
+REPLICAS, APART = ((2, 1.005), (2, 1.02), (2, 1.05), (2, 1.2), (4, 1.2)), 0.25
 #: How much farther than the nearest list an opened one may be: the first that finds the share RECALL of the neighbours of TRIED sample vectors.
-RATIOS, RECALL, TRIED = (1.05, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.22, 1.25, 1.3, 1.4, 1.6, 2.0, math.inf), 0.97, 512
+RATIOS, RECALL, TRIED = (*(1 + i / 100 for i in range(2, 51)), 1.6, 2.0, math.inf), 0.96, 512
 #: Neighbours of a centroid in the graph; rows of a block on each side.
-DEGREE, BLOCK_VECTORS, BLOCK_QUERIES = 24, 4096, 512
+#: A block's vectors are held while its queries pass in groups of QUERIES, so a list's vectors are copied once for BLOCK_QUERIES of them.
+DEGREE, BLOCK_VECTORS, BLOCK_QUERIES, QUERIES = 24, 4096, 1 << 14, 512
 
 
 def halve(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -79,15 +81,21 @@ class Lists:
                 near[np.arange(len(near)), i + np.arange(len(near))] = np.inf
                 graph.append(np.argpartition(near, most - 1, 1)[:, :most])
             self.graph = np.concatenate(graph)
-        self.ratio = self._fitted(sample, k)
+        near = self._neighbours(sample, k)
+        self.cost, self.ratio, self.replicas = 1.0, math.inf, REPLICAS[-1]
+        if near is None:
+            return
+        self.cost, self.ratio, self.replicas = min(self._fitted(sample, *near, way) for way in REPLICAS)
+        if self.cost >= 1:  # lists would be more work than all rows: one list holds them
+            self.centroids, self.graph, self.ratio, self.cost = np.zeros((1, sample.shape[1])), np.zeros((1, 0), np.int64), math.inf, 1.0
 
-    def _fitted(self, sample: np.ndarray, k: int) -> float:
-        """The first of RATIOS that opens a list of RECALL of the k nearest sample vectors of TRIED others."""
+    def _neighbours(self, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """TRIED sample vectors and the k nearest others of each."""
         step = max(1, len(sample) // TRIED)
         asked = np.arange(0, len(sample), step)[:TRIED]
         k = min(k, len(sample) - 1)
         if k < 1 or len(self.centroids) < 2:
-            return math.inf
+            return None
         near = np.full((len(asked), k), np.inf)
         ids = np.zeros((len(asked), k), np.int64)
         for i in range(0, len(sample), 4096):
@@ -96,25 +104,36 @@ class Lists:
             both, which = np.concatenate([near, d], 1), np.concatenate([ids, np.broadcast_to(np.arange(i, i + d.shape[1]), d.shape)], 1)
             at = np.argpartition(both, k - 1, 1)[:, :k]
             near, ids = np.take_along_axis(both, at, 1), np.take_along_axis(which, at, 1)
+        return asked, ids
+
+    def _fitted(self, sample: np.ndarray, asked: np.ndarray, ids: np.ndarray, way: tuple[int, float]) -> tuple[float, float, tuple[int, float]]:
+        """(rows that a query meets for each row of the sample, the first of RATIOS that opens a list of RECALL of the neighbours, the way to post)."""
         needed = np.unique(ids)
-        row, at = self.posted(sample[needed])
-        lists = [[] for _ in needed]
-        for r, c in zip(row.tolist(), at.tolist(), strict=True):
-            lists[r].append(c)
+        lists: list[list[int]] = [[] for _ in needed]
+        rows = np.zeros(len(self.centroids), np.int64)
+        for i in range(0, len(sample), 4096):
+            row, at = self.posted(sample[i : i + 4096], way)
+            np.add.at(rows, at, 1)
+            wanted = np.searchsorted(needed, row + i)
+            for r, c, w in zip((row + i).tolist(), at.tolist(), wanted.tolist(), strict=True):
+                if w < len(needed) and needed[w] == r:
+                    lists[w].append(c)
         place = np.searchsorted(needed, ids)
         far = np.sqrt(squares(sample[asked], self.centroids))
         far /= np.maximum(far.min(1, keepdims=True), 1e-300)
         wants = np.array([min(far[i, c] for c in lists[p]) for i in range(len(asked)) for p in place[i]])
-        return next(r for r in RATIOS if (wants <= r).mean() >= RECALL)
+        ratio = next(r for r in RATIOS if (wants <= r).mean() >= RECALL)
+        return float(((far <= ratio) @ rows).mean() / len(sample)), ratio, way
 
-    def posted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def posted(self, x: np.ndarray, way: tuple[int, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every vector's lists. x is about the mean."""
+        copies, near = way or self.replicas
         d = np.sqrt(squares(x, self.centroids))
-        most = min(COPIES, d.shape[1])
+        most = min(copies, d.shape[1])
         at = np.argpartition(d, most - 1, 1)[:, :most]
         at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), 1, kind="stable"), 1)
         own = np.take_along_axis(d, at, 1)
-        keep = own <= NEAR * own[:, :1] + 1e-12
+        keep = own <= near * own[:, :1] + 1e-12
         for j in range(1, most):  # a list in the same direction as a nearer one adds little
             for i in range(j):
                 apart = np.sqrt(((self.centroids[at[:, i]] - self.centroids[at[:, j]]) ** 2).sum(1))
@@ -176,12 +195,13 @@ def _nearest(dim: int, k: int):
             c, cid = c[order], cid[order]
             middle = c.mean(0)
             near_q, near_c = q - middle, c - middle
-            rough = squares(near_q, near_c)
             slack = 1e-14 * dim * ((near_q**2).sum(1) + (near_c**2).sum(1).max())  # more than rounding can add
             most = k + len(cid) - len(np.unique(cid))  # rows that repeat an id take no other's place
             out = []
             for i in range(len(q)):
-                d = np.where(cid == qid[i], np.inf, rough[i])
+                if i % QUERIES == 0:
+                    rough = squares(near_q[i : i + QUERIES], near_c)
+                d = np.where(cid == qid[i], np.inf, rough[i % QUERIES])
                 edge = np.partition(d, most - 1)[most - 1] if len(d) > most else np.inf
                 at = np.flatnonzero((d <= edge + slack[i]) & np.isfinite(d)) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
                 exact = np.sqrt(((c[at] - q[i]) ** 2).sum(1))
