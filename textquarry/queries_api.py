@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls
+from .functions.vectors import literal
+from .operators import search
 from .plans import api
 from .providers import HashedEmbedding
 from .queries import _t, query
@@ -140,6 +142,26 @@ def api_entity_detail(spark, sf):
     return row("entity", "name").unionByName(row("document", "title")).unionByName(row("project", "phase_label"))
 
 
+_ABOUT = ", ".join(f"('{p}', '{about}')" for p, _, _, about, _ in PHASES)
+_LF = "chr(10)"
+
+
+@query(
+    f"""WITH {_TABLES}, {_FOUND}, ab AS (SELECT * FROM (VALUES {_ABOUT}) v(phase, about)),
+c AS (SELECT document_id, min(r) AS first, any_value('### ' || doc.title || {_LF} || '**Source**: ' || doc.url || {_LF} || CASE WHEN ent.name IS NULL THEN '' ELSE '**Entity**: ' || ent.name || {_LF} END || {_LF})
+  || string_agg('**' || section_title || '**' || {_LF} || content || {_LF} || {_LF}, '' ORDER BY r) AS text FROM top JOIN doc ON doc.id = document_id LEFT JOIN ent ON ent.id = doc.org_id GROUP BY 1),
+p AS (SELECT r, '### ' || coalesce(kn.phase_emoji, '🎯') || ' ' || n.title || {_LF} || '- **Phase**: ' || coalesce(kn.phase_label, 'Strategy') || ' - ' || coalesce(ab.about, '{PHASES[0][3]}') || {_LF}
+  || coalesce('- **Entity**: ' || ent.name || {_LF}, '') || '- **Category**: ' || category || {_LF} || '- **Est. Value**: $' || regexp_replace(format('{{:,.2f}}', CAST(estimated_value AS DOUBLE)), '[.]?0+$', '') || {_LF} || {_LF} AS text
+  FROM near n LEFT JOIN ent ON ent.id = n.org_id LEFT JOIN kn ON kn.phase = n.phase LEFT JOIN ab ON ab.phase = n.phase)
+SELECT '## Retrieved Documents' || {_LF} || {_LF} || (SELECT string_agg(text, '' ORDER BY first) FROM c) || {_LF} || '## Related Projects in Pipeline' || {_LF} || {_LF} || (SELECT string_agg(text, '' ORDER BY r) FROM p) AS context"""
+)
+def context_text(spark, sf):
+    """The whole context that a model is given for a question: documents with their chunks, then projects."""
+    vector = literal(EMBEDDINGS.embed([ASKED])[0])
+    chunks = search.search_chunks(_chunks(spark, sf), _documents(spark, sf), _entities(spark, sf), vector)
+    return search.format_context(chunks, search.search_projects(_projects(spark, sf), _entities(spark, sf), vector))
+
+
 class _Quoting:
     """A model that says what it was asked and how long its context is."""
 
