@@ -138,17 +138,15 @@ class Frontier:
     def _round(self, at: int, most: int, depth: int, per_host: int, least: float) -> int | None:
         """Pages read, or None if nothing waits."""
         waiting = self._table("waiting", at)
-        if self._whole("taken", at):  # a run stopped between the two tables of this round
-            now = self._table("taken", at)
-            got = self.read(now.select("url"))
-        else:
+        if not self._whole("taken", at):  # else a run stopped between the two tables of this round
             chosen = next_urls(waiting, most, per_host)
-            if chosen.isEmpty():
-                return None
-            got = self.read(chosen.select("url"))
-            has = got.select("url").distinct().withColumn("read", F.lit(True))
-            now = self._saved(chosen.join(has, "url", "left").select(*chosen.columns, F.coalesce("read", F.lit(False)).alias("read")), "taken", at)
-            got = self.read(now.where("read").select("url"))
+            has = self.read(chosen.select("url")).select("url").distinct().withColumn("read", F.lit(True))
+            self._saved(chosen.join(has, "url", "left").select(*chosen.columns, F.coalesce("read", F.lit(False)).alias("read")), "taken", at)
+        now = self._table("taken", at)
+        urls, pages = now.agg(F.count("*"), F.count_if("read")).first()
+        if not urls:
+            return None
+        got = self.read(now.where("read").select("url"))
         from_pages = now.where(F.col("read") & (F.col("depth") < depth)).select(F.col("url").alias("page_url"), F.col("depth").alias("page_depth"))
         links = self.rank(got.join(from_pages.select(F.col("page_url").alias("url")), "url", "left_semi"))
         links = links.where((F.col("relevance_score") >= least) & same_site(host(F.col("page_url")), host(F.col("url"))))
@@ -159,4 +157,4 @@ class Frontier:
             found = allowed(found, self.rules)
         done = self.spark.read.schema(_WAITING).parquet(*[self._path("taken", i) for i in range(at + 1)]).select("url")
         self._saved(merged(waiting, found).join(done, "url", "left_anti"), "waiting", at + 1)
-        return now.where("read").count()
+        return pages

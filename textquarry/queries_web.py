@@ -171,7 +171,7 @@ def crawl_with_rules(spark, sf):
 # A page for each customer k on one of five sites, which links to k + 5, k + 10 and k + 15 by words that differ in weight, so
 # that URLs are found several times, with scores that rise.
 _WORDS = {"budget": 0.9, "bidding": 0.85, "finance": 0.8, "agenda": 0.7, "contact": 0.6, "staff": 0.55, "hello": 0.0}
-_ROUNDS, _PER_ROUND, _PER_HOST, _PAGES, _DEPTH = 16, 8, 2, 90, 12
+_ROUNDS, _PER_ROUND, _PER_HOST, _PAGES, _DEPTH = 8, 20, 5, 120, 12
 
 
 def _weighted_web(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,10 +205,10 @@ SELECT CAST(round AS INTEGER) AS round, url, CAST(score AS DOUBLE) AS score, CAS
 
 @query(_frontier_sql())
 def crawl_best_first(spark, sf):
-    """The best ninety pages within twelve links of the first ones, eight to a round and two of them of a site; it stops twice and goes on."""
+    """The best 120 pages within twelve links of the first ones, twenty to a round and five of them of a site; it stops once and goes on."""
     web = _weighted_web(spark, sf)
     crawling = frontier.Frontier(f"{Scratch(spark).base}/crawl", web.where("k < 5").select("url"), web.select("url", "html"))
-    for rounds in (3, 4, _ROUNDS - 7):
+    for rounds in (3, _ROUNDS - 3):
         crawling.run(_PAGES, _DEPTH, _PER_ROUND, _PER_HOST, rounds=rounds)
     return crawling.taken().select("round", "url", "score", "depth", "read")
 
