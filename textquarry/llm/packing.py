@@ -29,9 +29,9 @@ from .common import tune
 
 #: A worker keeps the ids of so many words and of so many word parts: those it meets first,
 #: which the frequent ones are among. Others are encoded again when they come again.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 #: Texts are looked up together until they hold so many words that are not kept.
-NEW_WORDS = 20_000
+NEW_WORDS = 50_000
 
 #: Of so many windows one may be padding before an item is cut, which only items of about a third of a window or more can come to.
 PADDING = 16
