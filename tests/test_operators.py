@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.vectors import literal
 from textquarry.operators import links, rollups, search, writes
-from textquarry.operators.dom import main_markdown
+from textquarry.operators.dom import element_links, main_markdown
 from textquarry.operators.robots import allowed, robots_info, robots_rules
 
 LINK = "page_url string, pos int, url string, anchor_text string, context string"
@@ -16,6 +16,13 @@ def test_extract_links(spark):
     assert rows[0].context == "see first one and m"
 
 
+def test_references_without_semicolon_are_text():
+    """A reference cut short stays as it is written, in a heading, a paragraph and a link; whole ones are decoded."""
+    html = "<article><h1>Q&amp;A&amp;&amp</h1><p>one &copy two &#169; three &ampx; &lt;b&gt; AT&T</p><p><a href='/a?x=1&copy=2&amp;y=3'>long enough &amp</a></p></article>"
+    assert main_markdown(html).split("\n\n\n") == ["## Q&A&&amp", "one &copy two © three &ampx; <b> AT&T", "long enough &amp"]
+    assert [(href, anchor) for href, anchor, *_ in element_links(html)] == [("/a?x=1&copy=2&y=3", "long enough &amp")]
+
+
 def test_dedupe_keeps_longest_context(spark):
     rows = [("p", 0, "u1", "", "ab"), ("p", 1, "u2", "", "x"), ("p", 2, "u1", "", "abc"), ("p", 3, "u2", "", "y")]
     got = links.dedupe_links(spark.createDataFrame(rows, LINK)).orderBy("pos").collect()
