@@ -29,6 +29,20 @@ def test_dedupe_keeps_longest_context(spark):
     assert [(r.url, r.context) for r in got] == [("u1", "abc"), ("u2", "x")]
 
 
+def test_links_of_pages_with_one_url(spark):
+    """Two pages of one URL: equal contexts and places are told apart by their words, equal ranks by the link's URL, however rows are dealt."""
+    rows = [("p", 0, f"u{i % 40:02}", "", f"{i:03}") for i in range(80)]
+    kept, orders = set(), set()
+    for seed in range(3):
+        df = spark.createDataFrame(rows[seed * 29 :] + rows[: seed * 29], LINK).repartition(3)
+        one = links.dedupe_links(df)
+        kept.add(tuple(sorted((r.url, r.context) for r in one.collect())))
+        ranked = one.withColumn("relevance_score", F.lit(0.5))
+        orders.add(tuple(r.url for r in links.by_relevance(ranked).collect()))
+    assert kept == {tuple((f"u{i:02}", f"{i:03}") for i in range(40))}
+    assert orders == {tuple(f"u{i:02}" for i in range(40))}
+
+
 def test_prefilter(spark):
     urls = ["https://facebook.com/x", "https://other.org/about", "https://other.org/budget", "https://sub.base.gov/p", "https://base.gov/login"]
     df = spark.createDataFrame([("https://base.gov", i, u, "", "") for i, u in enumerate(urls)], LINK)
