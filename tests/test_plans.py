@@ -108,3 +108,10 @@ def test_storable(spark):
     df = spark.createDataFrame([("x" * 199,), ("x" * 200,)], "markdown string")
     assert crawl.storable(df).count() == 1
     assert crawl.titled(df.select(F.lit("<title>a &amp; b</title>").alias("html"))).first().title == "a & b"
+
+
+def test_stored_markdown_of_a_cut_reference(spark):
+    """A page whose title and heading end in a reference without semicolon is stored with the same words in both."""
+    html = "<title>Q&amp;&amp</title><article><h1>Q&amp;&amp</h1><p>" + "plain words " * 20 + "</p></article>"
+    pages = crawl.titled(spark.createDataFrame([(html,)], "html string"))
+    assert [r.markdown for r in crawl.storable(crawl.page_markdown(pages)).collect()] == ["# Q&&amp\n\n\n## Q&&amp\n\n\n" + ("plain words " * 20).strip()]
