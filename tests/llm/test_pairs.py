@@ -63,6 +63,28 @@ def test_jaccard(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_jaccard_postings_that_count():
+    """A pass over sorted postings keeps all that may count for a link with another group and few others, however batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+    from textquarry.llm.ngram_jaccard import _viable
+
+    def may_link(a, b):
+        need = max(-(-(a[2] + b[2]) * 75 // 175) + (-max(a[2], b[2]) * 75 // 100) + 1, 1)
+        return a[4] != b[4] and 4 * a[2] >= 3 * b[2] and 4 * b[2] >= 3 * a[2] and min(a[3], b[3]) >= need
+
+    rnd = random.Random(8)
+    rows = sorted((rnd.choice([1, 2, 3, rnd.randrange(200)]), i, rnd.randrange(5, 90), rnd.randrange(1, 12), i % 7, 1) for i in range(400))
+    names = ["token", "node", "n", "have", "comp", "weight"]
+    want = set()
+    for token in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == token]
+        want |= set(own) if len(own) > 32 else {a for a in own if any(may_link(a, b) for b in own)}
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[i : i + size], strict=True)], names=names) for i in range(0, len(rows), size)]
+        assert {tuple(r.values()) for b in _viable(75, 100)(iter(batches)) for r in b.to_pylist()} == want
+
+
 def test_jaccard_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, long), (7, long), (7, long), (9, None), (None, None)], "doc_id long, text string")

@@ -52,6 +52,8 @@ HOT_TEXTS = 1000
 BROADCAST_IDS = (32 << 20) // 32
 #: Bytes of a shingle's hash in the sets that are compared; partners of a hub that one copy of its set serves.
 HASH_BYTES, PARTNERS = 6, 128
+#: Postings of a token of at most so many are compared pair by pair to find those that count for no link; all of a larger one are kept.
+FEW = 32
 
 
 def _sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,7 +130,7 @@ def _prefixes(k: int, num: int, den: int, hints):
                 inside = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
                 n = size[where]
                 keep = inside < n - (num * n + den - 1) // den + 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[where[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(order[by][keep] >= HOT_TEXTS)], names=["token", "node", "n", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> np.uint64(64 - 8 * HASH_BYTES)).view(np.int64)), pa.array(node[where[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(order[by][keep] >= HOT_TEXTS)], names=["token", "node", "n", "hot"])
 
     return run
 
@@ -136,25 +138,88 @@ def _prefixes(k: int, num: int, den: int, hints):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings, once each, of hot tokens and of those that two nodes share; rows come sorted by token and node, all of a token that is not hot."""
     last: list[np.ndarray] = []  # the last posting and whether it is known to be kept
+    names = ["token", "node", "n", "hot"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, node, n, keep = own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        token, node, n, hot, keep = own = [*own, own[3]]
         if last:
-            token, node, n, keep = own = [np.concatenate(x) for x in zip(last, own, strict=True)]
+            token, node, n, hot, keep = own = [np.concatenate(x) for x in zip(last, own, strict=True)]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n, keep = (x[new] for x in own)
+        token, node, n, hot, keep = (x[new] for x in own)
         same = token[1:] == token[:-1]
         keep = keep.copy()
         keep[1:] |= same
         keep[:-1] |= same
-        last = [token[-1:], node[-1:], n[-1:], keep[-1:]]
+        last = [token[-1:], node[-1:], n[-1:], hot[-1:], keep[-1:]]
         at = np.flatnonzero(keep[:-1])
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (token, node, n)], names=["token", "node", "n"])
-    if last and last[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last[:3]], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (token, node, n, hot)], names=names)
+    if last and last[4][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last[:4]], names=names)
+
+
+def _whole_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut where its value changes: no token is in two."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = int(np.searchsorted(own[0], own[0][-1]))
+        if cut or held and held[0][0][0] != own[0][0]:  # else one token goes on
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in own], strict=True)]
+            held = []
+        held.append([c[cut:] for c in own])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """_need of arrays."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return np.maximum(-(-(a + b) * num // (num + den)) + np.maximum(a, b) * num // -den + 1, 1)
+
+
+def _led(num: int, den: int):
+    """(node, n, lead, lead_n) for each posting whose token has a node of like size to pair it with: the one whose prefix is shared most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, n, have in _whole_tokens(batches):
+            band = np.floor(np.log(n) / np.log(den / num))
+            by = np.lexsort((have, n, node, have / n, band, token))
+            token, node, n, have, band = (x[by] for x in (token, node, n, have, band))
+            ends = np.append((token[1:] != token[:-1]) | (band[1:] != band[:-1]), True)
+            lead = np.flatnonzero(ends)[np.cumsum(ends) - ends]
+            at = np.flatnonzero((node != node[lead]) & (np.minimum(have, have[lead]) >= _needed(n, n[lead], num, den)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[at], n[at], node[lead[at]], n[lead[at]])], names=["node", "n", "lead", "lead_n"])
+
+    return run
+
+
+def _viable(num: int, den: int):
+    """Postings that another one of their token, of another group, may link with by their sizes and common tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _whole_tokens(batches):
+            token, _, n, have, comp, _ = own
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            count = np.diff(np.append(first, len(token)))
+            keep = np.repeat((count > FEW) & (np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first)), count)
+            size = np.repeat(count, count)
+            for d in range(1, min(int(count.max()), FEW)):
+                i = np.flatnonzero((token[d:] == token[:-d]) & (size[d:] <= FEW))
+                a, b = n[i].astype(np.int64), n[i + d].astype(np.int64)
+                met = (comp[i] != comp[i + d]) & (a * den >= b * num) & (b * den >= a * num) & (np.minimum(have[i], have[i + d]) >= _needed(a, b, num, den))
+                keep[i[met]] = True
+                keep[i[met] + d] = True
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in own], names=["token", "node", "n", "have", "comp", "weight"])
+
+    return run
 
 
 def _tokens(k: int):
@@ -259,16 +324,21 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, k: int, num: int,
 
     made = docs.select("text").mapInArrow(_prefixes(k, num, den, hints), "token long, node long, n int, hot boolean")
     dealt = F.when(F.col("hot"), F.xxhash64("token", "node")).otherwise(F.col("token"))
-    first = scratch.save(made.repartition(dealt).sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int"))
-    shared = scratch.save(first.join(first.groupBy("node").agg(F.count("*").alias("have")), "node"))
+    first = scratch.save(made.repartition(dealt).sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int, hot boolean"))
+    have = first.groupBy("node").agg(F.count("*").cast("int").alias("have"))
+    shared = scratch.save(first.join(have, "node").select("token", "node", "n", "have", "hot"))
     scratch.drop(first)
 
+    # What all nodes of a token decide together is seen in one pass over its sorted postings, but for hot tokens.
     need = lambda a, b: _need(F.col(a), F.col(b), num, den)
+    by_token = lambda rows: rows.where("not hot").drop("hot").repartition("token").sortWithinPartitions("token")
+    led = by_token(shared).mapInArrow(_led(num, den), "node long, n int, lead long, lead_n int")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)))
-    close = shared.withColumn("band", band)
+    close = shared.where("hot").withColumn("band", band)
     middle = F.max(F.struct((F.col("have") / F.col("n")).alias("by"), F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("have").alias("lead_have")))
     leads = scratch.save(close.groupBy("token", "band").agg(middle.alias("m")).select("token", "band", "m.lead", "m.lead_n", "m.lead_have"))
     star = close.join(leads, ["token", "band"]).where((F.col("node") != F.col("lead")) & (F.least("have", "lead_have") >= need("n", "lead_n")))
+    star = star.select("node", "n", "lead", "lead_n").unionByName(led)
     star = star.groupBy("node", "n", "lead", "lead_n").agg(F.count("*").alias("c")).where(F.col("c") >= need("n", "lead_n"))
     star = star.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     links = _verified(docs, profile, scratch.save(star), scratch, k, num, den)
@@ -277,8 +347,10 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, k: int, num: int,
     weights = scratch.save(groups.groupBy("comp").agg(F.count("*").alias("weight")))
     groups = scratch.save(groups.join(weights, "comp"))
     labelled = scratch.save(shared.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("weight", F.coalesce("weight", F.lit(1))))
-    many = scratch.save(labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token"))
-    labelled = scratch.save(labelled.join(many, "token", "left_semi"))
+    hot = labelled.where("hot").drop("hot")
+    many = scratch.save(hot.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token"))
+    viable = by_token(labelled.select("token", "node", "n", "have", "comp", "weight", "hot")).mapInArrow(_viable(num, den), "token long, node long, n int, have int, comp long, weight long")
+    labelled = scratch.save(hot.join(many, "token", "left_semi").select("token", "node", "n", "have", "comp", "weight").unionByName(viable))
     matrix = labelled.groupBy("token", F.col("comp").alias("grp"), F.col("weight").alias("grp_weight"), F.col("n").alias("grp_n")).agg(F.count("*").alias("members"), F.max("have").alias("grp_have"))
     matrix = scratch.save(matrix)
     asks = (F.col("weight") < F.col("grp_weight")) | (F.col("weight") == F.col("grp_weight")) & (F.col("comp") < F.col("grp"))
