@@ -69,3 +69,16 @@ def test_merge_in_sql_equals_the_plain_one(spark):
     for d, t in docs:
         own = C.merged([C.Section("", x) for x in t.split("\n")], len)
         assert [got[d, i + 1] for i in range(len(own))] == [s.content for s in own]
+
+
+def test_chunks_leave_a_worker_as_they_are_made(spark):
+    """A worker gets short batches of texts and hands its chunks on before a batch is done."""
+    from textquarry.operators import chunking
+    from textquarry.runtime import ARROW_ROWS
+
+    texts = spark.createDataFrame([(i, "plain words " * 20_000) for i in range(12)], "id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    chunks = chunking.chunk_documents(texts, "id", "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == ARROW_ROWS
+    got = [(r.id, r.chunk_index) for r in chunks.select("id", "chunk_index").collect()]
+    assert len(got) == len(set(got)) == 12 * len(chunking.chunk_text("plain words " * 20_000))
