@@ -113,3 +113,15 @@ def test_hot_host_is_cut_before_the_shuffle(spark):
     waiting = spark.range(1000).select(F.concat(F.lit("https://h.gov/"), "id").alias("url"), F.when(F.col("id") < 900, "h.gov").otherwise("o.gov").alias("host"), (F.col("id") % 7).cast("double").alias("score"), F.lit(0).alias("depth"), F.lit(0).alias("first"))
     plan = frontier.next_urls(waiting, 5, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.rindex("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_pages_are_read_once_for_a_round(spark, tmp_path):
+    asked = []
+
+    def read(urls):
+        asked.append(1)
+        return urls.select("url", F.lit("<p>no links</p>").alias("html"))
+
+    seeds = spark.createDataFrame([("https://a.gov/1",), ("https://a.gov/2",)], "url string")
+    got = Frontier(f"{tmp_path}/crawl", seeds, read).run(pages=2, depth=1, per_round=2, rounds=1)
+    assert got.where("read").count() == 2 and len(asked) == 1
