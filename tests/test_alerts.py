@@ -72,3 +72,22 @@ def test_provider_is_restored(spark):
     with pytest.raises(KeyError), rocks(spark):
         raise KeyError
     assert spark.conf.get(name, None) == before
+
+
+def test_a_key_sets_one_timer_for_a_batch():
+    import pandas as pd
+
+    from textquarry.streaming.alerts import PhaseAlerts
+
+    class Fake:
+        def __init__(self):
+            self.timers, self.rows = [], []
+
+        registerTimer = lambda self, ms: self.timers.append(ms)
+        appendList = lambda self, rows: self.rows.extend(rows)
+        getCurrentWatermarkInMs = lambda self: 0
+
+    fake, alerts = Fake(), PhaseAlerts(["k"], "phase", "at", 1000)
+    alerts.handle = alerts.waiting = fake
+    list(alerts.handleInputRows(("a",), iter([pd.DataFrame({"at": pd.to_datetime([3000, 1000, 2000], unit="ms"), "phase": ["x", "y", "z"]})]), fake))
+    assert len(fake.rows) == 3 and fake.timers == [1000]

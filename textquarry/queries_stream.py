@@ -25,14 +25,13 @@ def phase_alert_stream(spark, sf):
     share = max(1, -(-(most + 1) // (_BATCHES - 1)))
     # A row's batch is that of its turn, or of one up to _LATE - 1 earlier or later, by its id.
     dealt = rows.withColumn("batch", F.least(F.floor((turn + F.pmod(F.hash("conv_id", "role"), F.lit(_LATE))) / share), F.lit(_BATCHES - 2)))
-    for b in range(_BATCHES - 1):
-        dealt.where(F.col("batch") == b).drop("batch").coalesce(1).write.parquet(f"{scratch.base}/in/{b}")
     last = rows.agg(F.lit(None).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.lit("").alias("role"), (F.max("created_at") + F.expr("interval 30 days")).alias("created_at"))
-    last.write.parquet(f"{scratch.base}/in/{_BATCHES - 1}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.base}/in/*")
-    with rocks(spark):
-        alerts = phase_alerts(stream, ["conv_id"], phase="role", late=f"{_LATE * 30 + 30} minutes")
-        running = alerts.writeStream.format("parquet").option("path", f"{scratch.base}/out").option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
+    for b in range(_BATCHES):  # a batch is whatever has come since the stream stopped
+        (dealt.where(F.col("batch") == b).drop("batch") if b < _BATCHES - 1 else last).write.parquet(f"{scratch.base}/in/{b}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{scratch.base}/in/*")
+        with rocks(spark):
+            alerts = phase_alerts(stream, ["conv_id"], phase="role", late=f"{_LATE * 30 + 30} minutes")
+            running = alerts.writeStream.format("parquet").option("path", f"{scratch.base}/out").option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
     found = spark.read.schema(alerts.schema).parquet(f"{scratch.base}/out")
     return found.select("conv_id", turn_of().alias("turn"), "role", "before")
