@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry import providers
-from textquarry.plans import api, crawl
+from textquarry.operators.writes import first_page
+from textquarry.plans import api, crawl, frontier
 from textquarry.plans.ingest import Warehouse, ingest
 from textquarry.sources.corpus import fetch_pages, read_corpus, split_rejects
 from textquarry.streaming.ingest import document_stream, event_counts, start
@@ -115,3 +116,14 @@ def test_stored_markdown_of_a_cut_reference(spark):
     html = "<title>Q&amp;&amp</title><article><h1>Q&amp;&amp</h1><p>" + "plain words " * 20 + "</p></article>"
     pages = crawl.titled(spark.createDataFrame([(html,)], "html string"))
     assert [r.markdown for r in crawl.storable(crawl.page_markdown(pages)).collect()] == ["# Q&&amp\n\n\n## Q&&amp\n\n\n" + ("plain words " * 20).strip()]
+
+
+def test_pages_of_one_url(spark):
+    """Of several pages of one URL the same one is read for links and for storing, in whatever order they lie; one without html is the last choice."""
+    rows = [("https://s.gov/a", f'<a href="/{x}">budget {x}</a>') for x in "bdc"] + [("https://s.gov/a", None), ("https://s.gov/a#z", '<a href="/a0">budget a0</a>')]
+    seeds = spark.createDataFrame([("https://s.gov/a",)], "url string")
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        pages = spark.createDataFrame(some, "url string, html string").coalesce(1)
+        assert [r.url for r in crawl.by_levels(seeds, pages, depth=1).where("depth = 1").collect()] == ["https://s.gov/b"]
+        assert [(r.url, r.html) for r in frontier.Frontier("unused", seeds, pages).read(seeds).collect()] == [rows[0]]
+        assert first_page(pages.withColumn("key", F.lit("k")), "key").first().html == rows[0][1]

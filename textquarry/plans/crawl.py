@@ -17,7 +17,7 @@ from ..operators.chunking import Count, estimate
 from ..operators.dom import page_markdown
 from ..operators.links import FOLLOW_SCORE, dedupe_links, extract_links, heuristic_only, heuristic_rank, prefilter
 from ..operators.robots import allowed
-from ..operators.writes import first_per_key
+from ..operators.writes import first_page
 from ..providers import EmbeddingProvider, LanguageProvider
 from ..runtime import Scratch
 from .ingest import Warehouse, ingest
@@ -43,7 +43,7 @@ def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float =
     web = pages.withColumn("key", normalize_url(F.col("url")))
     reached = level.withColumn("depth", F.lit(0))
     for at in range(1, depth + 1):
-        read = first_per_key(web.join(level.select(F.col("url").alias("key")), "key", "left_semi"), "key", "url")
+        read = first_page(web.join(level.select(F.col("url").alias("key")), "key", "left_semi"), "key")
         links = rank(read).where((F.col("relevance_score") >= least) & same_site(host(F.col("page_url")), host(F.col("url"))))
         found = links.select(normalize_url(F.col("url")).alias("url")).distinct()
         if rules is not None:
@@ -60,10 +60,11 @@ def scraped(
 
     The entity of a site is made if it is not there and is told more from its pages; pages whose
     markdown is short, and those already stored, are left out; the others are enriched as
-    ingested documents are. The page that is read for a URL is the first of those it normalises.
+    ingested documents are. The page that is read for a URL is the first of those
+    that normalise to it (``first_page``), the same for its links and for what is stored, in whatever order the pages lie.
     """
     reached = by_levels(seeds, pages, depth, rules=rules, rank=rank)
-    web = first_per_key(pages.withColumn("key", normalize_url(F.col("url"))).join(reached.select(F.col("url").alias("key")), "key", "left_semi"), "key", "url")
+    web = first_page(pages.withColumn("key", normalize_url(F.col("url"))).join(reached.select(F.col("url").alias("key")), "key", "left_semi"), "key")
     found = storable(page_markdown(titled(web)))
     site = org_id(F.col("key"))
     corpus = found.select(site.alias("entity"), F.col("key").alias("file"), F.col("key").alias("url"), site.alias("org_id"), url_id(F.col("key")).alias("url_id"), F.col("markdown").alias("text"), F.lit(None).cast("string").alias("corrupt"))
