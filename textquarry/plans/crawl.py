@@ -29,12 +29,15 @@ def ranked_links(pages: DataFrame, heuristic: bool = True) -> DataFrame:
     return heuristic_only(heuristic_rank(found) if heuristic else found)
 
 
-def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float = FOLLOW_SCORE, rules: DataFrame | None = None, rank: Callable[[DataFrame], DataFrame] = ranked_links) -> DataFrame:
+def by_levels(
+    seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float = FOLLOW_SCORE, rules: DataFrame | None = None, rank: Callable[[DataFrame], DataFrame] = ranked_links, pick: Callable[[DataFrame, str], DataFrame] = first_page
+) -> DataFrame:
     """(depth, url) of all URLs reached, each at its least depth. seeds: (url); pages: (url, html).
 
     A page's links lead on within its own site; URLs already reached are left out by an anti
     join. Every level is written to the shared folder, so that the next one reads its rows and
-    does not extract the links again. Rules, with the site they are of, hold for seeds too.
+    does not extract the links again. Rules, with the site they are of, hold for seeds too. pick
+    says which of the pages of a URL are read: one (``first_page``) or all (``pages_of_first_url``).
     """
     scratch = Scratch(pages.sparkSession)
     level = seeds.select(normalize_url(F.col("url")).alias("url")).distinct()
@@ -43,7 +46,7 @@ def by_levels(seeds: DataFrame, pages: DataFrame, depth: int = 2, least: float =
     web = pages.withColumn("key", normalize_url(F.col("url")))
     reached = level.withColumn("depth", F.lit(0))
     for at in range(1, depth + 1):
-        read = first_page(web.join(level.select(F.col("url").alias("key")), "key", "left_semi"), "key")
+        read = pick(web.join(level.select(F.col("url").alias("key")), "key", "left_semi"), "key")
         links = rank(read).where((F.col("relevance_score") >= least) & same_site(host(F.col("page_url")), host(F.col("url"))))
         found = links.select(normalize_url(F.col("url")).alias("url")).distinct()
         if rules is not None:
