@@ -7,9 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from textquarry.llm import lm_score as lm
 from textquarry.llm.html_extract import extract, html_extract
 from textquarry.llm.language_id import MARGIN, LanguageModel, keep_identified, language_id, margin
 from textquarry.llm.lm_score import Shape, count_of, levels_of, lm_score
@@ -183,6 +185,26 @@ def test_lm(spark, docs):
     assert lm_score(docs.limit(0)).count() == 0 and lm_score(docs.where("doc_id is null")).first().train_tokens == 0
 
 
+def test_lm_asks_by_bucket(spark, docs, monkeypatch):
+    """A bucket of many slices asks each part of the filter once, for distinct items; the answers are the levels of the whole counts. Copies of a row are folded and kept."""
+    words = [f"w{i % 5000}" for i in range(400_000)]
+    texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    table = {"bucket": [7] * len(texts), "key": list(range(len(texts))), "id": list(range(len(texts))), "text": texts, "copies": [1] * 30 + [-1] * 10}
+    asks = list(lm._ask(Shape(512, 1 << 15), 64)(pa.table(table).to_batches()))
+    assert sum(b.num_rows for b in asks) == 8
+    items = np.concatenate([lm._numbers(x.as_py(), 6) for b in asks for x in b.column(2)])
+    n = np.concatenate([lm._numbers(x.as_py(), 5) for b in asks for x in b.column(3)])
+    assert len(items) == len(set(items.tolist())) == 5001 + 5002 and set(n.tolist()) == {30, 60} and n.sum() == 2 * 30 * 10_001
+    levels = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for ask in asks for b in lm._answer(Shape(512, 1 << 15), 64)([ask]) for x in b.column(2)])
+    assert (levels[n > 0] >= levels_of(n[n > 0])).all() and (levels[n > 0] == levels_of(n[n > 0])).mean() > 0.95
+    many = docs.where("doc_id < 40 or doc_id is null").unionByName(docs.where("doc_id in (3, 4)").selectExpr("*", "explode(sequence(1, 30))").drop("col"))
+    rows = lambda df: sorted(str((*r[:5], round(r.base_score, 8), round(r.score, 8))) for r in df.collect())
+    near = rows(lm_score(many))
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(lm, "PART_BYTES", 2000)
+    assert rows(lm_score(many, broadcast_bytes=0)) == near
+
+
 def test_filter():
     items, n = np.arange(200_000, dtype=np.uint64) * np.uint64(977) + np.uint64(5), 1 + np.arange(200_000) % 9
     shape = Shape.of(int(levels_of(n).sum()))

@@ -11,8 +11,9 @@ is counted, probabilities sum to 1 up to quantisation and false positives.
 
 The filter is made in shards, by the hash of the items, each by one task; its size follows the
 number of items. A filter of at most BROADCAST_BYTES is broadcast to the workers. A larger one
-is not: every block of texts then sends each shard the items it asks for, packed, and gets back
-their levels. Both ways give the same scores.
+is not: texts are dealt into buckets, a bucket sends each part of the filter its distinct items
+and their counts, packed, which make that part, and gets back their levels. Both ways give the
+same scores.
 
 The exact counts that base_score asks for are apart from the model: those of words of at least
 the share COUNTED of all tokens (at most 1 / COUNTED words) are broadcast, others are joined.
@@ -26,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,8 @@ SHARD_BITS, SHARDS = 1 << 21, 4096
 BROADCAST_BYTES = 128 << 20
 #: One pair in so many is counted beforehand, to size the filter.
 SAMPLED = 64
-#: Parts into which the blocks that ask one shard are dealt.
-SALTS = 8
+#: Bytes of text to a bucket, whose texts ask a filter that is not broadcast together, and for which there is a part of it.
+BUCKET_BYTES, PART_BYTES = 8 << 20, 8 << 20
 #: The token that ends every text and precedes its first word.
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -70,11 +70,12 @@ def _before(tokens: np.ndarray, text: np.ndarray, first: int | np.uint64) -> np.
 
 
 def _word_items(tokens: np.ndarray) -> np.ndarray:
-    return mix64(tokens + np.uint64(0x9E6C63D0876A9A47))
+    """Items have 48 bits, which confuses far fewer of them than the filter does."""
+    return mix64(tokens + np.uint64(0x9E6C63D0876A9A47)) >> np.uint64(16)
 
 
 def _pair_items(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix64(mix64(v * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) + w)
+    return mix64(mix64(v * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) + w) >> np.uint64(16)
 
 
 def levels_of(n: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ class Shape:
         return Shape(max(1, math.ceil(entries * BITS / bits)), bits)
 
     def shard(self, items: np.ndarray) -> np.ndarray:
-        return ((items >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
+        return ((items >> np.uint64(16)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
     def places(self, items: np.ndarray, level: int) -> Iterator[np.ndarray]:
         """The bits of (item, level) in the item's shard."""
@@ -169,8 +170,9 @@ class Model:
 
 @dataclass(frozen=True)
 class Asked:
-    """The distinct items of a slice, and where its pairs and words are among them."""
+    """The distinct words of a slice, its distinct items (of these words, then of pairs), and where its pairs and words are among them."""
 
+    words: np.ndarray
     items: np.ndarray
     pair: np.ndarray
     first: np.ndarray
@@ -181,9 +183,8 @@ class Asked:
     def of(tokens: np.ndarray, text: np.ndarray) -> Asked:
         word, own = np.unique(tokens, return_inverse=True)
         first = _before(own, text, int(np.searchsorted(word, END)))
-        pair, at = np.unique(_pair_items(word[first], tokens), return_inverse=True)
-        n = len(word)
-        return Asked(np.concatenate([_word_items(word), pair]), (at + n).astype(np.int32), first.astype(np.int32), own.astype(np.int32), text.astype(np.int32))
+        pair, at = np.unique(_pair_items(_before(tokens, text, END), tokens), return_inverse=True)
+        return Asked(word, np.concatenate([_word_items(word), pair]), (at + len(word)).astype(np.int32), first.astype(np.int32), own.astype(np.int32), text.astype(np.int32))
 
     def scores(self, model: Model, levels: np.ndarray, texts: int) -> np.ndarray:
         log = model.log(levels[self.pair], levels[self.first], levels[self.second])
@@ -300,8 +301,8 @@ def _built(shape: Shape):
     return run
 
 
-def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all texts, the table (word, n) of exact counts, and the table (shard, raw) of the filter."""
+def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame]:
+    """The model of all texts, with its filter if that is broadcast, and the table (word, n) of exact counts."""
     texts = documents.select(F.col(text_col).alias("text"))
     noted = scratch.save(texts.mapInArrow(_count_words, "sampled boolean, key long, n long").groupBy("sampled", "key").agg(F.sum("n").alias("n")))
     level = 1 + F.floor(F.log("n") / math.log(RATIO) + 1e-9)
@@ -310,18 +311,18 @@ def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcas
     shape = Shape.of(4096 + 1.1 * sum(r["entries"] * (SAMPLED if sampled else 1) for sampled, r in by.items()))
 
     counts = noted.where("not sampled").select(F.col("key").alias("word"), "n")
-    kind = "shard int, items binary, n binary"
-    sums = texts.mapInArrow(_count_pairs(shape), kind).unionByName(counts.mapInArrow(_pack_words(shape), kind))
-    shards = scratch.save(sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_built(shape), "shard int, raw binary"))
     raw = None
     if shape.shards * shape.bits >> 3 <= broadcast_bytes:
+        kind = "shard int, items binary, n binary"
+        sums = texts.mapInArrow(_count_pairs(shape), kind).unionByName(counts.mapInArrow(_pack_words(shape), kind))
+        shards = scratch.save(sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_built(shape), "shard int, raw binary"))
         own = {r["shard"]: r["raw"] for r in shards.toLocalIterator()}
         empty = bytes(shape.bits >> 3)
         raw = b"".join([own.get(i, empty) for i in range(shape.shards)])
     frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
     words = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return Model(total, distinct, shape, words[order], frequent["n"].to_numpy()[order], raw), counts, shards
+    return Model(total, distinct, shape, words[order], frequent["n"].to_numpy()[order], raw), counts
 
 
 # --------------------------------------------------------------------------- scoring
@@ -335,108 +336,151 @@ def _counted(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[new], t[new], np.diff(np.append(new, len(t)))
 
 
-def _score(shared):
+_ROWS = "key long, word long, times int, own struct<id:long,tokens:long,known:long,base:double,score:double>"
+
+
+def _rows(model: Model, key: np.ndarray, ids: pa.Array, tokens: np.ndarray, asked: Asked, levels: np.ndarray, copies: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A row (key, own) for every text, and (key, word, times) for its words whose exact counts are joined."""
+    n, text, count = len(key), asked.text, model.exact(asked.words)[asked.second]
+    base = np.where(count > 0, np.log10((count + 1) / (model.total + model.distinct + 1)), 0.0)
+    own = pa.StructArray.from_arrays(
+        [ids, pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(np.bincount(text, count > 0, n).astype(np.int64)), pa.array(np.bincount(text, base, n)), pa.array(asked.scores(model, levels, n))],
+        names=["id", "tokens", "known", "base", "score"],
+    )
+    each = np.arange(n) if copies is None else np.repeat(np.arange(n), copies)
+    yield pa.RecordBatch.from_arrays([pa.array(key[each]), pa.array(key[each]), pa.array(np.zeros(len(each), np.int32)), own if copies is None else own.take(pa.array(each))], names=["key", "word", "times", "own"])
+    rare = np.flatnonzero(count == 0)
+    if len(rare):
+        x, t, times = _counted(text[rare], tokens[rare])
+        times = times if copies is None else times * copies[x]
+        yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(t.view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(x), own.type)], names=["key", "word", "times", "own"])
+
+
+def _score(shared):
+    """The rows of texts by a filter that is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         model: Model = shared.value
-        whole = model.total + model.distinct + 1
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, tokens, text in _tokens(batch.column(2)):
-                n = j - i
-                count = model.exact(tokens)
-                base = np.where(count > 0, np.log10((count + 1) / whole), 0.0)
-                score = np.zeros(n)
-                if model.raw is not None:
-                    asked = Asked.of(tokens, text)
-                    score = asked.scores(model, model.levels(asked.items), n)
-                own = pa.StructArray.from_arrays(
-                    [batch.column(1).slice(i, n), pa.array(np.bincount(text, minlength=n).astype(np.int64)), pa.array(np.bincount(text, count > 0, n).astype(np.int64)), pa.array(np.bincount(text, base, n)), pa.array(score)],
-                    names=["id", "tokens", "known", "base", "score"],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(key[i:j]), pa.array(np.zeros(n, np.int32)), own], names=["key", "word", "times", "own"])
-                rare = np.flatnonzero(count == 0)
-                if len(rare):
-                    x, t, times = _counted(text[rare], tokens[rare])
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i:j][x]), pa.array(t.view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(x), own.type)], names=["key", "word", "times", "own"])
+                asked = Asked.of(tokens, text)
+                yield from _rows(model, key[i:j], batch.column(1).slice(i, j - i), tokens, asked, model.levels(asked.items))
 
     return run
 
 
-def _ask(shape: Shape):
-    """For every slice of texts a block: a row for each shard with the items asked of it, and one, of shard -1, that says where they belong."""
+def _of_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts of a bucket, and the text index of each."""
+    found = [(tokens, text + i) for i, _, tokens, text in _tokens(table["text"].combine_chunks())]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _summed(items: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct items in order, and the sums of their n."""
+    if n.max(initial=0) > 1:
+        order = np.argsort(items)
+        item, n = items[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        return item[new], np.add.reduceat(n, new)
+    item, those = np.sort(items), np.sort(items[n > 0])
+    item = item[np.concatenate([[True], item[1:] != item[:-1]])]
+    return item, np.searchsorted(those, item, "right") - np.searchsorted(those, item)
+
+
+def _by_shard(shape: Shape, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shards in it) of items sorted by their shard."""
+    shard = shape.shard(items)
+    order = np.argsort(shard.astype(np.uint16) if shape.shards <= 1 << 16 else shard, kind="stable")
+    return order, shard[order]
+
+
+def _bytes(numbers: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, all lowest ones first, so that what is alike lies together."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _ask(shape: Shape, each: int):
+    """A row for each bucket of texts and each part of the filter (so many shards): the distinct items it is to hold, and how often training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        block = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, tokens, text in _tokens(batch.column(1)):
-                asked = Asked.of(tokens, text)
-                shard = shape.shard(asked.items)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shape.shards))
-                rows = [(int(shard[order[a]]), asked.items[order[a:b]].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                sizes = np.array([j - i, len(asked.text), len(order)], np.int64)
-                rows.append((-1, b"".join(x.tobytes() for x in (sizes, key[i:j], order, asked.pair, asked.first, asked.second, asked.text))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "shard", "data"])
-                block += 1
+        for table in runs(batches):
+            tokens, text = _of_bucket(table)
+            teaches = np.maximum(table["copies"].to_numpy(), 0)[text]
+            (words, of_words), (pairs, of_pairs) = _summed(tokens, teaches), _summed(_pair_items(_before(tokens, text, END), tokens), teaches)
+            items, n = np.concatenate([_word_items(words), pairs]), np.concatenate([of_words, of_pairs])
+            order, shard = _by_shard(shape, items)
+            items, n, part = items[order], n[order], shard // each
+            bounds = np.flatnonzero(np.diff(part, prepend=-1, append=shape.shards))
+            cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+            columns = [pa.array(part[bounds[:-1]], pa.int32()), pa.array(np.full(len(cuts), table["bucket"][0].as_py()), pa.int32()), pa.array([_bytes(items[a:b], 6) for a, b in cuts], pa.binary()), pa.array([_bytes(n[a:b], 5) for a, b in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "items", "n"])
 
     return run
 
 
-def _answer(shape: Shape):
-    """Levels for what blocks ask; rows come sorted, a shard before the blocks that ask it."""
+def _answer(shape: Shape, each: int):
+    """The levels of all items that buckets ask of a part, from its filter, which their counts make; rows come sorted by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        own, raw = None, None
-        for batch in batches:
-            out = []
-            for _, block, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block < 0:
-                    own, raw = shard, np.frombuffer(data, np.uint8)
-                else:
-                    items = np.frombuffer(data, np.uint64)
-                    out.append((block, shard, (shape.levels(raw, items) if shard == own else np.zeros(len(items), np.uint8)).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "shard", "data"])
+        for table in runs(batches):
+            part, buckets = table["part"][0].as_py(), table["bucket"].to_pylist()
+            asks = [_numbers(x.as_py(), 6) for x in table["items"]]
+            items = np.concatenate(asks)
+            item, at = np.unique(items, return_inverse=True)
+            n = np.bincount(at, np.concatenate([_numbers(x.as_py(), 5) for x in table["n"]]), len(item))
+            item, n = item[n > 0], n[n > 0]
+            bounds = np.searchsorted(shape.shard(item), part * each + np.arange(each + 1))  # items in order are shards in order
+            raw = np.frombuffer(b"".join(shape.filled(item[a:b], n[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), np.uint8)
+            levels = shape.levels(raw, items, (shape.shard(items) - part * each) * (shape.bits >> 3))
+            data = pa.array([x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in asks])[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(np.full(len(asks), part), pa.int32()), data], names=["bucket", "part", "data"])
 
     return run
 
 
 def _joined(shared):
-    """(key, score) of every text of a block, from its own row and its answers, which come sorted by shard."""
+    """The rows of the texts of a bucket, from them and the answers to what they ask."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches):
-            first, *answers = table["data"].to_pylist()
-            texts, tokens, items = np.frombuffer(first, np.int64, 3)
-            at = 24
-            parts = []
-            for kind, n in ((np.int64, texts), (np.int64, items), (np.int32, tokens), (np.int32, tokens), (np.int32, tokens), (np.int32, tokens)):
-                parts.append(np.frombuffer(first, kind, n, at))
-                at += parts[-1].nbytes
-            key, order, pair, first_, second, text = parts
-            levels = np.zeros(items, np.uint8)
-            levels[order] = np.frombuffer(b"".join(answers), np.uint8)
-            score = Asked(levels, pair, first_, second, text).scores(shared.value, levels, int(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(score)], names=["key", "score"])
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        model: Model = shared.value
+        tokens, text = _of_bucket(texts)
+        asked = Asked.of(tokens, text)
+        levels = np.zeros(len(asked.items), np.uint8)
+        order, _ = _by_shard(model.shape, asked.items)
+        levels[order] = np.frombuffer(b"".join(answers.sort_by("part")["data"].to_pylist()), np.uint8)
+        return pa.Table.from_batches(_rows(model, texts["key"].to_numpy(), texts["id"].combine_chunks(), tokens, asked, levels, np.abs(texts["copies"].to_numpy())))
 
     return run
 
 
-def _from_shards(rows: DataFrame, shards: DataFrame, shared, shape: Shape, scratch: Scratch) -> DataFrame:
-    """(key, score) where the filter is not broadcast."""
-    asked = scratch.save(rows.select("key", "text").mapInArrow(_ask(shape), "block long, shard int, data binary"))
-    salt = F.pmod("block", F.lit(SALTS)).cast("int")
-    held = shards.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(-1).cast("long").alias("block"), "shard", F.col("raw").alias("data"))
-    both = asked.where("shard >= 0").select(salt.alias("salt"), "block", "shard", "data").unionByName(held)
-    answers = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "block").mapInArrow(_answer(shape), "block long, shard int, data binary")
-    whole = asked.where("shard < 0").unionByName(answers).repartition("block").sortWithinPartitions("block", "shard")
-    return whole.mapInArrow(_joined(shared), "key long, score double").groupBy("key").agg(F.max("score").alias("far"))
+def _score_by_parts(rows: DataFrame, shared, shape: Shape) -> DataFrame:
+    """What _score makes of rows (key, id, text, copies), where the filter is not broadcast. copies is 1, or -1 for what does not teach.
+
+    Texts are dealt into buckets by their key. A bucket sends each part of the filter its distinct items with their counts, which
+    make the filter and ask it, and takes the texts anew when the answers come: no text and no position of a word travels with them.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    sizes = rows.select("key", size.alias("size")).groupBy("key").agg(F.max("size").alias("one"), F.count("*").alias("rows"))
+    whole, again = sizes.agg(F.sum(F.col("one") * F.col("rows")), F.max(F.col("one") * (F.col("rows") - 1))).first()
+    if (again or 0) > BUCKET_BYTES:  # copies of a row that would fill a bucket are one that teaches as often
+        rows = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.sum("copies").alias("copies"))
+    bucket = F.pmod("key", F.lit(max(1, math.ceil((whole or 0) / BUCKET_BYTES)))).cast("int")
+    dealt = rows.select(bucket.alias("bucket"), "key", "id", "text", "copies").repartition("bucket")
+    each = max(1, shape.shards * PART_BYTES // max(1, whole or 0))
+    asked = dealt.sortWithinPartitions("bucket").mapInArrow(_ask(shape, each), "part int, bucket int, items binary, n binary")
+    answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answer(shape, each), "bucket int, part int, data binary")
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_joined(shared), _ROWS)
 
 
 def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -454,10 +498,11 @@ def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tune(spark)
     np.seterr(over="ignore")
     scratch = Scratch(spark)
-    model, counts, shards = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col, broadcast_bytes)
+    model, counts = fit(documents.where(learns(F.col(id_col), mod, rest)), scratch, text_col, broadcast_bytes)
     shared = spark.sparkContext.broadcast(model)
-    rows = documents.select(F.xxhash64(F.lit(1), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_score(shared), "key long, word long, times int, own struct<id:long,tokens:long,known:long,base:double,score:double>")
+    key = F.xxhash64(F.lit(1), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = documents.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.when(learns(F.col(id_col), mod, rest), 1).otherwise(-1).cast("long").alias("copies"))
+    scored = rows.drop("copies").mapInArrow(_score(shared), _ROWS) if model.raw is not None else _score_by_parts(rows, shared, model.shape)
     joined = scored.join(counts, "word", "left")
     log = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
     known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
@@ -465,8 +510,6 @@ def lm_score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.max("own.id").alias("id"), F.count("own").alias("rows"), F.sum("own.tokens").alias("tokens"), F.sum(F.coalesce("own.known", F.lit(0)) + F.col("known")).alias("known"),
         F.sum(F.coalesce("own.base", F.lit(0.0)) + F.col("log")).alias("base"), F.max("own.score").alias("score"),
     )
-    if model.raw is None:
-        by = by.join(_from_shards(rows, shards, shared, model.shape, scratch), "key").withColumn("score", F.col("far"))
     one = lambda c: (F.col(c) / F.col("rows")).cast("long")
     out = by.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select(
