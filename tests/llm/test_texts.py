@@ -185,6 +185,19 @@ def test_lm(spark, docs):
     assert lm_score(docs.limit(0)).count() == 0 and lm_score(docs.where("doc_id is null")).first().train_tokens == 0
 
 
+def test_lm_counts_broadcast(spark, docs, monkeypatch):
+    """As many frequent words as fit are broadcast, whatever their share of the tokens; with fewer of them the rows stay."""
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 9 + [2, 3, 8, 9, 1 << 40])], "word long, n long")
+    for most, least in ((14, 1), (13, 2), (5, 2), (4, 8), (3, 8), (2, 1 << 40), (0, 1 << 62)):
+        monkeypatch.setattr(lm, "COUNTED", most)
+        assert lm._least(counts) == least
+    rows = lambda df: sorted(str((*r[:5], round(r.base_score, 8), round(r.score, 8))) for r in df.collect())
+    monkeypatch.setattr(lm, "COUNTED", 20)
+    few = rows(lm_score(docs))
+    monkeypatch.undo()
+    assert rows(lm_score(docs)) == few
+
+
 def test_lm_asks_by_bucket(spark, docs, monkeypatch):
     """A bucket of many slices asks each part of the filter once, for distinct items; the answers are the levels of the whole counts. Copies of a row are folded and kept."""
     words = [f"w{i % 5000}" for i in range(400_000)]

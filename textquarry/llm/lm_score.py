@@ -15,8 +15,8 @@ is not: texts are dealt into buckets, a bucket sends each part of the filter its
 and their counts, packed, which make that part, and gets back their levels. Both ways give the
 same scores.
 
-The exact counts that base_score asks for are apart from the model: those of words of at least
-the share COUNTED of all tokens (at most 1 / COUNTED words) are broadcast, others are joined.
+The exact counts that base_score asks for are apart from the model: those of the most frequent
+words, as many powers of two of counts as hold at most COUNTED words, are broadcast, others are joined.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, held_out, learns, mix64, runs, slices, tune, word_hashes
 
-#: Share of all tokens from which a word's exact count is broadcast for base_score.
-COUNTED = 2.0**-20
+#: Most words whose exact counts are broadcast for base_score, the most frequent ones.
+COUNTED = 1 << 20
 #: Tokens that a worker counts, and sums that it merges, at once.
 BLOCK = 1 << 21
 #: Ratio of neighbouring levels, weight of the pairs, bits and probes of an entry.
@@ -301,6 +301,17 @@ def _built(shape: Shape):
     return run
 
 
+def _least(counts: DataFrame) -> int:
+    """The least power of two that at most COUNTED words are counted as often as."""
+    least, words = 1 << 62, 0
+    for row in counts.groupBy(F.floor(F.log2("n") + 1e-9).alias("power")).count().orderBy(F.desc("power")).collect():
+        words += row["count"]
+        if words > COUNTED:
+            break
+        least = 1 << row["power"]
+    return least
+
+
 def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame]:
     """The model of all texts, with its filter if that is broadcast, and the table (word, n) of exact counts."""
     texts = documents.select(F.col(text_col).alias("text"))
@@ -319,7 +330,7 @@ def fit(documents: DataFrame, scratch: Scratch, text_col: str = "text", broadcas
         own = {r["shard"]: r["raw"] for r in shards.toLocalIterator()}
         empty = bytes(shape.bits >> 3)
         raw = b"".join([own.get(i, empty) for i in range(shape.shards)])
-    frequent = counts.where(F.col("n") >= COUNTED * total).toArrow()
+    frequent = counts.where(F.col("n") >= _least(counts)).toArrow()
     words = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
     return Model(total, distinct, shape, words[order], frequent["n"].to_numpy()[order], raw), counts
